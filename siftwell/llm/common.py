@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def rows_batch(ddl_schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, ddl_schema, strict=True)], schema=ddl_schema)
 
 
-def slices(batches, column: str = "text", most_bytes: int = 4 << 20):
+def slices(batches, column: str = "text", most_bytes: int = 16 << 20):
     """Cut Arrow batches so that no piece holds much more than ``most_bytes`` of one column."""
     for batch in batches:
         n = batch.num_rows
@@ -106,6 +107,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x if x is not None else "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def strings_of(batch: pa.RecordBatch, column: str = "text") -> pa.StringArray:
+    """The same as an Arrow array."""
+    return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.string())
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id long, text string); other columns, whatever their names, stay out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -124,4 +130,4 @@ def default_parallelism(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-__all__ = ["F", "T", "arrow_schema", "default_parallelism", "filesystem", "free_name", "get", "id_text", "materialise", "put", "rows_batch", "slices", "table", "texts_of", "work_dir"]
+__all__ = ["F", "T", "arrow_schema", "default_parallelism", "filesystem", "free_name", "get", "id_text", "materialise", "put", "rows_batch", "slices", "strings_of", "table", "texts_of", "work_dir"]

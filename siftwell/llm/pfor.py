@@ -53,8 +53,9 @@ def encode(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, perce
     for w in np.unique(width):
         of = np.flatnonzero(width == w)
         if w:
-            bits = (diff[of][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(of), -1), axis=1, bitorder="little")
+            size = 2 if w <= 16 else 4
+            bits = np.unpackbits(diff[of].astype(f"<u{size}").view(np.uint8).reshape(len(of), BLOCK, size), axis=2, bitorder="little")
+            packed = np.packbits(bits[:, :, :w].reshape(len(of), -1), axis=1, bitorder="little")
             payload[begin[of][:, None] + np.arange(packed.shape[1])] = packed
     block, at = np.nonzero(over)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
@@ -104,7 +105,10 @@ class Shard:
             if w:
                 packed = self.payload[begin[of][:, None] + np.arange(self.block * w // 8)]
                 bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(of), self.block, w)
-                out[of] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+                size = 2 if w <= 16 else 4
+                wide = np.zeros((len(of), self.block, 8 * size), np.uint8)
+                wide[:, :, :w] = bits
+                out[of] = np.packbits(wide, axis=2, bitorder="little").view(f"<u{size}")[:, :, 0]
         block = np.repeat(np.arange(last - first), n_over)
         nth = np.arange(len(block)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
         tail = begin + self.block * width // 8

@@ -16,14 +16,18 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_schema, id_text, rows_batch, slices, table, texts_of
+from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table
+from .ragged import Recent, at, spread, words_of
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Distinct chunks that a worker keeps; beyond it the table starts anew.
-TABLE_MOST = 600_000
+#: Distinct chunks that a worker keeps, about; those not seen for longest go.
+TABLE_MOST = 1_000_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -48,6 +52,21 @@ def cut(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+def cut_all(texts: pa.StringArray):
+    """(rows, code of each chunk, distinct chunks, offsets of the rows' chunks), for texts by the way they are cut."""
+    slow = pc.match_substring(texts, MARK)
+    for found in (pc.match_substring(texts, "  "), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")):
+        slow = pc.or_(slow, found)
+    slow = slow.to_numpy(zero_copy_only=False)
+    if len(rows := np.flatnonzero(~slow)):
+        yield rows, *words_of(texts.filter(pa.array(~slow)), " \n")
+    if len(rows := np.flatnonzero(slow)):
+        cuts = [cut(texts[r].as_py()) for r in rows]
+        nth: dict[str, int] = {}
+        codes = np.array([nth.setdefault(c, len(nth)) for x in cuts for c in x], np.int64)
+        yield rows, codes, list(nth), np.concatenate([[0], np.cumsum([len(x) for x in cuts])])
+
+
 class ChunkTable:
     """Ids of each distinct chunk, found once."""
 
@@ -55,9 +74,7 @@ class ChunkTable:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.most = most
-        self.ids: dict[str, str] = {}
-        self.n: dict[str, int] = {}
+        self.ids, self.n = Recent(most), Recent(most)  # ids in decimal, a comma after each; their number
         self.back: dict[str, str] = {}  # decoded chunks, where they differ from the chunk
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         probe = self.sp.encode("a b")
@@ -71,38 +88,47 @@ class ChunkTable:
         found = self.sp.encode(chunks, num_threads=1)
         return [[self.alone] if not c else x[1:] if c[0] == "\n" else x for c, x in zip(chunks, found, strict=True)]
 
-    def missing(self, known: dict, cuts: list[list[str]]) -> list[str]:
-        chunks = set().union(*cuts)
-        new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            self.back.clear()
-            new = list(chunks)
-        return new
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """For each text its ids, joined by commas, and the decoded text."""
-        if not self.by_chunk:
-            return [(",".join(map(str, x)), self.sp.decode(x)) for x in self.sp.encode(texts, num_threads=1)]
-        cuts = [cut(t) for t in texts]
-        if new := self.missing(self.ids, cuts):
+    def values(self, known: Recent, chunks: list[str]) -> list:
+        """What the table has of each chunk, after the missing ones are learnt."""
+        if new := known.missing(chunks):
             ids = self.segment(new)
-            self.ids.update((c, ",".join(map(str, x))) for c, x in zip(new, ids, strict=True))
-            self.back.update((c, d) for c, d in zip(new, self.sp.decode(ids, num_threads=1), strict=True) if c != d)
-        ids, back, out = self.ids.__getitem__, self.back, []
-        for c in cuts:
-            parts = [back.get(x, x) for x in c] if back else c
-            out.append((",".join(map(ids, c)), " ".join(parts).replace(" \n", "\n")))
+            if known is self.n:
+                known.new.update((c, len(x)) for c, x in zip(new, ids, strict=True))
+            else:
+                known.new.update((c, "".join([f"{i}," for i in x]).encode()) for c, x in zip(new, ids, strict=True))
+                self.back.update((c, d) for c, d in zip(new, self.sp.decode(ids, num_threads=1), strict=True) if c != d)
+        return list(map(known.new.__getitem__, chunks))
+
+    def encode(self, texts: pa.StringArray) -> list[tuple[str, int, str]]:
+        """For each text its ids, joined by commas, their number, and the decoded text."""
+        whole = texts.to_pylist()
+        if not self.by_chunk:
+            return [(",".join(map(str, x)), len(x), self.sp.decode(x)) for x in self.sp.encode(whole, num_threads=1)]
+        out: list = [None] * len(whole)
+        for rows, codes, chunks, offsets in cut_all(texts):
+            ids, ends = spread(self.values(self.ids, chunks), codes, np.uint8)
+            commas = np.concatenate([[0], np.cumsum(ids == 44)])
+            place = at(ends, offsets)
+            n = np.diff(commas[place]).tolist()
+            ids, place = ids.tobytes().decode("ascii"), place.tolist()
+            odd = np.fromiter((c in self.back for c in chunks), bool, len(chunks)) if self.back else None
+            for k, row in enumerate(rows):
+                mine = codes[offsets[k] : offsets[k + 1]]
+                if odd is not None and odd[mine].any():
+                    back = " ".join([self.back.get(c, c) for c in (chunks[i] for i in mine)]).replace(" \n", "\n")
+                else:  # the library decoded each of its chunks to the chunk
+                    back = whole[row].replace(MARK, " ")
+                out[row] = ids[place[k] : max(place[k], place[k + 1] - 1)], n[k], back
         return out
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: pa.StringArray) -> np.ndarray:
         if not self.by_chunk:
-            return [len(x) for x in self.sp.encode(texts, num_threads=1)]
-        cuts = [cut(t) for t in texts]
-        if new := self.missing(self.n, cuts):
-            self.n.update((c, len(x)) for c, x in zip(new, self.segment(new), strict=True))
-        n = self.n.__getitem__
-        return [sum(map(n, c)) for c in cuts]
+            return np.array([len(x) for x in self.sp.encode(texts.to_pylist(), num_threads=1)], np.int64)
+        out = np.zeros(len(texts), np.int64)
+        for rows, codes, chunks, offsets in cut_all(texts):
+            n = np.array(self.values(self.n, chunks), np.int64)
+            out[rows] = np.diff(np.concatenate([[0], np.cumsum(n[codes])])[offsets])
+        return out
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -126,9 +152,9 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         tab = chunk_table(path)
-        for b in slices(batches):
-            got = tab.encode(texts_of(b))
-            yield rows_batch(schema, [b.column(0), [x for x, _ in got], [x.count(",") + 1 if x else 0 for x, _ in got], [y for _, y in got]])
+        for b in slices(batches, most_bytes=8 << 20):
+            got = tab.encode(strings_of(b))
+            yield rows_batch(schema, [b.column(0), *(list(x) for x in zip(*got, strict=True))])
 
     return id_text(docs).mapInArrow(run, OUT)
 
@@ -140,9 +166,9 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         tab = chunk_table(path)
-        for b in slices(batches):
-            got = tab.encode(texts_of(b))
-            yield rows_batch(schema, [b.column(0), [x.count(",") + 1 if x else 0 for x, _ in got], [sha(x) for x, _ in got], [sha(y) for _, y in got]])
+        for b in slices(batches, most_bytes=8 << 20):
+            got = tab.encode(strings_of(b))
+            yield rows_batch(schema, [b.column(0), [n for _, n, _ in got], [sha(x) for x, _, _ in got], [sha(y) for _, _, y in got]])
 
     return id_text(docs).mapInArrow(run, DIGESTS)
 

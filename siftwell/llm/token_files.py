@@ -15,17 +15,21 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import arrow_schema, get, id_text, materialise, put, rows_batch, slices, table, texts_of, work_dir
+from .common import arrow_schema, get, id_text, materialise, put, rows_batch, slices, strings_of, table, work_dir
+from .ragged import Recent, at, spread, words_of
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids in a shard; distinct words that a worker keeps.
-SHARD_IDS, TABLE_MOST = 4_000_000, 700_000
+SHARD_IDS, TABLE_MOST = 4_000_000, 1_000_000
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?]*)")
 
 
@@ -45,31 +49,36 @@ class WordTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.tok, self.words = Tokenizer.from_file(path), Recent(most)
+        # Byte-level models write a byte that is printable as itself and the others as the signs from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.signs = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def library(self, runs: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tok.encode_batch_fast(runs, add_special_tokens=False)]
-
-    def learn(self, runs: list[str]) -> None:
-        parts = [(run, m[1].lower(), m[2]) if (m := PLAIN.fullmatch(run)) else (run, run, "") for run in runs]
-        words, missing = self.words, list({w for _, a, b in parts for w in (a, b) if w and w not in self.words})
-        words.update(zip(missing, self.library(missing), strict=True))
-        words[""] = b""
-        self.known.update((run, words[a] + words[b]) for run, a, b in parts)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [t.replace("\n", " ").split(" ") for t in texts]
-        runs = set().union(*cuts)
-        new = [r for r in runs if r not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, self.words, new = {"": b""}, {}, [r for r in runs if r]
-        if new:
-            self.learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, c)) for c in cuts]
+    def library(self, words: list[str]) -> list[bytes]:
+        """Ids of words.  What is only letters is one word to the splitter and goes to its model at once, as the signs that stand for its bytes."""
+        plain = [LETTERS(w) is not None for w in words]
+        rest = iter(self.tok.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        model, signs, kind = self.tok.model.tokenize, self.signs, "H" if self.kind.itemsize == 2 else "I"
+        return [array(kind, [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(signs))] if p else next(rest).ids).tobytes() for w, p in zip(words, plain, strict=True)]
+
+    def values(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run, after the missing words are learnt."""
+        match = PLAIN.fullmatch
+        parts = [(m[1].lower(), m[2]) if (m := match(run)) else (run, "") for run in runs]
+        asked = {w for p in parts for w in p}
+        missing = self.words.missing(list(asked))
+        self.words.new.update(zip(missing, self.library(missing), strict=True))
+        ids = self.words.new.__getitem__
+        return [ids(a) + ids(b) if b else ids(a) for a, b in parts]
+
+    def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id after it; their offsets)."""
+        codes, runs, offsets = words_of(texts, " ")
+        values = [*self.values(runs), np.array([end_id], self.kind).tobytes()]
+        codes = np.insert(codes, offsets[1:], len(runs))
+        ids, ends = spread(values, codes, self.kind)
+        return ids, at(ends, offsets + np.arange(len(offsets)))
 
 
 _tables: dict[str, WordTable] = {}
@@ -96,10 +105,11 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches):
         tab = word_table(path)
-        end = np.array([end_id], tab.kind).tobytes()
         for b in slices(batches):
-            ids = [x + end for x in tab.encode(texts_of(b))]
-            yield rows_batch(schema, [b.column(0), [zlib.crc32(np.frombuffer(x, tab.kind).astype("<u4").tobytes()) for x in ids], ids])
+            ids, place = tab.encode(strings_of(b), end_id)
+            wide, at = ids.astype("<u4"), place.tolist()
+            crc = [zlib.crc32(wide[x:y]) for x, y in zip(at, at[1:], strict=False)]
+            yield rows_batch(schema, [b.column(0), crc, [ids[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]])
 
     return id_text(docs).mapInArrow(run, ENCODED)
 
