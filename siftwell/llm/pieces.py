@@ -71,8 +71,12 @@ class ChunkTable:
     """Ids of each distinct chunk, found once."""
 
     def __init__(self, path: str, most: int = TABLE_MOST):
+        import gc
+
         import sentencepiece
 
+        gc.disable()  # walking the table costs more than all else, and it holds no cycles
+
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids, self.n = Recent(most), Recent(most)  # ids in decimal, a comma after each; their number
         self.back: dict[str, str] = {}  # decoded chunks, where they differ from the chunk

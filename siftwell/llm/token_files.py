@@ -44,8 +44,11 @@ class WordTable:
     """
 
     def __init__(self, path: str, most: int = TABLE_MOST):
+        import gc
         import os
 
+        gc.disable()  # walking the table costs more than all else, and it holds no cycles
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
