@@ -131,3 +131,20 @@ def default_parallelism(df: DataFrame) -> int:
 
 
 __all__ = ["F", "T", "arrow_schema", "default_parallelism", "filesystem", "free_name", "get", "id_text", "materialise", "put", "rows_batch", "slices", "strings_of", "table", "texts_of", "work_dir"]
+
+
+def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """Rows for whose texts ``keep()(strings)`` gives true, with all their columns.
+
+    ``keep`` is called once a task and returns the function to use on batches.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        judge = keep()
+        for batch in batches:
+            if batch.num_rows:
+                texts = pc.fill_null(batch.column(at), "").cast(pa.string())
+                yield batch.filter(pa.array(judge(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
