@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import classifier, decontamination, pieces, rules, token_counts, token_files, url_filters
+from . import classifier, decontamination, ngram_join, pieces, rules, token_counts, token_files, url_filters
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_binary": token_files.op4_token_binary,
+    "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": rules.op10_quality_rules,
 }
-ORACLE_SQL = {"op2_url_filters": url_filters.OP2_SQL, "op10_quality_rules": rules.OP10_SQL}
+ORACLE_SQL = {"op5_ngram_jaccard": ngram_join.OP5_SQL, "op2_url_filters": url_filters.OP2_SQL, "op10_quality_rules": rules.OP10_SQL}
