@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontamination, ngram_join, pieces, rules, token_counts, token_files, url_filters
+from . import classifier, decontamination, ngram_join, pieces, rules, suffix_dedup, token_counts, token_files, url_filters
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_binary": token_files.op4_token_binary,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": rules.op10_quality_rules,
