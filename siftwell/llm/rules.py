@@ -90,7 +90,7 @@ def symbols(d: Doc) -> bool:
 
 
 def dup_lines(d: Doc) -> bool:
-    return 10 * d.n_dup_lines > 3 * d.n_lines
+    return 10 * d.n_dup_lines > 6 * d.n_lines
 
 
 def word_length(d: Doc) -> bool:
@@ -209,6 +209,6 @@ b AS (SELECT f.*, coalesce(r, 0) AS reps, coalesce(top.c, 0) AS most,
       FROM f LEFT JOIN rep USING (doc_id) LEFT JOIN top USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines,
        reps::BIGINT AS n_repeat_words, failed AS base_failed,
-       NOT failed AND NOT (10 * symbols > n OR 10 * dups > 3 * lines OR chars < 2 * n OR chars > 15 * n OR 10 * up > 3 * letters
+       NOT failed AND NOT (10 * symbols > n OR 10 * dups > 6 * lines OR chars < 2 * n OR chars > 15 * n OR 10 * up > 3 * letters
                            OR 10 * bangs > 3 * n OR 10 * most > 3 * n OR 10 * bare > 3 * n) AS kept
 FROM b"""

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, get, id_text, materialise, put, rows_batch, table, work_dir
+from .common import arrow_schema, free_name, get, id_text, materialise, put, rows_batch, table, work_dir
 from .shingles import mix
 from .suffixes import deep_shallow
 
@@ -322,7 +322,7 @@ def removed_bytes(seg: Segment, rows: list[tuple], buckets: int) -> np.ndarray:
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-KEPT = OUT + ", kept binary, spans binary"
+KEPT = OUT + ", digest binary, kept binary, spans binary"
 
 
 def decide(back: DataFrame, buckets: int, parts: int, texts: bool = False) -> DataFrame:
@@ -347,7 +347,7 @@ def decide(back: DataFrame, buckets: int, parts: int, texts: bool = False) -> Da
                 values = [None if seg.null[k] else int(seg.ids[k]), len(part), int(total[o[k + 1]] - total[o[k]]), int(spans[o[k + 1]] - spans[o[k]]), hashlib.sha256(left).hexdigest()]
                 if texts:
                     mine = slice(spans[o[k]], spans[o[k + 1]])
-                    values += [left, (np.stack([at[mine], ends[mine] + 1], 1) - o[k]).astype("<i8").tobytes()]
+                    values += [hashlib.md5(part.tobytes()).digest(), left, (np.stack([at[mine], ends[mine] + 1], 1) - o[k]).astype("<i8").tobytes()]
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield rows_batch(schema, out)
@@ -368,5 +368,26 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, segment: int = SEGMENT, h
     return decide(back, 2 * buckets, parts, texts)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents without their repeated strings, all columns kept; ``n_chars``, if there, is the new length.
+
+    Bytes are removed, and what is left of a character cut in two goes with it.
+    A text of which nothing is left stays as an empty one.
+    """
+    name = {k: free_name(docs, k) for k in ("own_id", "own_digest", "kept_text")}
+    kept = suffix_dedup(docs, texts=True).select("doc_id", "digest", "kept").dropDuplicates(["doc_id", "digest"])  # equal rows have equal results
+    schema = arrow_schema("doc_id long, digest binary, text string")
+
+    def decode(batches):
+        for b in batches:
+            yield rows_batch(schema, [b.column(0), b.column(1), [x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()]])
+
+    texts = kept.mapInArrow(decode, "doc_id long, digest binary, text string").toDF(*name.values())
+    keyed = docs.withColumn("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))  # the text itself need not move
+    out = keyed.join(texts, F.col("`doc_id`").cast("long").eqNullSafe(F.col(name["own_id"])) & (F.col("text") == F.col(name["own_digest"])))
+    new = {"text": F.col(name["kept_text"]), "n_chars": F.length(name["kept_text"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
