@@ -1,0 +1,109 @@
+"""Detectors: what they match, how grave a match is, and what proves it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+
+from siftwell.functions import text as fn
+
+SEVERITIES, CONFIDENCES = ["critical", "high", "medium", "low"], ["certain", "likely", "possible"]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``pattern`` reads the same in Java and RE2; ``group`` holds the value.  A text without any of ``literals`` (lower case) is not searched."""
+
+    id: str
+    category: str
+    severity: str
+    confidence: str
+    pattern: str
+    literals: tuple[str, ...] = ()
+    group: int = 0
+    validate: Callable[[Column], Column] | None = None
+    advisory: bool = False
+    sample: str = ""
+
+    @property
+    def tier(self) -> str:
+        return "context" if self.category == "context" else "personal" if self.id in PERSONAL else "dangerous"
+
+    @property
+    def label(self) -> str:
+        return self.id.replace("_", " ").capitalize()
+
+
+#: Identifiers of persons and businesses that are not dangerous by themselves.
+PERSONAL = {"gstin", "ifsc", "upi_vpa", "voter_id", "indian_dl", "phone_india", "brazil_cnpj", "australia_abn", "eu_vat", "isin", "imei", "email", "person_name", "postal_address"}
+
+
+def _token(id_: str, category: str, severity: str, prefix: str, body: str, literals: tuple[str, ...], sample: str, confidence: str = "certain") -> Rule:
+    return Rule(id_, category, severity, confidence, rf"\b{prefix}{body}", literals, sample=sample)
+
+
+#: Published shapes of vendors' tokens.  In samples, hNN stands for NN hexadecimal digits.
+RULES: list[Rule] = [
+    _token("aws_access_key_id", "cloud", "critical", "(?:AKIA|ASIA|ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|AROA)", r"[A-Z2-7]{16}\b", ("akia", "asia", "abia", "acca", "agpa", "aida", "aipa", "anpa", "anva", "aroa"), "AKIA" + "ABCD2345" * 2),
+    _token("google_api_key", "cloud", "high", "AIza", r"[0-9A-Za-z_-]{35}", ("aiza",), "AIza{h35}"),
+    _token("google_oauth_client", "cloud", "medium", "[0-9]+-", r"[0-9a-z]{32}\.apps\.googleusercontent\.com", ("googleusercontent",), "123456-{h32}.apps.googleusercontent.com"),
+    _token("digitalocean_token", "cloud", "critical", "dop_v1_", r"[a-f0-9]{64}\b", ("dop_v1_",), "dop_v1_{h64}"),
+    _token("azure_storage_key", "cloud", "critical", "AccountKey=", r"[A-Za-z0-9+/]{64,}={0,2}", ("accountkey=",), "AccountKey={h64}=="),
+    _token("github_token", "source", "critical", "gh[pousr]_", r"[A-Za-z0-9]{36}\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "ghp_{h36}"),
+    _token("github_pat_fine_grained", "source", "critical", "github_pat_", r"[A-Za-z0-9_]{60,}", ("github_pat_",), "github_pat_{h64}"),
+    _token("gitlab_token", "source", "critical", "(?:glpat|gldt|glrt|glcbt|glptt|glft|glsoat)-", r"[0-9A-Za-z_-]{20,}", ("glpat-", "gldt-", "glrt-", "glcbt-", "glptt-", "glft-", "glsoat-"), "glpat-{h20}"),
+    _token("npm_token", "source", "critical", "npm_", r"[A-Za-z0-9]{36}\b", ("npm_",), "npm_{h36}"),
+    _token("pypi_token", "source", "critical", "pypi-AgEIcHlwaS5vcmc", r"[A-Za-z0-9_-]{50,}", ("pypi-ageichlwas5vcmc",), "pypi-AgEIcHlwaS5vcmc{h64}"),
+    _token("rubygems_token", "source", "critical", "rubygems_", r"[a-f0-9]{48}\b", ("rubygems_",), "rubygems_{h48}"),
+    _token("terraform_token", "source", "critical", "[A-Za-z0-9]{14}", r"\.atlasv1\.[A-Za-z0-9_=-]{50,}", (".atlasv1.",), "abcdefghij1234.atlasv1.{h64}"),
+    _token("sonarqube_token", "source", "high", "sq[pau]_", r"[a-f0-9]{40}\b", ("sqp_", "sqa_", "squ_"), "sqp_{h40}"),
+    _token("openrouter_key", "ai", "critical", "sk-or-v1-", r"[a-f0-9]{64}\b", ("sk-or-v1-",), "sk-or-v1-{h64}"),
+    _token("groq_key", "ai", "critical", "gsk_", r"[A-Za-z0-9]{52}\b", ("gsk_",), "gsk_{h52}"),
+    _token("xai_key", "ai", "critical", "xai-", r"[A-Za-z0-9]{70,90}\b", ("xai-",), "xai-{h80}"),
+    _token("replicate_key", "ai", "critical", "r8_", r"[A-Za-z0-9]{37}\b", ("r8_",), "r8_{h37}"),
+    _token("huggingface_token", "ai", "high", "hf_", r"[A-Za-z0-9]{34,}", ("hf_",), "hf_{h34}"),
+    _token("perplexity_key", "ai", "critical", "pplx-", r"[A-Za-z0-9]{32,}", ("pplx-",), "pplx-{h48}"),
+    _token("fireworks_key", "ai", "critical", "fw_", r"[A-Za-z0-9]{24,}", ("fw_",), "fw_{h24}"),
+    _token("langsmith_key", "ai", "critical", "lsv2_(?:pt|sk)_", r"[a-f0-9]{32}_[a-f0-9]{10}\b", ("lsv2_",), "lsv2_pt_{h32}_0123456789"),
+    _token("stripe_live_key", "payments", "critical", "(?:sk|rk)_live_", r"[0-9A-Za-z]{20,}", ("sk_live_", "rk_live_"), "sk_live_{h24}"),
+    _token("stripe_test_key", "payments", "low", "(?:sk|rk)_test_", r"[0-9A-Za-z]{20,}", ("sk_test_", "rk_test_"), "sk_test_{h24}"),
+    _token("square_token", "payments", "critical", "(?:sq0atp|sq0csp|EAAA)", r"[0-9A-Za-z_-]{22,}", ("sq0atp", "sq0csp", "eaaa"), "sq0atp-{h24}"),
+    _token("razorpay_key", "payments", "critical", "rzp_(?:live|test)_", r"[0-9A-Za-z]{14,}", ("rzp_live_", "rzp_test_"), "rzp_live_{h14}"),
+    _token("paypal_token", "payments", "critical", r"access_token\$production\$", r"[0-9a-z]{16}\$[0-9a-f]{32}\b", ("access_token$production$",), "access_token$production${h16}${h32}"),
+    _token("slack_token", "communications", "critical", "xox[baprse]-", r"[0-9A-Za-z-]{10,}", ("xox",), "xoxb-{h24}"),
+    _token("slack_webhook", "communications", "high", r"hooks\.slack\.com/services/", r"T[0-9A-Za-z]+/B[0-9A-Za-z]+/[0-9A-Za-z]{16,}", ("hooks.slack.com",), "hooks.slack.com/services/T01/B02/{h24}"),
+    _token("telegram_bot_token", "communications", "high", "[0-9]{8,10}:AA", r"[0-9A-Za-z_-]{32,34}", (":aa",), "123456789:AA{h33}"),
+    _token("sendgrid_key", "communications", "high", r"SG\.", r"[0-9A-Za-z_-]{20,}\.[0-9A-Za-z_-]{20,}", ("sg.",), "SG.{h22}.{h43}"),
+    _token("twilio_key", "communications", "high", "(?:AC|SK)", r"[0-9a-f]{32}\b", ("ac", "sk"), "AC{h32}"),
+    _token("mailgun_key", "communications", "high", "key-", r"[0-9a-f]{32}\b", ("key-",), "key-{h32}"),
+    _token("mailchimp_key", "communications", "high", "[0-9a-f]{32}", r"-us[0-9]{1,2}\b", ("-us",), "{h32}-us12"),
+    _token("shopify_token", "data", "critical", "shp(?:at|ss|ca|pa)_", r"[0-9a-fA-F]{32}\b", ("shpat_", "shpss_", "shpca_", "shppa_"), "shpat_{h32}"),
+    _token("databricks_token", "data", "critical", "dapi", r"[0-9a-f]{32}(?:-[0-9])?\b", ("dapi",), "dapi{h32}"),
+    _token("supabase_key", "data", "critical", "sbp_", r"[0-9a-f]{40}\b", ("sbp_",), "sbp_{h40}"),
+    _token("planetscale_token", "data", "critical", "pscale_(?:tkn|pw|oauth)_", r"[0-9A-Za-z_.-]{32,}", ("pscale_",), "pscale_tkn_{h43}"),
+    _token("doppler_token", "data", "critical", r"dp\.(?:pt|st|ct|sa|scim)\.", r"[0-9A-Za-z]{40,}", ("dp.pt.", "dp.st.", "dp.ct.", "dp.sa."), "dp.pt.{h43}"),
+    _token("notion_token", "data", "high", "(?:secret|ntn)_", r"[0-9A-Za-z]{40,}", ("secret_", "ntn_"), "ntn_{h46}"),
+    _token("figma_token", "data", "high", "figd_", r"[0-9A-Za-z_-]{40,}", ("figd_",), "figd_{h40}"),
+    _token("linear_key", "data", "high", "lin_api_", r"[0-9A-Za-z]{40,}", ("lin_api_",), "lin_api_{h40}"),
+    _token("atlassian_token", "data", "high", "ATATT3", r"[0-9A-Za-z_=-]{180,}", ("atatt3",), "ATATT3{h186}"),
+    _token("dropbox_token", "data", "high", r"sl\.", r"[0-9A-Za-z_-]{130,}", ("sl.",), "sl.{h135}"),
+    _token("newrelic_key", "data", "high", "NRAK-", r"[0-9A-Z]{27}\b", ("nrak-",), "NRAK-" + "ABC012345" * 3),
+    _token("grafana_token", "data", "high", "(?:glca|glsa|glc|gls)_", r"[0-9A-Za-z+/=_]{32,}", ("glc_", "glsa_"), "glsa_{h32}"),
+    _token("sentry_token", "data", "high", "(?:sntrys_", r"[0-9A-Za-z_=+/-]{50,}|sntryu_[0-9a-f]{64})", ("sntrys_", "sntryu_"), "sntryu_{h64}"),
+    Rule("private_key_block", "generic", "critical", "certain", "-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED|PGP) )?PRIVATE KEY(?: BLOCK)?-----", ("private key",), sample="-----BEGIN RSA PRIVATE KEY-----"),
+    Rule("email", "global", "low", "certain", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", ("@",), sample="u{h8}@mail.org"),
+    Rule("us_ssn", "global", "critical", "likely", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("-",), validate=fn.ssn, sample="219-09-9999"),
+    Rule("payment_card", "global", "critical", "certain", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", (), validate=lambda c: fn.luhn(c) & fn.card_issuer(c).isNotNull(), sample="4111 1111 1111 1111"),
+    Rule("iban", "global", "high", "certain", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", (), validate=lambda c: fn.mod97(c) == 1, sample="GB82WEST12345698765432"),
+    Rule("brazil_cpf", "global", "critical", "certain", r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b", ("-",), validate=fn.cpf, sample="529.982.247-25"),
+    Rule("australia_abn", "global", "low", "certain", r"(?i)\babn[: ]{1,3}([0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3})\b", ("abn",), group=1, validate=fn.abn, sample="ABN 51 824 753 556"),
+    Rule("australia_tfn", "global", "critical", "likely", r"(?i)\btfn[: ]{1,3}([0-9]{3} ?[0-9]{3} ?[0-9]{3})\b", ("tfn",), group=1, validate=fn.tfn, sample="TFN 123 456 782"),
+    Rule("aadhaar", "india", "critical", "certain", r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", (), validate=fn.aadhaar, sample="2341 2341 2346"),
+    Rule("pan_india", "india", "high", "likely", r"\b[A-Z]{3}[ABCFGHJLPTKE][A-Z][0-9]{4}[A-Z]\b", (), sample="ABCPE1234F"),
+    Rule("ifsc", "india", "low", "likely", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", (), sample="HDFC0ABC123"),
+    Rule("legal_privilege", "context", "critical", "certain", r"(?i)\b(?:attorney[- ]client privileged?|privileged (?:and|&) confidential|without prejudice)\b", ("privilege", "without prejudice"), advisory=True, sample="privileged and confidential"),
+    Rule("legal_hold", "context", "high", "likely", r"(?i)\b(?:legal hold|litigation hold|preservation notice)\b", ("legal hold", "litigation hold", "preservation notice"), advisory=True, sample="litigation hold"),
+]
+BY_ID = {r.id: r for r in RULES}
