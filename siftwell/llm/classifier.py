@@ -10,7 +10,8 @@ documents are selected.  It is fitted on a bounded sample of rated documents
 (``SAMPLE`` rows, by the hash of their id); every document is scored.
 
 Features are the distinct lower-cased words and runs of punctuation of a text,
-and its share of distinct words in tenths; each counts once.
+the first four letters of its longer words, and its share of distinct words in
+tenths; each counts once.
 
 Results: null text has no features and gets the score 0.  Ratings without a
 document, or with a null, are left out.  Without any rating there is no model:
@@ -32,7 +33,11 @@ from .ragged import Recent, words_of
 
 #: Rated rows that are used at most; buckets of features (a power of two); documents a feature needs in the sample.
 SAMPLE, BUCKETS, LEAST_DOCS = 20_000, 1 << 20, 4
-STEPS, RATE, RIDGE = 150, 0.1, 2e-4
+STEPS, RATE, RIDGE = 200, 0.1, 1e-3
+
+
+def bucket_of(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)
 
 
 def features(texts: pa.StringArray, table_: Recent | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -41,15 +46,17 @@ def features(texts: pa.StringArray, table_: Recent | None = None) -> tuple[np.nd
     apart = pc.replace_substring_regex(pc.utf8_lower(texts), r"([^\p{L}\p{N}\s]+)", r" \1 ")
     codes, words, offsets = words_of(pc.replace_substring_regex(apart, r"\s+", " "), " ")
     new = table_.missing(words)
-    table_.new.update((w, xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) if w else -1) for w in new)
-    bucket = np.fromiter(map(table_.new.__getitem__, words), np.int64, len(words))[codes]
+    table_.new.update((w, bucket_of(w) << 20 | bucket_of("\0" + w[:4] if len(w) > 4 else w) if w else -1) for w in new)
+    both = np.fromiter(map(table_.new.__getitem__, words), np.int64, len(words))[codes]
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    real = bucket >= 0
+    real = both >= 0
     n = np.bincount(doc[real], minlength=len(texts))
-    key = np.unique(doc[real] * BUCKETS + bucket[real])
-    own, bucket = key // BUCKETS, key % BUCKETS
+    pair = np.unique(doc[real] << 40 | both[real])  # a batch has far fewer texts than 2 ** 23
+    doc, both = pair >> 40, pair & ((1 << 40) - 1)
+    tenth = np.where(n > 0, 10 * np.bincount(doc, minlength=len(texts)) // np.maximum(n, 1), 11)
+    key = np.unique(np.concatenate([doc << 20 | both >> 20, doc << 20 | both & (BUCKETS - 1)]))
+    own, bucket = key >> 20, key & (BUCKETS - 1)
     size = np.bincount(own, minlength=len(texts))
-    tenth = np.where(n > 0, 10 * size // np.maximum(n, 1), 11)
     variety = np.array([xxhash.xxh3_64_intdigest(f"\0variety{k}") & (BUCKETS - 1) for k in range(12)])
     ends = np.cumsum(size)
     return np.insert(bucket, ends, variety[tenth]), np.concatenate([[0], np.cumsum(size + 1)])
