@@ -19,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +104,16 @@ ENCODED, MANIFEST, READ = "doc_id long, crc long, ids binary", "part long, seq l
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, checksum of the ids, ids as u16 or u32) of each whole text, end id included."""
+    """(doc_id, checksum of the ids, ids as compressed u16 or u32) of each whole text, end id included."""
     schema = arrow_schema(ENCODED)
 
     def run(batches):
-        tab = word_table(path)
+        tab, small = word_table(path), zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
             ids, place = tab.encode(strings_of(b), end_id)
             wide, at = ids.astype("<u4"), place.tolist()
             crc = [zlib.crc32(wide[x:y]) for x, y in zip(at, at[1:], strict=False)]
-            yield rows_batch(schema, [b.column(0), crc, [ids[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]])
+            yield rows_batch(schema, [b.column(0), crc, [small.compress(ids[x:y].tobytes()) for x, y in zip(at, at[1:], strict=False)]])
 
     return id_text(docs).mapInArrow(run, ENCODED)
 
@@ -130,7 +131,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        held, n = [], 0
+        held, n, wide = [], 0, zstandard.ZstdDecompressor()
 
         def shard():
             nonlocal seq, held, n
@@ -143,6 +144,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
 
         for b in slices(batches, "ids"):
             for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x = wide.decompress(x)
                 held.append((i, x))
                 n += len(x) // np.dtype(kind).itemsize
                 if n >= shard_ids:
