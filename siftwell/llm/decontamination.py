@@ -36,6 +36,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, NGRAM = 0.5, 0.8, 5
 #: Items in one index; more are taken in several passes.  Items in a block of a posting list; shortest passage in words.
 INDEX_ITEMS, BLOCK, SHORTEST = 20_000, 64, 64
+#: Share of an item's weight in its head, less than which (1 - HEAD < threshold) an item can't reach the threshold without it.
+HEAD = 0.75
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -89,6 +91,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], stats: Statistics):
         self.items, self.passage = [], max(SHORTEST, 2 * stats.longest)
         lists: dict[str, list[tuple[int, float]]] = {}
+        heads: dict[str, list[tuple[int, float]]] = {}
+        rest: list[float] = []
         for item, text in items:
             ws = words(text or "")
             if not ws:
@@ -100,10 +104,23 @@ class Index:
             for t, w in own.items():
                 lists.setdefault(t, []).append((len(self.items), w / whole))
             self.items.append((item, *split_item(text)))
+            # The item's rarest terms, up to HEAD of its weight; what the others can add is known beforehand.
+            mass = 0.0
+            for t in sorted(own, key=lambda t: (stats.df[t], t)):
+                if mass >= HEAD:
+                    break
+                mass += own[t] / whole
+                heads.setdefault(t, []).append((len(self.items) - 1, own[t] / whole))
+            rest.append(1 - mass)
         self.terms = {t: k for k, t in enumerate(lists)}
         self.posts = [[d for d, _ in x] for x in lists.values()]
         self.weights = [[w for _, w in x] for x in lists.values()]
         self.most = np.array([max(x) for x in self.weights] + [0.0])
+        flat = [heads.get(t, []) for t in lists]
+        self.head_n = np.array([len(x) for x in flat] + [0])
+        self.head_at = np.cumsum(self.head_n) - self.head_n
+        self.head_item, self.head_weight = np.array([d for x in flat for d, _ in x], np.int64), np.array([w for x in flat for _, w in x])
+        self.rest = np.array(rest)
         self.blocks = [[(p[min(i + BLOCK, len(p)) - 1], max(w[i : i + BLOCK])) for i in range(0, len(p), BLOCK)] for p, w in zip(self.posts, self.weights, strict=True)]
 
     def retrieve(self, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -164,6 +181,8 @@ class Index:
         """(row, item_id, score, question's share, answer's share), the best passage of each row and item."""
         plain = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+", " "), " ")
         codes, distinct, offsets = words_of(plain, " ")
+        if threshold <= 1 - HEAD:
+            raise ValueError("the threshold must be over what the terms outside the heads can give")
         term = np.fromiter((self.terms.get(w, -1) for w in distinct), np.int64, len(distinct))[codes]
         bound = np.concatenate([[0.0], np.cumsum(self.most[term])])
         half = self.passage // 2
@@ -173,11 +192,25 @@ class Index:
         begin = offsets[row] + half * (np.arange(len(row)) - np.repeat(np.cumsum(passages) - passages, passages))
         end = np.minimum(begin + self.passage, offsets[row + 1])
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for k in np.flatnonzero(bound[end] - bound[begin] >= threshold - 1e-6):
-            asked = np.unique(term[begin[k] : end[k]])
-            asked = asked[asked >= 0]
-            if self.most[asked].sum() < threshold - 1e-6:
-                continue
+        # Upper bounds rule passages out: first with repeated words counted, then with each distinct term once.
+        likely = np.flatnonzero(bound[end] - bound[begin] >= threshold - 1e-6)
+        n = end[likely] - begin[likely]
+        which = np.repeat(np.arange(len(likely)), n)
+        asked_of = term[np.repeat(begin[likely] - (np.cumsum(n) - n), n) + np.arange(len(which))]
+        known = asked_of >= 0
+        pair = np.unique(which[known] * len(self.most) + asked_of[known])
+        which, asked_of = pair // len(self.most), pair % len(self.most)
+        total = np.bincount(which, self.most[asked_of], len(likely))
+        cuts = np.searchsorted(which, np.arange(len(likely) + 1))
+        # Then by item: what its rarest terms give, and all that the others could.
+        m = self.head_n[asked_of]
+        at = np.repeat(self.head_at[asked_of] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        key, place = np.unique(np.repeat(which, m) * max(1, len(self.items)) + self.head_item[at], return_inverse=True)
+        reach = np.bincount(place, self.head_weight[at], len(key)) + self.rest[key % max(1, len(self.items))]
+        able = np.zeros(len(likely), bool)
+        able[key[reach >= threshold - 1e-6] // max(1, len(self.items))] = True
+        for nth in np.flatnonzero((total >= threshold - 1e-6) & able):
+            k, asked = likely[nth], asked_of[cuts[nth] : cuts[nth + 1]]
             if got := self.retrieve(asked.tolist(), threshold):
                 passage = [distinct[c] for c in codes[begin[k] : end[k]]]
                 for place, score in got:
