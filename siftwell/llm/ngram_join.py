@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, materialise, rows_batch, slices, strings_of, table
+from .common import arrow_schema, free_name, id_text, materialise, rows_batch, slices, strings_of, table
 from .components import components
 from .ragged import Recent
 from .shingles import SHORT, SIMILARITY, Union, band_keys, least_matches, shingles, signatures, survivors
@@ -237,6 +237,11 @@ def verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, similarity:
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links, n_text_links) of each document row."""
+    return joined(docs, similarity).drop("digest")
+
+
+def joined(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The same, with the digest of each row's text."""
     classes = classes_of(docs)
     blocks = components(candidate_edges(classes))
     links = verified(docs, classes, blocks, similarity)
@@ -250,17 +255,20 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return (
         with_digest(docs).select("doc_id", "digest").join(found, "digest", "left")
-        .select(real("doc_id").alias("doc_id"), F.when(F.col("class_id").isNull(), real("doc_id")).otherwise(real("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+        .select("digest", real("doc_id").alias("doc_id"), F.when(F.col("class_id").isNull(), real("doc_id")).otherwise(real("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
     )
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, that with the smallest doc_id, with all its columns; null and empty texts all stay."""
-    found = materialise(jaccard_join(docs, similarity), "near-copies")
-    spare = found.where("n_links > 0 and not (doc_id <=> class_id)").select("doc_id").where("doc_id is not null").distinct()
+    found = materialise(joined(docs, similarity), "near-copies")
+    spare = found.where("n_links > 0 and not (doc_id <=> class_id)").select("doc_id", "digest").distinct()
     if spare.count() <= BROADCAST_ROWS:
         spare = F.broadcast(spare)
-    left = docs.join(spare.withColumnRenamed("doc_id", "spare_id"), F.col("`doc_id`") == F.col("spare_id"), "left_anti")
+    # Names of the input's own columns are never taken.
+    other, digest = free_name(docs, "spare_id"), free_name(docs, "spare_digest")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col(digest))
+    left = docs.join(spare.toDF(other, digest), same, "left_anti")
     again = found.where("n_links > 0").groupBy("doc_id", "class_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
     if again:  # rows repeated with their id: the first of each id and text stays
         empty = F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0
