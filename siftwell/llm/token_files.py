@@ -1,12 +1,12 @@
 """Token ids of a corpus as binary files (operator 4).
 
-Documents are encoded, put in ascending order of doc_id over a range partition,
+Texts are put in ascending order of doc_id over a range partition, encoded there,
 and written to shards of patched frame-of-reference blocks (``pfor``) in the
 shared folder; a manifest table names the shards that count.  A task that is
 run again writes new files, and the manifest names those of one run only.
 
 Results: null text counts as empty (its only id is the end id).  Rows with the
-same doc_id follow one another, ordered by their ids' checksum; null doc_ids
+same doc_id follow one another, ordered by a digest of their text; null doc_ids
 come first.  An empty table gives no shards and an empty result.
 """
 
@@ -19,7 +19,6 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,60 +99,50 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-ENCODED, MANIFEST, READ = "doc_id long, crc long, ids binary", "part long, seq long, path string, n_docs long, n_ids long", "doc_id long, start long, n_tokens long, ids_crc32 long"
-
-
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, checksum of the ids, ids as compressed u16 or u32) of each whole text, end id included."""
-    schema = arrow_schema(ENCODED)
-
-    def run(batches):
-        tab, small = word_table(path), zstandard.ZstdCompressor(level=1)
-        for b in slices(batches):
-            ids, place = tab.encode(strings_of(b), end_id)
-            wide, at = ids.astype("<u4"), place.tolist()
-            crc = [zlib.crc32(wide[x:y]) for x, y in zip(at, at[1:], strict=False)]
-            yield rows_batch(schema, [b.column(0), crc, [small.compress(ids[x:y].tobytes()) for x, y in zip(at, at[1:], strict=False)]])
-
-    return id_text(docs).mapInArrow(run, ENCODED)
+MANIFEST, READ = "part long, seq long, path string, n_docs long, n_ids long", "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Write the shards below ``folder``; returns their manifest, in the order of doc_id, with ``start``."""
+    """Write the shards below ``folder``; returns their manifest, in the order of doc_id, with ``start``.
+
+    The texts themselves are dealt out by doc_id, and each task encodes what it
+    writes: ids are never stored or shuffled before they are in their files.
+    """
     path, spark = path or vocabulary_path(), docs.sparkSession
-    rows = materialise(encoded(docs, path, end_id), "token-ids")
-    total = rows.select(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
-    parts = int(max(1, min(1 << 20, max(total // (16 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    kind = word_table(path).kind.str
+    # The text's digest in the key deals out rows that share a doc_id.
+    rows = id_text(docs).withColumn("digest", F.xxhash64("text"))
+    total = rows.select(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = int(max(1, min(1 << 20, max(total // (32 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     schema = arrow_schema(MANIFEST)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
-        held, n, wide = [], 0, zstandard.ZstdDecompressor()
+        part, seq, tab = TaskContext.get().partitionId(), 0, word_table(path)
+        doc_ids, counts, held, n = [], [], [], 0
 
         def shard():
-            nonlocal seq, held, n
-            ids = [np.frombuffer(x, kind) for _, x in held]
+            nonlocal seq, n
             name = f"{folder}/{part:07d}-{seq:05d}-{uuid.uuid4().hex}.pfor"
-            put(name, pfor.encode([i for i, _ in held], np.array([len(x) for x in ids]), np.concatenate(ids)))
-            out = rows_batch(schema, [[part], [seq], [name], [len(held)], [n]])
-            seq, held, n = seq + 1, [], 0
+            put(name, pfor.encode(doc_ids, np.concatenate(counts), np.concatenate(held)))
+            out = rows_batch(schema, [[part], [seq], [name], [len(doc_ids)], [n]])
+            seq, n = seq + 1, 0
+            for x in (doc_ids, counts, held):
+                x.clear()
             return out
 
-        for b in slices(batches, "ids"):
-            for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = wide.decompress(x)
-                held.append((i, x))
-                n += len(x) // np.dtype(kind).itemsize
-                if n >= shard_ids:
-                    yield shard()
-        if held:
+        for b in slices(batches):
+            ids, place = tab.encode(strings_of(b), end_id)
+            doc_ids += b.column(0).to_pylist()
+            counts.append(np.diff(place))
+            held.append(ids)
+            n += len(ids)
+            if n >= shard_ids:
+                yield shard()
+        if n:
             yield shard()
 
-    # The checksum in the key deals out rows that share a doc_id.
-    dealt = rows.repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+    dealt = rows.repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     shards = materialise(dealt.mapInArrow(run, MANIFEST), "token-manifest")
     # Ids before each shard: within its partition, then over partitions, which are far fewer than shards' documents.
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
