@@ -14,12 +14,66 @@ def digit_array(c: Column) -> Column:
     return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: x.cast("int"))
 
 
+def luhn_sum(d: Column) -> Column:
+    """Sum of digits, each second one from the right doubled and its digits added."""
+    doubled = F.transform(digit_array(F.reverse(d)), lambda x, i: F.when(i % 2 == 0, x).otherwise(F.when(x > 4, x * 2 - 9).otherwise(x * 2)))
+    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
+
+
 def luhn(c: Column) -> Column:
     """12 to 19 digits, other characters left out, with a valid Luhn check digit."""
     d = digits(c)
-    doubled = F.transform(digit_array(F.reverse(d)), lambda x, i: F.when(i % 2 == 0, x).otherwise(F.when(x > 4, x * 2 - 9).otherwise(x * 2)))
-    total = F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
-    return F.length(d).between(12, 19) & (total % 10 == 0)
+    return F.length(d).between(12, 19) & (luhn_sum(d) % 10 == 0)
+
+
+def sin(c: Column) -> Column:
+    """Canadian social insurance number: nine digits by Luhn, the first neither 0 nor 8."""
+    d = digits(c)
+    return d.rlike("^[1-79][0-9]{8}$") & (luhn_sum(d) % 10 == 0)
+
+
+def imei(c: Column) -> Column:
+    """15 digits by Luhn, not all the same."""
+    return c.rlike("^[0-9]{15}$") & (c != F.repeat(F.substring(c, 1, 1), F.lit(15))) & (luhn_sum(c) % 10 == 0)
+
+
+ALPHABET_36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def gstin(c: Column) -> Column:
+    """Indian tax number: state 1 to 38, 97 or 99, and a check character by 36 over products' quotients and remainders."""
+    code = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.instr(F.lit(ALPHABET_36), x) - 1)
+    products = F.transform(F.slice(code, 1, 14), lambda x, i: x * (i % 2 + 1))
+    total = F.aggregate(products, F.lit(0), lambda a, x: a + F.floor(x / 36).cast("int") + x % 36)
+    state = F.substring(c, 1, 2).try_cast("int")
+    return (state.between(1, 38) | state.isin(97, 99)) & ((36 - total % 36) % 36 == F.try_element_at(code, F.lit(15)))
+
+
+#: Handles of payment addresses.
+UPI_HANDLES = ["okhdfcbank", "okicici", "oksbi", "okaxis", "paytm", "ybl", "ibl", "axl", "upi", "apl", "yapl", "abfspay", "freecharge", "airtel", "jupieraxis", "fam", "naviaxis", "superyes", "slc", "timecosmos", "waicici", "waaxis", "wahdfcbank", "wasbi", "idfcbank", "kotak", "indus", "rbl", "federal"]
+
+
+def upi_vpa(c: Column) -> Column:
+    return F.lower(F.substring_index(c, "@", -1)).isin(*UPI_HANDLES)
+
+
+def indian_licence(c: Column) -> Column:
+    """Year of issue from 1950 to now."""
+    return F.substring(F.regexp_replace(c, "[ -]", ""), 5, 4).try_cast("int").between(F.lit(1950), F.year(F.current_date()))
+
+
+def indian_mobile(c: Column) -> Column:
+    """Not one or two digits over and over, and not a run down."""
+    return ~c.isin("9876543210") & (c != F.repeat(F.substring(c, 1, 1), F.lit(10))) & (c != F.repeat(F.substring(c, 1, 2), F.lit(5)))
+
+
+def cnpj(c: Column) -> Column:
+    """Brazilian company number: two check digits by 11, not all digits the same."""
+    d = digits(c)
+    weights = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    check = lambda w: F.when(weighted_sum(d, w) % 11 < 2, 0).otherwise(11 - weighted_sum(d, w) % 11)
+    same = d == F.repeat(F.substring(d, 1, 1), F.lit(14))
+    return (F.length(d) == 14) & ~same & (check(weights) == F.substring(d, 13, 1).try_cast("int")) & (check([6, *weights]) == F.substring(d, 14, 1).try_cast("int"))
 
 
 def mod97(c: Column) -> Column:

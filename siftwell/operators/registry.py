@@ -2,42 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import Column
-
 from siftwell.functions import text as fn
+from siftwell.operators import contextual
+from siftwell.operators.rule import CONFIDENCES, PERSONAL, SEVERITIES, Near, Rule
 
-SEVERITIES, CONFIDENCES = ["critical", "high", "medium", "low"], ["certain", "likely", "possible"]
-
-
-@dataclass(frozen=True)
-class Rule:
-    """``pattern`` reads the same in Java and RE2; ``group`` holds the value.  A text without any of ``literals`` (lower case) is not searched."""
-
-    id: str
-    category: str
-    severity: str
-    confidence: str
-    pattern: str
-    literals: tuple[str, ...] = ()
-    group: int = 0
-    validate: Callable[[Column], Column] | None = None
-    advisory: bool = False
-    sample: str = ""
-
-    @property
-    def tier(self) -> str:
-        return "context" if self.category == "context" else "personal" if self.id in PERSONAL else "dangerous"
-
-    @property
-    def label(self) -> str:
-        return self.id.replace("_", " ").capitalize()
-
-
-#: Identifiers of persons and businesses that are not dangerous by themselves.
-PERSONAL = {"gstin", "ifsc", "upi_vpa", "voter_id", "indian_dl", "phone_india", "brazil_cnpj", "australia_abn", "eu_vat", "isin", "imei", "email", "person_name", "postal_address"}
+__all__ = ["BY_ID", "CONFIDENCES", "PERSONAL", "RULES", "SEVERITIES", "Near", "Rule"]
 
 
 def _token(id_: str, category: str, severity: str, prefix: str, body: str, literals: tuple[str, ...], sample: str, confidence: str = "certain") -> Rule:
@@ -97,13 +66,10 @@ RULES: list[Rule] = [
     Rule("us_ssn", "global", "critical", "likely", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("-",), validate=fn.ssn, sample="219-09-9999"),
     Rule("payment_card", "global", "critical", "certain", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", (), validate=lambda c: fn.luhn(c) & fn.card_issuer(c).isNotNull(), sample="4111 1111 1111 1111"),
     Rule("iban", "global", "high", "certain", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", (), validate=lambda c: fn.mod97(c) == 1, sample="GB82WEST12345698765432"),
-    Rule("brazil_cpf", "global", "critical", "certain", r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b", ("-",), validate=fn.cpf, sample="529.982.247-25"),
-    Rule("australia_abn", "global", "low", "certain", r"(?i)\babn[: ]{1,3}([0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3})\b", ("abn",), group=1, validate=fn.abn, sample="ABN 51 824 753 556"),
-    Rule("australia_tfn", "global", "critical", "likely", r"(?i)\btfn[: ]{1,3}([0-9]{3} ?[0-9]{3} ?[0-9]{3})\b", ("tfn",), group=1, validate=fn.tfn, sample="TFN 123 456 782"),
+    Rule("brazil_cpf", "global", "critical", "certain", r"\b[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}\b", (), validate=fn.cpf, sample="529.982.247-25"),
     Rule("aadhaar", "india", "critical", "certain", r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", (), validate=fn.aadhaar, sample="2341 2341 2346"),
     Rule("pan_india", "india", "high", "likely", r"\b[A-Z]{3}[ABCFGHJLPTKE][A-Z][0-9]{4}[A-Z]\b", (), sample="ABCPE1234F"),
     Rule("ifsc", "india", "low", "likely", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", (), sample="HDFC0ABC123"),
-    Rule("legal_privilege", "context", "critical", "certain", r"(?i)\b(?:attorney[- ]client privileged?|privileged (?:and|&) confidential|without prejudice)\b", ("privilege", "without prejudice"), advisory=True, sample="privileged and confidential"),
-    Rule("legal_hold", "context", "high", "likely", r"(?i)\b(?:legal hold|litigation hold|preservation notice)\b", ("legal hold", "litigation hold", "preservation notice"), advisory=True, sample="litigation hold"),
 ]
+RULES += contextual.CREDENTIALS + contextual.IDENTIFIERS + contextual.PHRASES
 BY_ID = {r.id: r for r in RULES}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as fn
-from siftwell.operators.registry import CONFIDENCES, RULES, SEVERITIES, Rule
+from siftwell.operators.registry import CONFIDENCES, RULES, SEVERITIES, Near, Rule
 
 #: Matches of one rule in one text; more are left out, as repeats of a shape say nothing new.
 MOST = 500
@@ -28,6 +30,12 @@ class Policy:
         return [r for r in self.rules if r.id not in self.disabled]
 
 
+def around(text: Column, start: Column, near: Near) -> Column:
+    """Whether the surroundings of a match that starts there hold the pattern."""
+    part = F.substr(text, F.greatest(start - near.before, F.lit(0)) + 1, F.least(start, F.lit(near.before)) + near.after)
+    return part.rlike(near.pattern.replace(r"\b", BOUNDARY))
+
+
 def spans(text: Column, rule: Rule, policy: Policy) -> Column:
     """array<struct<start,end,match>> of a rule; offsets count code points from 0."""
     pattern = rule.pattern.replace(r"\b", BOUNDARY)
@@ -46,6 +54,13 @@ def spans(text: Column, rule: Rule, policy: Policy) -> Column:
     found = F.filter(found, lambda f: f["match"].isNotNull() & (F.length(f["match"]) > 0))
     if rule.validate:
         found = F.filter(found, lambda f: F.coalesce(rule.validate(f["match"]), F.lit(False)))
+    if rule.refuse:
+        found = F.filter(found, lambda f: ~f["match"].rlike(rule.refuse))
+    if rule.near:
+        close = lambda f: reduce(or_, (around(text, f["start"], n) for n in rule.near))
+        found = F.filter(found, lambda f: ~f["match"].rlike(rule.near_if) | close(f) if rule.near_if else close(f))
+    if rule.never:
+        found = F.filter(found, lambda f: ~(f["match"].rlike(rule.never_if) & around(text, f["start"], rule.never)))
     if policy.allow:
         found = F.filter(found, lambda f: ~f["match"].isin(*sorted(policy.allow)))
     low = F.lower(text)

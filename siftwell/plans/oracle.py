@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftwell.functions.text import ALPHABET_36, UPI_HANDLES
 from siftwell.operators.registry import BY_ID, Rule
 from siftwell.plans.carriers import carrier_sql
 
@@ -12,9 +13,9 @@ def _list(c: str) -> str:
     return f"list_transform(string_split({DIGITS.format(c)}, ''), lambda x: CAST(x AS INT))"
 
 
-def luhn(c: str) -> str:
+def luhn(c: str, lengths: str = "BETWEEN 12 AND 19") -> str:
     d = DIGITS.format(c)
-    return f"(length({d}) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse({d}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0)"
+    return f"(length({d}) {lengths} AND list_sum(list_transform(string_split(reverse({d}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0)"
 
 
 def issuer(c: str) -> str:
@@ -46,7 +47,28 @@ def verhoeff(c: str) -> str:
     return f"(list_reduce(list_prepend(0, {step}), lambda a, x: {VERHOEFF_D}[a + 1][x + 1]) = 0)"
 
 
+def gstin(c: str) -> str:
+    code = lambda x: f"(instr('{ALPHABET_36}', {x}) - 1)"
+    state = f"CAST(substr({c}, 1, 2) AS INT)"
+    parts = f"list_transform(string_split(substr({c}, 1, 14), ''), lambda x, i: ({code('x')} * (2 - i % 2)) // 36 + ({code('x')} * (2 - i % 2)) % 36)"
+    return f"(({state} BETWEEN 1 AND 38 OR {state} IN (97, 99)) AND (list_sum({parts}) + {code(f'substr({c}, 15, 1)')}) % 36 = 0)"
+
+
+def cnpj(c: str) -> str:
+    d, tail = DIGITS.format(c), [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    check = lambda w, at: f"(CASE WHEN {weighted(c, w)} % 11 < 2 THEN 0 ELSE 11 - {weighted(c, w)} % 11 END) = CAST(substr({d}, {at}, 1) AS INT)"
+    return f"(len(list_distinct({_list(c)})) > 1 AND {check(tail, 13)} AND {check([6, *tail], 14)})"
+
+
+HANDLES = ", ".join(f"'{h}'" for h in UPI_HANDLES)
 VALID = {
+    "gstin": gstin,
+    "brazil_cnpj": cnpj,
+    "upi_vpa": lambda c: f"(lower(split_part({c}, '@', 2)) IN ({HANDLES}))",
+    "indian_dl": lambda c: f"(CAST(substr(replace(replace({c}, ' ', ''), '-', ''), 5, 4) AS INT) BETWEEN 1950 AND year(current_date))",
+    "phone_india": lambda c: f"({c} <> '9876543210' AND {c} <> repeat(left({c}, 1), 10) AND {c} <> repeat(left({c}, 2), 5))",
+    "canada_sin": lambda c: f"({luhn(c, '= 9')} AND left({c}, 1) NOT IN ('0', '8'))",
+    "imei": lambda c: f"({luhn(c, '= 15')} AND len(list_distinct({_list(c)})) > 1)",
     "payment_card": lambda c: f"{luhn(c)} AND {issuer(c)}",
     "us_ssn": lambda c: f"(substr({c}, 1, 3) NOT IN ('000', '666') AND substr({c}, 1, 1) <> '9' AND substr({c}, 5, 2) <> '00' AND substr({c}, 8, 4) <> '0000')",
     "brazil_cpf": cpf,
@@ -66,16 +88,31 @@ def fingerprint(c: str) -> str:
     return f"substr(sha256(concat(chr(0), {c})), 1, 32)"
 
 
+def quoted(pattern: str) -> str:
+    """A pattern inside an SQL string."""
+    return pattern.replace("'", "''")
+
+
 def matches(rule: Rule, source: str, key: str, text: str = "text") -> str:
     """SELECT of key, rule_id, severity, confidence, start, match of one rule."""
+    pattern = quoted(rule.pattern)
     low = " OR ".join(f"contains(lower({text}), '{x}')" for x in rule.literals) or "TRUE"
-    valid = VALID[rule.id]("m") if rule.id in VALID else "TRUE"
-    value = f"regexp_extract(f, '{rule.pattern}', {rule.group})"
-    return f"""SELECT {key}, '{rule.id}' AS rule_id, '{rule.severity}' AS severity, '{rule.confidence}' AS confidence, (s + instr(f, m) - 1)::INT AS start, m AS "match"
-      FROM (SELECT {key}, f, s, {value} AS m FROM (
-        SELECT {key}, unnest(fs) AS f, unnest(list_transform(range(1, len(fs) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(fs[1:i - 1], lambda g: length(g))), 0))) AS s
-        FROM (SELECT {key}, regexp_extract_all({text}, '{rule.pattern}') AS fs, string_split_regex({text}, '{rule.pattern}') AS gs FROM {source} WHERE {low})))
-      WHERE m <> '' AND {valid}"""
+    near = lambda n: f"regexp_matches(substr(whole, greatest(p - {n.before}, 0) + 1, least(p, {n.before}) + {n.after}), '{quoted(n.pattern)}')"
+    tests = ["m <> ''"]
+    if rule.id in VALID:
+        tests.append(VALID[rule.id]("m"))
+    if rule.refuse:
+        tests.append(f"NOT regexp_matches(m, '{quoted(rule.refuse)}')")
+    if rule.near:
+        tests.append("(" + " OR ".join([f"NOT regexp_matches(m, '{quoted(rule.near_if)}')"] * bool(rule.near_if) + [near(n) for n in rule.near]) + ")")
+    if rule.never:
+        tests.append(f"NOT (regexp_matches(m, '{quoted(rule.never_if)}') AND {near(rule.never)})")
+    value = f"regexp_extract(f, '{pattern}', {rule.group})"
+    return f"""SELECT {key}, '{rule.id}' AS rule_id, '{rule.severity}' AS severity, '{rule.confidence}' AS confidence, p::INT AS start, m AS "match"
+      FROM (SELECT {key}, whole, m, (s + instr(f, m) - 1)::BIGINT AS p FROM (SELECT {key}, whole, f, s, {value} AS m FROM (
+        SELECT {key}, whole, unnest(fs) AS f, unnest(list_transform(range(1, len(fs) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(fs[1:i - 1], lambda g: length(g))), 0))) AS s
+        FROM (SELECT {key}, {text} AS whole, regexp_extract_all({text}, '{pattern}') AS fs, string_split_regex({text}, '{pattern}') AS gs FROM {source} WHERE {low}))))
+      WHERE {" AND ".join(tests)}"""
 
 
 def rule_sql(rule: Rule) -> str:

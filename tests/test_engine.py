@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as fn
 from siftwell.operators import outcome
 from siftwell.operators.registry import BY_ID, RULES
-from siftwell.operators.scan import Policy, findings, scan
+from siftwell.operators.scan import Policy, findings, scan, spans
 from siftwell.sources.files import sniff
 
 
@@ -29,8 +29,10 @@ def test_every_rule_finds_its_sample(spark):
     from siftwell.plans.carriers import carrier_sql
 
     base = spark.createDataFrame([(3, "n")], "c_custkey long, c_name string")
-    for rule in RULES:
-        assert findings(base.select("c_custkey", F.expr(carrier_sql(rule)).alias("text")), "c_custkey", policy=Policy(rules=(rule,))).count() == 1, rule.id
+    for at in range(0, len(RULES), 12):
+        texts = base.select(*(F.expr(carrier_sql(r)).alias(r.id) for r in RULES[at : at + 12]))
+        n = texts.select(*(F.size(spans(F.col(r.id), r, Policy())).alias(r.id) for r in RULES[at : at + 12])).first().asDict()
+        assert set(n.values()) == {1}, n
 
 
 def test_scan_nulls_policy_and_redaction(spark):
@@ -69,3 +71,25 @@ def test_streaming_windows(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in windowed_alerts(events, 90.0).collect()}
     assert {tuple(r) for r in spark.sql("select * from alerts").collect()} == want
+
+
+def test_surroundings_of_a_match(spark):
+    cases = {
+        "legal_hold": [("a legal hold on the bucket", 0), ("a legal hold on the mail", 1)],
+        "security_incident": [("see CVE-2024-12345 in the compromise notes", 0), ("CVE-2024-12345 is unpatched", 1)],
+        "classification_marking": [("kept confidential by all", 0), ("note\n# Confidential", 1), ("kept CONFIDENTIAL by all", 1)],
+        "phone_india": [("sum 9812345670", 0), ("sum 98123 45670", 1), ("call 9812345670", 1), ("call 9876543210", 0)],
+        "unannounced_transaction": [("to acquire Acme soon", 0), ("to acquire Acme for $20m", 1), ("embargoed until the patch", 0)],
+        "openai_key": [("sk-ant-" + "a1" * 20, 0), ("sk-" + "a1" * 20, 1)],
+    }
+    for rule, texts in cases.items():
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(99, None)], "id long, text string")
+        got = {r.id for r in findings(df, "id", policy=Policy(rules=(BY_ID[rule],))).collect()}
+        assert got == {i for i, (_, n) in enumerate(texts) if n}, rule
+
+
+def test_identifiers(spark):
+    assert value(spark, fn.gstin, "27AAPFU0939F1ZV", "27AAPFU0939F1ZW", "45AAPFU0939F1ZV", None) == [True, False, False, None]
+    assert value(spark, fn.cnpj, "11.222.333/0001-81", "11222333000182", "00000000000000") == [True, False, False]
+    assert value(spark, fn.sin, "130 692 544", "130 692 545", "046 454 286") == [True, False, False]
+    assert value(spark, fn.imei, "490154203237518", "490154203237519", "000000000000000") == [True, False, False]
