@@ -17,11 +17,22 @@ from pyspark.sql import types as T
 from siftwell import prepare
 
 _made: list[tuple[SparkSession, str]] = []
+#: Environment of the Python workers.  Workers are used again from stage to stage; what Arrow and numpy free goes back to the system at once,
+#: so that a worker doesn't hold the largest size it ever had.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Workers find this package and give memory back; what the session's environment already says stays."""
+    env = prepare(spark).sparkContext.environment
+    for name, value in LEAN.items():
+        env.setdefault(name, value)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's reader touches the path."""
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
@@ -114,6 +125,7 @@ def strings_of(batch: pa.RecordBatch, column: str = "text") -> pa.StringArray:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id long, text string); other columns, whatever their names, stay out."""
+    lean(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -138,13 +150,11 @@ def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
 
     ``keep`` is called once a task and returns the function to use on batches.
     """
-    at = docs.columns.index(text_col)
+    lean(docs.sparkSession)
 
     def run(batches):
         judge = keep()
-        for batch in batches:
-            if batch.num_rows:
-                texts = pc.fill_null(batch.column(at), "").cast(pa.string())
-                yield batch.filter(pa.array(judge(texts), pa.bool_()))
+        for b in slices(batches, text_col, 8 << 20):
+            yield b.filter(pa.array(judge(strings_of(b, text_col)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

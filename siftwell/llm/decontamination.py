@@ -265,9 +265,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
         def keep(shared=shared):
             def judge(texts):
                 ok = np.ones(len(texts), bool)
-                step = max(1, (8 << 20) // max(1, texts.nbytes // max(1, len(texts))))
-                for at in range(0, len(texts), step):
-                    ok[[at + x[0] for x in shared.value.leaks(texts.slice(at, step), threshold, overlap)]] = False
+                ok[[x[0] for x in shared.value.leaks(texts, threshold, overlap)]] = False
                 return ok
 
             return judge

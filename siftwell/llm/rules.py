@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, rows_batch, slices, table, texts_of
+from .common import arrow_schema, filter_rows, id_text, rows_batch, slices, table, texts_of
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 #: Documents by which the rules' costs and rejections are estimated.
@@ -178,11 +178,10 @@ def kept_documents(docs: DataFrame, rules: list[Rule] = RULES, sample: int = SAM
     """The rows that the rules keep, with all their columns; rows need no key, as each is judged by its own text."""
     ordered, _ = order_rules(docs, rules, sample)
 
-    @F.pandas_udf("boolean")
-    def keep(text):
-        return text.fillna("").map(lambda t: not (d := Doc(t)).base_failed and not any(r.rejects(d) for r in ordered))
+    def judge(texts):
+        return [not (d := Doc(t)).base_failed and not any(r.rejects(d) for r in ordered) for t in texts.to_pylist()]
 
-    return docs.where(keep(F.col("`text`").cast("string")))
+    return filter_rows(docs, lambda: judge)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
