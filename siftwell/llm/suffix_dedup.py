@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -375,16 +376,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A text of which nothing is left stays as an empty one.
     """
     name = {k: free_name(docs, k) for k in ("own_id", "own_digest", "kept_text")}
-    kept = suffix_dedup(docs, texts=True).select("doc_id", "digest", "kept").dropDuplicates(["doc_id", "digest"])  # equal rows have equal results
-    schema = arrow_schema("doc_id long, digest binary, text string")
+    ddl = "own_id string, own_digest binary, kept_text string"
+    schema = arrow_schema(ddl)
 
     def decode(batches):
         for b in batches:
-            yield rows_batch(schema, [b.column(0), b.column(1), [x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()]])
+            yield rows_batch(schema, [pc.fill_null(b.column(0).cast(pa.string()), ""), b.column(1), [x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()]])
 
-    texts = kept.mapInArrow(decode, "doc_id long, digest binary, text string").toDF(*name.values())
+    kept = suffix_dedup(docs, texts=True).select("doc_id", "digest", "kept").mapInArrow(decode, ddl)
+    # Equal rows have equal results.  The texts' size can't be told from the manifest that they come from, so the join is never to be a broadcast; it uses the partitions of this step.
+    texts = kept.dropDuplicates(["own_id", "own_digest"]).toDF(*name.values()).hint("merge")
     keyed = docs.withColumn("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))  # the text itself need not move
-    out = keyed.join(texts, F.col("`doc_id`").cast("long").eqNullSafe(F.col(name["own_id"])) & (F.col("text") == F.col(name["own_digest"])))
+    own_id = F.coalesce(F.col("`doc_id`").cast("long").cast("string"), F.lit(""))
+    out = keyed.join(texts, (own_id == F.col(name["own_id"])) & (F.col("text") == F.col(name["own_digest"])))
     new = {"text": F.col(name["kept_text"]), "n_chars": F.length(name["kept_text"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
 
