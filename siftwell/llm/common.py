@@ -19,14 +19,17 @@ from siftwell import prepare
 _made: list[tuple[SparkSession, str]] = []
 #: Environment of the Python workers.  Workers are used again from stage to stage; what Arrow and numpy free goes back to the system at once,
 #: so that a worker doesn't hold the largest size it ever had.
+RECORDS, RECORDS_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Workers find this package and give memory back; what the session's environment already says stays."""
+    """Workers find this package and give memory back, and get whole texts in batches of ``RECORDS`` rows unless the session asks for fewer."""
     env = prepare(spark).sparkContext.environment
     for name, value in LEAN.items():
         env.setdefault(name, value)
+    if not 0 < int(spark.conf.get(RECORDS_CONF)) <= RECORDS:
+        spark.conf.set(RECORDS_CONF, str(RECORDS))
     return spark
 
 

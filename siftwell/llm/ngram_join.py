@@ -38,6 +38,8 @@ from .shingles import SHORT, SIMILARITY, Union, band_keys, least_matches, shingl
 
 #: Classes in a chunk; rows up to which a table of digests is broadcast (24 bytes each).
 CHUNK, BROADCAST_ROWS = 512, 1_000_000
+#: Words whose hashes a task remembers, about 170 bytes each.
+RECENT = 1 << 18
 NO_ID = (1 << 63) - 1
 
 
@@ -51,7 +53,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches):
-        known = Recent(1 << 20)
+        known = Recent(RECENT)
         for b in slices(batches, most_bytes=2 << 20):
             hashes, offsets = shingles(strings_of(b), known)
             has = np.diff(offsets) > 0
@@ -208,7 +210,7 @@ def verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, similarity:
     schema = arrow_schema(ddl)
 
     def run(batches):
-        known = Recent(1 << 20)
+        known = Recent(RECENT)
         for rows, begin, end in units(batches, 8):
             out = [[], [], [], []]
             for at, to in zip(begin, np.append(begin[1:], end), strict=True):
