@@ -35,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -324,10 +323,12 @@ def removed_bytes(seg: Segment, rows: list[tuple], buckets: int) -> np.ndarray:
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 KEPT = OUT + ", digest binary, kept binary, spans binary"
+TEXT = OUT + ", digest binary, kept string, spans binary"
 
 
-def decide(back: DataFrame, buckets: int, parts: int, texts: bool = False) -> DataFrame:
-    schema = arrow_schema(KEPT if texts else OUT)
+def decide(back: DataFrame, buckets: int, parts: int, texts: bool = False, characters: bool = False) -> DataFrame:
+    ddl = (TEXT if characters else KEPT) if texts else OUT
+    schema = arrow_schema(ddl)
 
     def run(batches):
         for rows in grouped(batches):
@@ -348,16 +349,19 @@ def decide(back: DataFrame, buckets: int, parts: int, texts: bool = False) -> Da
                 values = [None if seg.null[k] else int(seg.ids[k]), len(part), int(total[o[k + 1]] - total[o[k]]), int(spans[o[k + 1]] - spans[o[k]]), hashlib.sha256(left).hexdigest()]
                 if texts:
                     mine = slice(spans[o[k]], spans[o[k + 1]])
-                    values += [hashlib.md5(part.tobytes()).digest(), left, (np.stack([at[mine], ends[mine] + 1], 1) - o[k]).astype("<i8").tobytes()]
+                    values += [hashlib.md5(part.tobytes()).digest(), left.decode("utf-8", "ignore") if characters else left, (np.stack([at[mine], ends[mine] + 1], 1) - o[k]).astype("<i8").tobytes()]
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield rows_batch(schema, out)
 
-    return back.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, KEPT if texts else OUT)
+    return back.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, ddl)
+
 
+def suffix_dedup(docs: DataFrame, texts: bool = False, segment: int = SEGMENT, hot: int = HOT, characters: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256); with ``texts`` also the bytes kept and the removed (start, end) pairs, as i64.
 
-def suffix_dedup(docs: DataFrame, texts: bool = False, segment: int = SEGMENT, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256); with ``texts`` also the bytes kept and the removed (start, end) pairs, as i64."""
+    With ``characters`` the bytes kept are a string, without what is left of characters cut in two.
+    """
     spark = docs.sparkSession
     manifest = segments(docs, work_dir(spark, "segment-files"), segment)
     total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -366,7 +370,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, segment: int = SEGMENT, h
     buckets = 1 << max(4, min(20, int(total >> 23).bit_length()))  # about 8 MB of text for each
     codes = shared_anchors(manifest, buckets, parts, hot)
     back = repeats(contexts(codes, 2 * buckets, parts), parts)
-    return decide(back, 2 * buckets, parts, texts)
+    return decide(back, 2 * buckets, parts, texts, characters)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -376,19 +380,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A text of which nothing is left stays as an empty one.
     """
     name = {k: free_name(docs, k) for k in ("own_id", "own_digest", "kept_text")}
-    ddl = "own_id string, own_digest binary, kept_text string"
-    schema = arrow_schema(ddl)
-
-    def decode(batches):
-        for b in batches:
-            yield rows_batch(schema, [pc.fill_null(b.column(0).cast(pa.string()), ""), b.column(1), [x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()]])
-
-    kept = suffix_dedup(docs, texts=True).select("doc_id", "digest", "kept").mapInArrow(decode, ddl)
+    id_key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
+    kept = suffix_dedup(docs, texts=True, characters=True).select(id_key("doc_id"), "digest", "kept").toDF(*name.values())
     # Equal rows have equal results.  The texts' size can't be told from the manifest that they come from, so the join is never to be a broadcast; it uses the partitions of this step.
-    texts = kept.dropDuplicates(["own_id", "own_digest"]).toDF(*name.values()).hint("merge")
+    texts = kept.dropDuplicates([name["own_id"], name["own_digest"]]).hint("merge")
     keyed = docs.withColumn("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))  # the text itself need not move
-    own_id = F.coalesce(F.col("`doc_id`").cast("long").cast("string"), F.lit(""))
-    out = keyed.join(texts, (own_id == F.col(name["own_id"])) & (F.col("text") == F.col(name["own_digest"])))
+    out = keyed.join(texts, (id_key("doc_id") == F.col(name["own_id"])) & (F.col("text") == F.col(name["own_digest"])))
     new = {"text": F.col(name["kept_text"]), "n_chars": F.length(name["kept_text"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
 
