@@ -9,12 +9,16 @@ threshold: terms' upper bounds rule out nearly all passages at once, blocks'
 bounds skip items within posting lists.  What is retrieved is verified: shares
 of the question's and of the answer's word n-grams found in the passage.
 
-An item's answer is what follows its last question mark or the word "answer:";
-without either, the last quarter of its words.
+An item's answer is what follows its last question mark or the word "answer:".
+An item without either is also verified as a whole, as no one can tell where its
+answer starts: it counts when its own n-grams are found, or those of its first
+three quarters and of its last quarter, and both shares are the better of the two.
+N-grams of short texts are shorter, so that one changed word leaves at least
+``OVERLAP`` of them where that can be: words of answers, bigrams of whole items.
 
 Results: one row for each document row and item that leaks into it.  Null and
-empty texts and items without words give none.  Items of fewer words than the
-n-gram are compared whole.  Other columns are ignored.
+empty texts and items without words give none.  Whole items and questions of fewer
+words than the n-gram are compared whole.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +49,18 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def split_item(text: str) -> tuple[list[str], list[str]]:
-    """Words of an item's question and answer."""
+def marked(text: str) -> tuple[list[str], list[str]] | None:
+    """Words of an item's question and answer, if a mark parts them."""
     marks = [*re.finditer(r"\?|\banswer\s*:", text, re.IGNORECASE)]
     if marks and (answer := words(text[marks[-1].end() :])) and (question := words(text[: marks[-1].end()])):
         return question, answer
+    return None
+
+
+def split_item(text: str) -> tuple[list[str], list[str]]:
+    """Words of an item's question and answer; without a mark, the last quarter stands for the answer."""
+    if parts := marked(text):
+        return parts
     all_ = words(text)
     k = len(all_) - len(all_) // 4
     return all_[:k], all_[k:]
@@ -60,9 +71,15 @@ def grams(ws: list[str], n: int = NGRAM) -> set[tuple[str, ...]]:
     return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if n else set()
 
 
-def share(ws: list[str], passage: list[str]) -> float:
+def fitting(ws: list[str], least: int) -> int:
+    """The longest n-gram up to ``NGRAM``, but of ``least`` words, of which one changed word leaves the share ``OVERLAP``."""
+    # A changed word takes n of the len - n + 1 n-grams at most.
+    return max(least, min(NGRAM, math.floor((1 - OVERLAP) * (len(ws) + 1) / (2 - OVERLAP) + 1e-9)))
+
+
+def share(ws: list[str], passage: list[str], n: int = NGRAM) -> float:
     """Share of the n-grams of ``ws`` that the passage has; 1 if there are none."""
-    own = grams(ws)
+    own = grams(ws, n)
     if not own:
         return 1.0
     n = len(next(iter(own)))
@@ -103,7 +120,8 @@ class Index:
             whole = sum(own.values())
             for t, w in own.items():
                 lists.setdefault(t, []).append((len(self.items), w / whole))
-            self.items.append((item, *split_item(text)))
+            question, answer = split_item(text)
+            self.items.append((item, question, answer, None if marked(text) else ws))
             # The item's rarest terms, up to HEAD of its weight; what the others can add is known beforehand.
             mass = 0.0
             for t in sorted(own, key=lambda t: (stats.df[t], t)):
@@ -214,8 +232,12 @@ class Index:
             if got := self.retrieve(asked.tolist(), threshold):
                 passage = [distinct[c] for c in codes[begin[k] : end[k]]]
                 for place, score in got:
-                    item, question, answer = self.items[place]
-                    q, a = share(question, passage), share(answer, passage)
+                    item, question, answer, whole = self.items[place]
+                    if whole is None:
+                        q, a = share(question, passage), share(answer, passage, fitting(answer, 1))
+                    else:
+                        parts = min(share(question, passage), share(answer, passage))
+                        q = a = max(parts, share(whole, passage, NGRAM if len(whole) < NGRAM else fitting(whole, 2)))
                     if q >= overlap and a >= overlap:
                         key = int(row[k]), item
                         best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))

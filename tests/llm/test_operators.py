@@ -105,6 +105,22 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_items_still_leak(spark):
+    r = random.Random(11)
+    words = lambda n: [f"k{r.randrange(3000)}" for _ in range(n)]
+    items = [words(n) for n in (15, 20, 28, 29, 59)]
+    marked = [[*words(20), "?", *words(n)] for n in (5, 7, 9)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items + marked)], "item_id long, text string")
+    copies = [(i, [*x[:k], "changed", *x[k + 1 :]]) for i, x in enumerate(items) for k in range(len(x))]
+    copies += [(len(items) + i, [*x[:k], "changed", *x[k + 1 :]]) for i, x in enumerate(marked) for k in range(21, len(x))]
+    texts = [" ".join([*words(100), *x, *words(100)]) for _, x in copies]
+    # Neither half an item nor its words in another order are a copy.
+    for x in items:
+        texts += [" ".join([*words(100), *x[: len(x) // 2], *words(100)]), " ".join([*words(100), *x[::-1], *words(100)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()} == {(k, i) for k, (i, _) in enumerate(copies)}
+
+
 def test_frame_of_reference_round_trip():
     r = np.random.default_rng(4)
     for n in (0, 1, 127, 128, 129, 5000):
