@@ -67,7 +67,9 @@ def spans(text: Column, rule: Rule, policy: Policy) -> Column:
     gate = None
     for literal in rule.literals:
         gate = low.contains(literal) if gate is None else gate | low.contains(literal)
-    return F.when(text.isNotNull() & (gate if gate is not None else F.lit(True)), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    # Searched for one match first: most texts have none, and then nothing is split.
+    some = text.isNotNull() & (gate if gate is not None else F.lit(True)) & text.rlike(pattern)
+    return F.when(some, found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def finding(f: Column, rule: Rule, policy: Policy) -> Column:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from siftwell import prepare
 from siftwell.functions import text as fn
 from siftwell.operators import outcome
-from siftwell.operators.registry import BY_ID, RULES, Rule
+from siftwell.operators.registry import RULES, Rule
 from siftwell.operators.scan import Policy, findings, groups, scan, with_lines
 from siftwell.plans import oracle
 from siftwell.plans.carriers import carrier_sql
 from siftwell.streaming.alerts import watch, windowed_alerts
 
+#: The SQL has these rules only, and no overlap resolution; the queries have all rules.
 IN_PROSE = ["email", "payment_card"]
-PROSE = Policy(rules=tuple(BY_ID[i] for i in IN_PROSE))
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def rule_query(rule: Rule) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return findings(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", policy=PROSE)
+    return findings(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def doc_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,11 +45,11 @@ def findings_by_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdict_per_doc(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(_t(spark, sf, "documents").select("doc_id", "text"), policy=PROSE).select("doc_id", "verdict", F.size("findings").cast("long").alias("n"))
+    return scan(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "verdict", F.size("findings").cast("long").alias("n"))
 
 
 def alarm_rate_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    v = scan(_t(spark, sf, "documents").select("lang", "text"), policy=PROSE).select("lang", (F.col("verdict") != "clean").cast("long").alias("alarm"))
+    v = scan(_t(spark, sf, "documents").select("lang", "text")).select("lang", (F.col("verdict") != "clean").cast("long").alias("alarm"))
     return v.groupBy("lang").agg(F.sum("alarm").alias("alarms"), F.count("*").alias("docs"))
 
 
@@ -75,7 +75,7 @@ def reused_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redacted_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = outcome.redact(scan(_t(spark, sf, "documents").select("doc_id", "text"), policy=Policy(rules=(BY_ID["email"],))))
+    docs = outcome.redact(scan(_t(spark, sf, "documents").select("doc_id", "text")))
     return docs.where(F.size("findings") > 0).select("doc_id", F.sha2("redacted", 256).alias("digest"))
 
 
@@ -85,7 +85,7 @@ def rollup_lang_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_values(spark: SparkSession, sf: str) -> DataFrame:
-    return watch(_t(spark, sf, "conversations"), PROSE).select("conv_id", "rule_id", "fingerprint")
+    return watch(_t(spark, sf, "conversations"), Policy()).select("conv_id", "rule_id", "fingerprint")
 
 
 def page_attributes(spark: SparkSession, sf: str) -> DataFrame:
