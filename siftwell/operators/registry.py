@@ -13,6 +13,39 @@ def _token(id_: str, category: str, severity: str, prefix: str, body: str, liter
     return Rule(id_, category, severity, confidence, rf"\b{prefix}{body}", literals, sample=sample)
 
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BB BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    """Groups of four, each but the first after a space or not, to the country's length."""
+    whole, rest = divmod(length - 4, 4)
+    tail = f"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{whole}}}{tail}"
+
+
+IBAN = r"\b(?:" + "|".join(_iban(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b"
+
+
 #: Published shapes of vendors' tokens.  In samples, hNN stands for NN hexadecimal digits.
 RULES: list[Rule] = [
     _token("aws_access_key_id", "cloud", "critical", "(?:AKIA|ASIA|ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|AROA)", r"[A-Z2-7]{16}\b", ("akia", "asia", "abia", "acca", "agpa", "aida", "aipa", "anpa", "anva", "aroa"), "AKIA" + "ABCD2345" * 2),
@@ -22,7 +55,7 @@ RULES: list[Rule] = [
     _token("azure_storage_key", "cloud", "critical", "AccountKey=", r"[A-Za-z0-9+/]{64,}={0,2}", ("accountkey=",), "AccountKey={h64}=="),
     _token("github_token", "source", "critical", "gh[pousr]_", r"[A-Za-z0-9]{36}\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "ghp_{h36}"),
     _token("github_pat_fine_grained", "source", "critical", "github_pat_", r"[A-Za-z0-9_]{60,}", ("github_pat_",), "github_pat_{h64}"),
-    _token("gitlab_token", "source", "critical", "(?:glpat|gldt|glrt|glcbt|glptt|glft|glsoat)-", r"[0-9A-Za-z_-]{20,}", ("glpat-", "gldt-", "glrt-", "glcbt-", "glptt-", "glft-", "glsoat-"), "glpat-{h20}"),
+    _token("gitlab_token", "source", "critical", "(?:glpat|gldt|glrt|glcbt|glptt|glft|glsoat|glimt|glagent)-", r"[0-9A-Za-z_-]{20,}", ("glpat-", "gldt-", "glrt-", "glcbt-", "glptt-", "glft-", "glsoat-", "glimt-", "glagent-"), "glpat-{h20}"),
     _token("npm_token", "source", "critical", "npm_", r"[A-Za-z0-9]{36}\b", ("npm_",), "npm_{h36}"),
     _token("pypi_token", "source", "critical", "pypi-AgEIcHlwaS5vcmc", r"[A-Za-z0-9_-]{50,}", ("pypi-ageichlwas5vcmc",), "pypi-AgEIcHlwaS5vcmc{h64}"),
     _token("rubygems_token", "source", "critical", "rubygems_", r"[a-f0-9]{48}\b", ("rubygems_",), "rubygems_{h48}"),
@@ -42,7 +75,7 @@ RULES: list[Rule] = [
     _token("razorpay_key", "payments", "critical", "rzp_(?:live|test)_", r"[0-9A-Za-z]{14,}", ("rzp_live_", "rzp_test_"), "rzp_live_{h14}"),
     _token("paypal_token", "payments", "critical", r"access_token\$production\$", r"[0-9a-z]{16}\$[0-9a-f]{32}\b", ("access_token$production$",), "access_token$production${h16}${h32}"),
     _token("slack_token", "communications", "critical", "xox[baprse]-", r"[0-9A-Za-z-]{10,}", ("xox",), "xoxb-{h24}"),
-    _token("slack_webhook", "communications", "high", r"hooks\.slack\.com/services/", r"T[0-9A-Za-z]+/B[0-9A-Za-z]+/[0-9A-Za-z]{16,}", ("hooks.slack.com",), "hooks.slack.com/services/T01/B02/{h24}"),
+    _token("slack_webhook", "communications", "high", r"(?:https://)?hooks\.slack\.com/services/", r"T[0-9A-Za-z_]+/B[0-9A-Za-z_]+/[0-9A-Za-z_]+", ("hooks.slack.com",), "hooks.slack.com/services/T01/B02/{h24}"),
     _token("telegram_bot_token", "communications", "high", "[0-9]{8,10}:AA", r"[0-9A-Za-z_-]{32,34}", (":aa",), "123456789:AA{h33}"),
     _token("sendgrid_key", "communications", "high", r"SG\.", r"[0-9A-Za-z_-]{20,}\.[0-9A-Za-z_-]{20,}", ("sg.",), "SG.{h22}.{h43}"),
     _token("twilio_key", "communications", "high", "(?:AC|SK)", r"[0-9a-f]{32}\b", ("ac", "sk"), "AC{h32}"),
@@ -59,13 +92,13 @@ RULES: list[Rule] = [
     _token("atlassian_token", "data", "high", "ATATT3", r"[0-9A-Za-z_=-]{180,}", ("atatt3",), "ATATT3{h186}"),
     _token("dropbox_token", "data", "high", r"sl\.", r"[0-9A-Za-z_-]{130,}", ("sl.",), "sl.{h135}"),
     _token("newrelic_key", "data", "high", "NRAK-", r"[0-9A-Z]{27}\b", ("nrak-",), "NRAK-" + "ABC012345" * 3),
-    _token("grafana_token", "data", "high", "(?:glca|glsa|glc|gls)_", r"[0-9A-Za-z+/=_]{32,}", ("glc_", "glsa_"), "glsa_{h32}"),
+    _token("grafana_token", "data", "high", "(?:glca|glsa|glc|gls)_", r"[0-9A-Za-z+/=_-]{32,}", ("glc_", "glsa_"), "glsa_{h32}"),
     _token("sentry_token", "data", "high", "(?:sntrys_", r"[0-9A-Za-z_=+/-]{50,}|sntryu_[0-9a-f]{64})", ("sntrys_", "sntryu_"), "sntryu_{h64}"),
     Rule("private_key_block", "generic", "critical", "certain", "-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED|PGP) )?PRIVATE KEY(?: BLOCK)?-----", ("private key",), sample="-----BEGIN RSA PRIVATE KEY-----"),
     Rule("email", "global", "low", "certain", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", ("@",), sample="u{h8}@mail.org"),
     Rule("us_ssn", "global", "critical", "likely", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("-",), validate=fn.ssn, sample="219-09-9999"),
     Rule("payment_card", "global", "critical", "certain", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", (), validate=lambda c: fn.luhn(c) & fn.card_issuer(c).isNotNull(), sample="4111 1111 1111 1111"),
-    Rule("iban", "global", "high", "certain", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", (), validate=lambda c: fn.mod97(c) == 1, sample="GB82WEST12345698765432"),
+    Rule("iban", "global", "high", "certain", IBAN, (), validate=lambda c: fn.mod97(c) == 1, sample="GB82WEST12345698765432"),
     Rule("brazil_cpf", "global", "critical", "certain", r"\b[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}\b", (), validate=fn.cpf, sample="529.982.247-25"),
     Rule("aadhaar", "india", "critical", "certain", r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", (), validate=fn.aadhaar, sample="2341 2341 2346"),
     Rule("pan_india", "india", "high", "likely", r"\b[A-Z]{3}[ABCFGHJLPTKE][A-Z][0-9]{4}[A-Z]\b", (), sample="ABCPE1234F"),

@@ -1,5 +1,7 @@
 """Queries over documents, on texts that need more than the rules of the SQL."""
 
+from siftwell.operators.registry import BY_ID
+from siftwell.operators.scan import Policy, findings
 from siftwell.plans import queries
 
 TEXTS = [
@@ -24,3 +26,25 @@ def test_all_rules_run_over_documents(spark, tmp_path):
     assert found == {(1, "aws_access_key_id"), (2, "us_ssn"), (2, "email"), (3, "private_key_block"), (4, "aadhaar")}
     assert {r.doc_id: r.verdict for r in queries.verdict_per_doc(spark, sf).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "clean", 6: "clean"}
     assert {r.doc_id for r in queries.redacted_docs(spark, sf).collect()} == {1, 2, 3, 4}
+
+
+def values(spark, rule, *texts):
+    """The values that one rule finds in each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = findings(df, "id", policy=Policy(rules=(BY_ID[rule],))).collect()
+    return [[r["match"] for r in sorted(got, key=lambda r: r.start) if r.id == i] for i in range(len(texts))]
+
+
+def test_each_accepted_form(spark):
+    gb, es = "GB82WEST12345698765432", "ES9121000418450200051332"
+    forms = [gb, "GB82 WEST 1234 5698 7654 32", es, "ES91 2100 0418 4502 0005 1332"]
+    assert values(spark, "iban", *(f"to {x} 2024 paid" for x in forms)) == [[x] for x in forms]
+    # A valid check number, but not the country's length.
+    assert values(spark, "iban", "BB7120133083564", "GB82 WEST 1234 5698 7654 33") == [[], []]
+    body = "ab12" * 5
+    forms = [f"{p}-{body}" for p in ("glpat", "glptt", "gldt", "glrt", "glsoat", "glimt", "glagent")]
+    assert values(spark, "gitlab_token", *(f"is {x} ok" for x in forms)) == [[x] for x in forms]
+    forms = ["https://hooks.slack.com/services/T0_1/B0_2/ab_cd", "hooks.slack.com/services/T01/B02/" + body]
+    assert values(spark, "slack_webhook", *(f"is {x} ok" for x in forms)) == [[x] for x in forms]
+    forms = ["glsa_" + "ab-12_" * 6, "glc_" + "ab1=" * 8]
+    assert values(spark, "grafana_token", *(f"is {x} ok" for x in forms)) == [[x] for x in forms]
