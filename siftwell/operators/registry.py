@@ -46,6 +46,10 @@ def _iban(length: int, countries: str) -> str:
 IBAN = r"\b(?:" + "|".join(_iban(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b"
 
 
+#: Up to one digit more than a card has, joined by single blanks, hyphens or points, with what stands in one word with
+#: them: what has a word's letters, a point or too many digits is no card, and neither is a part of it.
+CARD = r"\b\w*[0-9](?:[ .-]?[0-9]){12,19}\w*"
+
 #: Published shapes of vendors' tokens.  In samples, hNN stands for NN hexadecimal digits.
 RULES: list[Rule] = [
     _token("aws_access_key_id", "cloud", "critical", "(?:AKIA|ASIA|ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|AROA)", r"[A-Z2-7]{16}\b", ("akia", "asia", "abia", "acca", "agpa", "aida", "aipa", "anpa", "anva", "aroa"), "AKIA" + "ABCD2345" * 2),
@@ -97,7 +101,7 @@ RULES: list[Rule] = [
     Rule("private_key_block", "generic", "critical", "certain", "-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED|PGP) )?PRIVATE KEY(?: BLOCK)?-----", ("private key",), sample="-----BEGIN RSA PRIVATE KEY-----"),
     Rule("email", "global", "low", "certain", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", ("@",), sample="u{h8}@mail.org"),
     Rule("us_ssn", "global", "critical", "likely", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("-",), validate=fn.ssn, sample="219-09-9999"),
-    Rule("payment_card", "global", "critical", "certain", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", (), validate=lambda c: fn.luhn(c) & fn.card_issuer(c).isNotNull(), sample="4111 1111 1111 1111"),
+    Rule("payment_card", "global", "critical", "certain", CARD, (), refuse="[^0-9 -]", never=Near("[0-9][ .-]$", 2, 0), validate=lambda c: fn.luhn(c) & fn.card_issuer(c).isNotNull(), sample="4111 1111 1111 1111"),
     Rule("iban", "global", "high", "certain", IBAN, (), validate=lambda c: fn.mod97(c) == 1, sample="GB82WEST12345698765432"),
     Rule("brazil_cpf", "global", "critical", "certain", r"\b[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}\b", (), validate=fn.cpf, sample="529.982.247-25"),
     Rule("aadhaar", "india", "critical", "certain", r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", (), validate=fn.aadhaar, sample="2341 2341 2346"),

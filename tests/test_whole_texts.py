@@ -48,3 +48,12 @@ def test_each_accepted_form(spark):
     assert values(spark, "slack_webhook", *(f"is {x} ok" for x in forms)) == [[x] for x in forms]
     forms = ["glsa_" + "ab-12_" * 6, "glc_" + "ab1=" * 8]
     assert values(spark, "grafana_token", *(f"is {x} ok" for x in forms)) == [[x] for x in forms]
+
+
+def test_a_card_is_a_whole_number(spark):
+    card = "4111 1111 1111 1111"
+    cards = [card, "4111-1111-1111-1111.", "4111111111111111, 5", "(4242424242424242)", "4111111111111111. 5 of"]
+    want = [[card], ["4111-1111-1111-1111"], ["4111111111111111"], ["4242424242424242"], ["4111111111111111"]]
+    assert values(spark, "payment_card", *cards) == want
+    parts = ["-0.6358599286615808", "4111111111111111.5", "12 " + card, "a5 " + card, card + " 5a", "123 456 789 123 456 789 123 456 789", "x" + card, "4111.1111.1111.1111", "12345678901234567890 " + card, "7" * 50_000, "7 " * 50_000 + card]
+    assert values(spark, "payment_card", *parts) == [[] for _ in parts]
