@@ -8,10 +8,44 @@ from pyspark.sql import functions as F
 WEIGHT = {"critical": 34.0, "high": 18.0, "medium": 8.0, "low": 2.0}
 TRUST = {"certain": 1.0, "likely": 0.85, "possible": 0.6}
 
-#: Regulations by rule.
+#: Regulations by rule, and the place in each; rules that are not in yet included.
 REGIMES = [
-    ("payment_card", "PCI DSS"), ("email", "GDPR"), ("email", "DPDP"), ("us_ssn", "GLBA"), ("us_ssn", "CCPA"), ("iban", "GDPR"), ("iban", "PSD2"),
-    ("aadhaar", "Aadhaar Act"), ("aadhaar", "DPDP"), ("pan_india", "DPDP"), ("ifsc", "DPDP"), ("brazil_cpf", "LGPD"), ("australia_tfn", "Privacy Act"),
+    ("email", "GDPR", "Art. 4(1)"), ("email", "DPDP", "S. 2(t)"),
+    ("phone_india", "GDPR", "Art. 4(1)"), ("phone_india", "DPDP", "S. 2(t)"),
+    ("aadhaar", "DPDP", "S. 2(t) + Aadhaar Act S. 29"), ("aadhaar", "GDPR", "Art. 87"),
+    ("pan_india", "DPDP", "S. 2(t)"), ("pan_india", "Income Tax Act", "S. 139A"),
+    ("gstin", "GST Act", "S. 25"),
+    ("us_ssn", "US state breach laws", "e.g. CA Civ. Code 1798.82"), ("us_ssn", "GLBA", "Safeguards Rule"),
+    ("uk_nino", "GDPR", "Art. 87"),
+    ("canada_sin", "PIPEDA", "Sch. 1 4.3"),
+    ("brazil_cpf", "LGPD", "Art. 5(I)"),
+    ("indian_passport", "DPDP", "S. 2(t)"),
+    ("voter_id", "DPDP", "S. 2(t)"),
+    ("indian_dl", "DPDP", "S. 2(t)"),
+    ("person_name", "GDPR", "Art. 4(1)"), ("person_name", "DPDP", "S. 2(t)"),
+    ("date_of_birth", "GDPR", "Art. 4(1)"), ("date_of_birth", "DPDP", "S. 2(t)"),
+    ("postal_address", "GDPR", "Art. 4(1)"), ("postal_address", "DPDP", "S. 2(t)"),
+    ("payment_card", "PCI DSS", "Req. 3.3"), ("payment_card", "GDPR", "Art. 4(1)"),
+    ("iban", "GDPR", "Art. 4(1)"),
+    ("upi_vpa", "DPDP", "S. 2(t)"), ("upi_vpa", "RBI", "Master Direction on Digital Payment Security"),
+    ("health_information", "GDPR", "Art. 9(1)"), ("health_information", "HIPAA", "45 CFR 164.502"), ("health_information", "DPDP", "S. 2(t)"),
+    ("mnpi", "SEC", "Reg FD / Rule 10b5-1"), ("mnpi", "SEBI", "PIT Regulations 2015, Reg. 3"), ("mnpi", "UK MAR", "Art. 10"),
+    ("legal_privilege", "Legal privilege", "common law"),
+    ("compensation_data", "GDPR", "Art. 4(1)"), ("compensation_data", "DPDP", "S. 2(t)"),
+    ("deal_material", "Contract", "NDA / confidentiality undertaking"),
+    ("unannounced_transaction", "SEC", "Reg FD / Rule 10b5-1"), ("unannounced_transaction", "SEBI", "PIT Regulations 2015, Reg. 3"), ("unannounced_transaction", "UK MAR", "Art. 10"), ("unannounced_transaction", "Contract", "NDA / confidentiality undertaking"),
+    ("negotiation_position", "Contract", "NDA / confidentiality undertaking"),
+    ("trade_secret", "EU Trade Secrets Directive", "2016/943 Art. 2"), ("trade_secret", "US DTSA", "18 U.S.C. 1839(3)"),
+    ("workforce_action", "GDPR", "Art. 4(1)"), ("workforce_action", "DPDP", "S. 2(t)"), ("workforce_action", "Employment law", "consultation duties vary by jurisdiction"),
+    ("legal_hold", "Legal privilege", "common law"), ("legal_hold", "Discovery / disclosure", "e.g. FRCP 26, CPR 31"),
+    ("internal_pricing", "Contract", "NDA / confidentiality undertaking"),
+    ("prompt_injection", "OWASP GenAI", "LLM01 Prompt Injection"),
+    ("aws_access_key_id", "SOC 2 / ISO 27001", "A.9 access control"),
+    ("private_key_block", "SOC 2 / ISO 27001", "A.10 cryptography"),
+    ("db_connection_string", "SOC 2 / ISO 27001", "A.9 access control"),
+    ("stripe_live_key", "PCI DSS", "Req. 8"),
+    ("credential_in_prose", "SOC 2 / ISO 27001", "A.9 access control"),
+    ("security_incident", "SOC 2 / ISO 27001", "A.16 incident management"), ("security_incident", "GDPR", "Art. 33"),
 ]
 
 
@@ -32,9 +66,9 @@ def exposure(found: DataFrame, id_col: str) -> DataFrame:
 
 
 def regimes(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, regime, first_start): regulations that the findings concern; the table of rules is a few rows."""
-    known = found.sparkSession.createDataFrame(REGIMES, "rule_id string, regime string")
-    return found.join(F.broadcast(known), "rule_id").groupBy(id_col, "regime").agg(F.min("start").alias("first_start"))
+    """(id, regime, first_start, refs): regulations that the findings concern and their places; the table of rules is a few rows."""
+    known = found.sparkSession.createDataFrame(REGIMES, "rule_id string, regime string, ref string")
+    return found.join(F.broadcast(known), "rule_id").groupBy(id_col, "regime").agg(F.min("start").alias("first_start"), F.array_sort(F.collect_set("ref")).alias("refs"))
 
 
 def redact(scanned: DataFrame, text_col: str = "text") -> DataFrame:

@@ -66,7 +66,7 @@ def exposure_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regimes_per_doc(spark: SparkSession, sf: str) -> DataFrame:
-    return outcome.regimes(found(spark, sf), "doc_id")
+    return outcome.regimes(found(spark, sf), "doc_id").drop("refs")
 
 
 def reused_values(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries over documents, on texts that need more than the rules of the SQL."""
 
+from siftwell.operators import outcome
 from siftwell.operators.registry import BY_ID
 from siftwell.operators.scan import Policy, findings
 from siftwell.plans import queries
@@ -57,3 +58,12 @@ def test_a_card_is_a_whole_number(spark):
     assert values(spark, "payment_card", *cards) == want
     parts = ["-0.6358599286615808", "4111111111111111.5", "12 " + card, "a5 " + card, card + " 5a", "123 456 789 123 456 789 123 456 789", "x" + card, "4111.1111.1111.1111", "12345678901234567890 " + card, "7" * 50_000, "7 " * 50_000 + card]
     assert values(spark, "payment_card", *parts) == [[] for _ in parts]
+
+
+def test_whole_map_of_regimes(spark):
+    ids = ["payment_card", "gstin", "mnpi", "aws_access_key_id", "iban", "ifsc", "health_information"]
+    found = spark.createDataFrame([(i, r, i) for i, r in enumerate(ids)], "id long, rule_id string, start int")
+    got: dict[int, set[str]] = {}
+    for r in outcome.regimes(found, "id").collect():
+        got.setdefault(r.id, set()).add(r.regime)
+    assert got == {0: {"PCI DSS", "GDPR"}, 1: {"GST Act"}, 2: {"SEC", "SEBI", "UK MAR"}, 3: {"SOC 2 / ISO 27001"}, 4: {"GDPR"}, 6: {"GDPR", "HIPAA", "DPDP"}}
