@@ -1,9 +1,10 @@
 """License scan (operator 6).
 
-Units of a text (each line, each paragraph, runs of lines as long as a
-template, and the whole text) are normalised to lower-case words and compared
+Texts are normalised to lower-case words, and all their windows of words (lines,
+sentences and paragraphs are some of them) compared
 with licence templates by the Dice coefficient of their sets of word bigrams,
-2 |A and B| / (|A| + |B|) >= 0.8.  Candidates are pruned by size bounds: a
+2 |A and B| / (|A| + |B|) >= 0.8.  The best windows start and end with bigrams of
+the template that are not again inside.  Candidates are pruned by size bounds: a
 template with b bigrams fits units with b * t / (2 - t) to b * (2 - t) / t of
 them only.  A text is looked at in full when it has one of the bigrams that a
 match can't do without: of a template's bigrams, the rarest ones of which a
@@ -82,9 +83,14 @@ class Templates:
         self.all = sorted(((len(g), name, g) for name, text in templates if (g := bigrams(words(text)))), key=lambda t: (-t[0], t[1]))
         often = Counter(g for _, _, grams in self.all for g in grams)
         need: set[tuple[str, str]] = set()
-        for n, _, grams in self.all:
+        self.having: dict[tuple[str, str], list[int]] = {}
+        self.common: list[int] = []
+        for nth, (n, _, grams) in enumerate(self.all):
+            for g in grams:
+                self.having.setdefault(g, []).append(nth)
             # With k common ones, 2k / (n + |unit|) >= t and |unit| >= k give k >= t n / (2 - t).
             k = math.ceil(threshold * n / (2 - threshold) - 1e-9)
+            self.common.append(k)
             need |= set(sorted(grams, key=lambda g: (often[g], g))[: n - k + 1])
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for g in need for w in g}))}
         self.need = np.zeros((len(self.vocabulary) + 1,) * 2, bool)
@@ -112,45 +118,40 @@ class Templates:
         return out
 
     def scan(self, text: str) -> dict[str, float]:
-        """Best coefficient by name, over the text's units."""
-        lines = [words(x) for x in text.split("\n")]
-        own = [bool((ids := [self.vocabulary.get(w, -1) for w in ws]) and any(self.need[a, b] for a, b in zip(ids, ids[1:], strict=False))) for ws in lines]
-        seam = [bool(a and b and self.need[self.vocabulary.get(a[-1], -1), self.vocabulary.get(b[0], -1)]) for a, b in zip(lines, lines[1:], strict=False)]
+        """Best coefficient by name, over the text's windows."""
+        ws = words(text)
+        pairs = list(zip(ws, ws[1:], strict=False))
+        places: dict[int, list[int]] = {}
+        for i, g in enumerate(pairs):
+            for nth in self.having.get(g, ()):
+                places.setdefault(nth, []).append(i)
         out: dict[str, float] = {}
-
-        def see(unit: list[str]) -> None:
-            for name, dice in self.matches(unit).items():
-                out[name] = max(out.get(name, 0.0), dice)
-
-        see([w for ws in lines for w in ws])
-        part: list[str] = []
-        for ws, raw in zip([*lines, []], [*text.split("\n"), ""], strict=True):
-            if raw.strip():
-                part += ws
-            elif part:
-                see(part)
-                part = []
-        longest = int(self.most) + 1
-        hits = [i for i, x in enumerate(own) if x] + [i + 1 for i, x in enumerate(seam) if x]
-        starts = sorted({i for h in hits for i in self.reach(lines, h, longest)})
-        for i in starts:
-            run: list[str] = []
-            for j in range(i, len(lines)):
-                run = run + lines[j]
-                if lines[j]:
-                    see(run)
-                if len(bigrams(run)) > self.most:
-                    break
-        return out
-
-    @staticmethod
-    def reach(lines: list[list[str]], hit: int, longest: int) -> list[int]:
-        """Lines from which a run as long as the longest template can come to line ``hit``."""
-        out, n, i = [hit], 0, hit
-        while i > 0 and n <= longest:
-            i -= 1
-            n += len(lines[i])
-            out.append(i)
+        for nth, at in places.items():
+            (n, name, own), high, k = self.all[nth], self.bounds[nth][1], self.common[nth]
+            if len({pairs[i] for i in at}) < k:
+                continue
+            again: dict[tuple[str, str], int] = {}  # the next place of each bigram, from behind
+            for x in range(len(at) - 1, -1, -1):
+                start = at[x]
+                end = again.get(pairs[start], len(pairs))
+                again[pairs[start]] = start
+                if x + k > len(at) or at[x + k - 1] >= end:
+                    continue
+                seen: set[tuple[str, str]] = set()
+                found = 0
+                for j in range(start, end):
+                    g = pairs[j]
+                    if g in seen:
+                        continue
+                    seen.add(g)
+                    if len(seen) > high:
+                        break
+                    if g in own:
+                        found += 1
+                        if found >= k and (dice := 2 * found / (n + len(seen))) >= self.threshold:
+                            out[name] = max(out.get(name, 0.0), dice)
+                        if found == n:
+                            break
         return out
 
 

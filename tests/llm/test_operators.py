@@ -228,6 +228,26 @@ def test_licenses(spark):
         assert known.matches(unit) == every
 
 
+def test_licenses_inside_lines():
+    known = licenses.Templates(licenses.TEMPLATES)
+    mit, apache = licenses.TEMPLATES[2][1], licenses.TEMPLATES[4][1]
+    assert known.scan("Copyright (c) 2024 Foo Bar Inc. All rights reserved. Released under the MIT License.") == {"MIT": 1.0}
+    assert known.scan(f"{LONG[:3000]} {mit} {LONG[:3000]}")["MIT"] == 1.0
+    assert known.scan(f"<p>{apache.replace('the license', 'this license', 1)}</p> var x = 1; " + LONG[:3000])["Apache-2.0"] > 0.9
+    # Against every window of small texts, repeats of words included.
+    small = [("A", "a b c d e"), ("B", "c d a b a c"), ("C", "d d e e a")]
+    few, r = licenses.Templates(small), random.Random(5)
+    for _ in range(300):
+        ws = [r.choice("abcdexy") for _ in range(r.randrange(2, 40))]
+        every: dict[str, float] = {}
+        for i in range(len(ws)):
+            for j in range(i + 2, len(ws) + 1):
+                for name, dice in few.matches(ws[i:j]).items():
+                    every[name] = max(every.get(name, 0.0), dice)
+        assert few.scan(" ".join(ws)) == every
+    assert known.scan("released under the mit " * 20_000)["MIT"] > 0.8
+
+
 def test_suffix_order():
     r = random.Random(7)
     for _ in range(60):
