@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b longs); the root is the component's smallest node.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most.
+    Each round is written to the shared folder, so a lost executor costs one round at most.  Rounds go on until the
+    edges stop changing; when ``most_rounds`` of them do not suffice, that is an error.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, last = materialise(edges, "edges"), None
-    for _ in range(most_rounds):
+    for done in count():
+        if done == most_rounds:
+            raise RuntimeError(f"components have not settled after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: larger neighbours go to the smallest.

@@ -212,6 +212,13 @@ def test_components_chain(spark):
     assert {got[k] for k in range(61)} == {0} and {got[k] for k in (100, 101, 102)} == {100}
 
 
+def test_components_settle_or_fail(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {tuple(x) for x in components.components(path).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.components(path, most_rounds=1)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[2][1]
     texts = ["some words\nReleased under the MIT License.\nmore", mit.replace(", ", ",\n"), "Licensed under CC BY-NC 4.0.", "Licensed under the license of nobody in particular", None, "", LONG, "This work is licensed under the GNU General Public License, version 3."]
