@@ -17,10 +17,11 @@ from pyspark.sql import types as T
 from siftwell import prepare
 
 _made: list[tuple[SparkSession, str]] = []
-#: Environment of the Python workers.  Workers are used again from stage to stage; what Arrow and numpy free goes back to the system at once,
-#: so that a worker doesn't hold the largest size it ever had.
+#: Environment of the Python workers.  Workers are used again from stage to stage; what Arrow and numpy free goes back to the system,
+#: so that a worker doesn't hold the largest size it ever had.  Pieces up to 16 MB stay for the next array: numpy's temporaries
+#: would else be mapped, cleared and unmapped each time.
 RECORDS, RECORDS_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
 
 
 def lean(spark: SparkSession) -> SparkSession:
