@@ -283,14 +283,21 @@ def repeats(runs: DataFrame, parts: int) -> DataFrame:
             size = np.concatenate([x for x, _, _ in got]).astype(np.int64)
             least = np.concatenate([x for _, x, _ in got])
             data = np.concatenate([x for _, _, x in got])
-            n = size - LENGTH + 1
-            begin = np.cumsum(size) - size
-            starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            owner = np.repeat(least, n)
+            # Contexts that several segments have are sorted once, with the smallest of their doc_ids.
+            raw, ends, nth = data.tobytes(), np.cumsum(size), {}
+            which = np.fromiter((nth.setdefault(raw[e - m : e], len(nth)) for e, m in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
+            one = np.empty(len(nth), np.int64)
+            one[which[::-1]] = np.arange(len(size))[::-1]
+            lowest = np.full(len(nth), NO_ID, np.int64)
+            np.minimum.at(lowest, which, least)
+            n = size[one] - LENGTH + 1
+            first = np.cumsum(n) - n
+            starts = np.repeat((ends - size)[one] - first, n) + np.arange(n.sum())
             order, new = deep_shallow(data, starts, LENGTH)
-            smallest = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-            found = np.empty(len(starts), bool)
-            found[order] = smallest < owner[order]
+            smallest = np.empty(len(starts), np.int64)
+            smallest[order] = np.minimum.reduceat(np.repeat(lowest, n)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            n = size - LENGTH + 1
+            found = smallest[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())] < np.repeat(least, n)
             cut = np.cumsum([int((x.astype(np.int64) - LENGTH + 1).sum()) for x, _, _ in got])[:-1]
             yield rows_batch(schema, [[r[2] for r in rows], [r[0] for r in rows], [0] * len(rows), [pack(np.packbits(x)) for x in np.split(found, cut)]])
 

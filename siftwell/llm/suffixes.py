@@ -19,10 +19,86 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Groups up to this size are put in order at once, as insertion sort does for multikey quicksort's small groups.
+SMALL = 24
+
+
+def multikey_quicksort(symbols: list[np.ndarray], small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the strings, which of them differ from the one before); string i has the symbols ``symbols[0][i]``, ``symbols[1][i]`` and so on.
+
+    A group is split by its pivot, the median of three of its current symbols,
+    into what is less, equal and greater: what is equal goes on to the next
+    symbol, the rest stays at this one.  The groups of a level are split
+    together, by counting, and those of ``small`` strings at most leave the
+    recursion for one direct sort at the end.
+    """
+    n = len(symbols[0])
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    begin, size, depth = np.zeros(min(n, 1), np.int64), np.full(min(n, 1), n, np.int64), np.zeros(min(n, 1), np.int64)
+    rest: list[tuple[np.ndarray, ...]] = []
+    while len(begin):
+        few = size <= small
+        if few.any():
+            rest.append((begin[few], size[few], depth[few]))
+            begin, size, depth = begin[~few], size[~few], depth[~few]
+            if not len(begin):
+                break
+        next_groups = []
+        for k in np.unique(depth):
+            mine = depth == k
+            b, m = begin[mine], size[mine]
+            ends = np.cumsum(m)
+            head = ends - m
+            slot = np.arange(ends[-1]) + np.repeat(b - head, m)
+            own = order[slot]
+            x = symbols[k][own]
+            low, mid, high = x[head], x[head + m // 2], x[ends - 1]
+            pivot = np.repeat(np.maximum(np.minimum(low, mid), np.minimum(np.maximum(low, mid), high)), m)
+            less, more = x < pivot, x > pivot
+            before_less, before_more = np.cumsum(less), np.cumsum(more)
+            n_less = before_less[ends - 1] - before_less[head] + less[head]
+            n_more = before_more[ends - 1] - before_more[head] + more[head]
+            n_same = m - n_less - n_more
+            # Places within the group: less from its start, equal after those, greater last, each in the order they came.
+            rank_less = before_less - np.repeat(before_less[head] - less[head], m)
+            rank_more = before_more - np.repeat(before_more[head] - more[head], m)
+            place = np.arange(ends[-1]) - np.repeat(head, m) - rank_less - rank_more + np.repeat(n_less, m)
+            place = np.where(less, rank_less - 1, np.where(more, rank_more - 1 + np.repeat(n_less + n_same, m), place))
+            order[np.repeat(b, m) + place] = own
+            some = n_more > 0
+            new[b + n_less] = True
+            new[(b + n_less + n_same)[some]] = True
+            level = np.full(len(b), k)
+            next_groups += [(b, n_less, level), (b + n_less + n_same, n_more, level)]
+            if k + 1 < len(symbols):
+                next_groups.append((b + n_less, n_same, level + 1))
+        begin, size, depth = (np.concatenate(x) for x in zip(*next_groups, strict=True))
+        several = size > 1
+        begin, size, depth = begin[several], size[several], depth[several]
+    if rest:
+        b, m, d = (np.concatenate(x) for x in zip(*rest, strict=True))
+        in_order = np.argsort(b)
+        b, m, d = b[in_order], m[in_order], d[in_order]
+        ends = np.cumsum(m)
+        slot = np.arange(int(ends[-1])) + np.repeat(b - (ends - m), m)
+        group, level, own = np.repeat(np.arange(len(b)), m), np.repeat(d, m), order[slot]
+        keys = [np.where(level <= k, s[own], np.uint64(0)) for k, s in enumerate(symbols)]
+        sort = np.lexsort((*keys[::-1], group))
+        order[slot] = own[sort]
+        fresh = np.zeros(len(slot), bool)
+        for key in keys:
+            key = key[sort]
+            fresh[1:] |= key[1:] != key[:-1]
+        fresh[ends - m] = False  # a group's first string was settled when it was split off
+        new[slot] |= fresh
+    return order, new
+
+
 def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order of the suffixes of ``length`` bytes at ``starts``, which of them differ from the one before).
 
-    Shallow: multikey quicksort on 8-byte symbols down to 16 bytes.  Deep: each
+    Shallow: multikey quicksort, by symbols of 8 bytes, down to 16 bytes.  Deep: each
     group that is still equal becomes a blind trie.  Its first suffix is the
     leaf that others are compared with; where they leave it (position and byte)
     is their branch, and a branch is again a group with a leaf of its own.  The
@@ -36,18 +112,7 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     word = words_at(data)
     depth = min(SHALLOW, length)
     mask = lambda k: np.uint64((1 << 64) - (1 << 8 * (8 - min(8, length - k))) if length - k < 8 else (1 << 64) - 1)
-    first = word[starts] & mask(0)
-    order = np.argsort(first, kind="stable")
-    first = first[order]
-    new = np.concatenate([[True], first[1:] != first[:-1]])
-    if length > 8:
-        second = word[starts[order] + 8] & mask(8)
-        # Only groups of two and more go on to the next symbol.
-        group = np.cumsum(new)
-        many = np.flatnonzero(np.bincount(group)[group] > 1)
-        again = many[np.lexsort((second[many], group[many]))]
-        order[many], second[many] = order[again], second[again]
-        new[1:] |= second[1:] != second[:-1]
+    order, new = multikey_quicksort([word[starts + k] & mask(k) for k in range(0, depth, 8)])
     if length <= depth:
         return order, new
     # Deep: symbols of the rest; the last one overlaps, so that it ends with the suffix.
