@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,16 +22,18 @@ _made: list[tuple[SparkSession, str]] = []
 #: so that a worker doesn't hold the largest size it ever had.  Pieces up to 16 MB stay for the next array: numpy's temporaries
 #: would else be mapped, cleared and unmapped each time.
 RECORDS, RECORDS_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES, BYTES_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Workers find this package and give memory back, and get whole texts in batches of ``RECORDS`` rows unless the session asks for fewer."""
+    """Workers find this package and give memory back, and get whole texts in batches of ``RECORDS`` rows and about ``BYTES`` bytes unless the session asks for fewer."""
     env = prepare(spark).sparkContext.environment
     for name, value in LEAN.items():
         env.setdefault(name, value)
     if not 0 < int(spark.conf.get(RECORDS_CONF)) <= RECORDS:
         spark.conf.set(RECORDS_CONF, str(RECORDS))
+    spark.conf.set(BYTES_CONF, str(min(BYTES, int(spark.conf.get(BYTES_CONF).rstrip("bB")))))
     return spark
 
 
@@ -40,10 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder, removed when the driver ends."""
+    """A new folder below the shared checkpoint folder, removed when the driver ends.
+
+    Without ``spark.checkpoint.dir`` a temporary folder does in local mode; elsewhere executors would not see it, and that is an error.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file:" + tempfile.mkdtemp(prefix="siftwell-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/siftwell/{label}-{uuid.uuid4().hex}"

@@ -8,8 +8,9 @@ probability that it reaches 0.8 falls below 1e-6.  The pairs left tie classes
 into blocks.  Within a block all pairs are pruned in the same way and those left
 verified on the exact shingle sets (of 64-bit hashes).
 
-A band or a block with more than ``CHUNK`` classes is cut into chunks, and each
-pair of chunks is a task's unit of its own, so no group has to fit in one task.
+A band or a block with more than ``CHUNK`` classes, or a block with more than
+``CHUNK_SHINGLES`` shingles, is cut into chunks, and each pair of chunks is a
+task's unit of its own, so no group has to fit in one task.
 Pairs are never rows: a unit gives each class its number of links and a
 spanning forest of them.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, free_name, id_text, materialise, rows_batch, slices, strings_of, table
@@ -36,8 +37,10 @@ from .components import components
 from .ragged import Recent
 from .shingles import SHORT, SIMILARITY, Union, band_keys, least_matches, shingles, signatures, survivors
 
-#: Classes in a chunk; rows up to which a table of digests is broadcast (24 bytes each).
-CHUNK, BROADCAST_ROWS = 512, 1_000_000
+#: Classes in a chunk and shingles in one of a block, about; rows up to which a table of digests is broadcast (24 bytes each).
+CHUNK, CHUNK_SHINGLES, BROADCAST_ROWS = 512, 1 << 20, 1_000_000
+#: Shingles looked up at a time when a text's partners are verified.
+LOOKED_UP = 1 << 20
 #: Words whose hashes a task remembers, about 170 bytes each.
 RECENT = 1 << 18
 NO_ID = (1 << 63) - 1
@@ -48,8 +51,8 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """One row for each different text with shingles: node, digest, smallest doc_id, rows, low bytes and band keys."""
-    ddl = "doc_id long, digest binary, low binary, keys binary"
+    """One row for each different text with shingles: node, digest, smallest doc_id, rows, shingles, low bytes and band keys."""
+    ddl = "doc_id long, digest binary, low binary, keys binary, size long"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -60,19 +63,18 @@ def classes_of(docs: DataFrame) -> DataFrame:
             signs = signatures(hashes, offsets)
             low, keys = (signs[:, :SHORT] & np.uint32(255)).astype(np.uint8), band_keys(signs)
             kept = b.filter(pa.array(has))
-            yield rows_batch(schema, [kept.column(0), kept.column(2), [x.tobytes() for x in low], [x.tobytes() for x in keys]])
+            yield rows_batch(schema, [kept.column(0), kept.column(2), [x.tobytes() for x in low], [x.tobytes() for x in keys], np.diff(offsets)[has]])
 
     rows = with_digest(docs).mapInArrow(run, ddl)
-    found = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys"))
+    found = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("low").alias("low"), F.first("keys").alias("keys"))
     return materialise(found.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
-def in_units(rows: DataFrame, group: str, n: str) -> DataFrame:
-    """Rows of a group dealt to its pairs of chunks: adds ``unit`` and ``side`` (0 or 1; in a unit of one chunk all are 0)."""
-    chunks = F.ceil(F.col(n) / CHUNK).cast("long")
+def in_units(rows: DataFrame, chunks: Column) -> DataFrame:
+    """Rows of a group dealt to its pairs of chunks: adds ``i``, ``j`` and ``mine``, the row's own one of the two."""
     mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))
-    rows = rows.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    return rows.withColumn("unit", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    rows = rows.withColumn("chunks", chunks.cast("long")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
 
 def units(batches, columns: int) -> Iterator[list[pa.RecordBatch]]:
@@ -126,7 +128,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     rows = classes.select("node", "keys").mapInArrow(bands, ddl)
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = in_units(rows.join(shared, "key"), "key", "n").select("key", "i", "j", (F.col("mine") != F.col("i")).cast("int").alias("side"), "node")
+    dealt = in_units(rows.join(shared, "key"), F.ceil(F.col("n") / CHUNK)).select("key", "i", "j", (F.col("mine") != F.col("i")).cast("int").alias("side"), "node")
     dealt = dealt.join(classes.select("node", "low"), "node").select("key", "i", "j", "side", "node", "low")
     least = least_matches()
     out = "a long, b long"
@@ -182,28 +184,31 @@ def exact_links(low: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None
         mine, others = x[a], y[a:b]
         own = ids[ends[mine] - size[mine] : ends[mine]]
         flag[own] = 1
-        for at in range(a, b, 4096):
-            some = y[at : min(b, at + 4096)]
+        # By shingles, not by texts: long texts are looked up a few at a time.
+        room = np.cumsum(size[others]) // LOOKED_UP
+        steps = [a, *(a + 1 + np.flatnonzero(room[1:] != room[:-1])).tolist(), b]
+        for at, to in zip(steps, steps[1:], strict=False):
+            some = y[at:to]
             where = np.repeat(ends[some] - size[some] - (np.cumsum(size[some]) - size[some]), size[some])
             where += np.arange(len(where))
             common = np.add.reduceat(flag[ids[where]], np.cumsum(size[some]) - size[some])
             linked[at : at + len(some)] = common >= similarity * (size[mine] + size[some] - common) - 1e-9
         flag[own] = 0
-        del others
     return x[linked], y[linked]
 
 
 def verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
     """(a, b, texts, rows): links of class a, or with b the edges of spanning forests."""
-    sizes = blocks.groupBy("root").agg(F.count("*").alias("size"))
-    members = blocks.join(sizes, "root").join(classes.select("node", "digest", "least", "n", "low"), "node")
+    members = blocks.join(classes.select("node", "digest", "least", "n", "low", "size"), "node")
+    sizes = members.groupBy("root").agg(F.count("*").alias("classes"), F.sum("size").alias("shingles"))
+    members = members.drop("size").join(sizes, "root")
     members = materialise(members, "members")
     wanted = members.select("digest", "least", "node")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     d = with_digest(docs)
     texts = d.join(wanted, (d.digest == wanted.digest) & (d.doc_id == wanted.least)).select("node", "text")
-    dealt = in_units(members, "root", "size").select("root", "i", "j", (F.col("mine") != F.col("i")).cast("int").alias("side"), "node", "n", "low")
+    dealt = in_units(members, F.greatest(F.ceil(F.col("classes") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES))).select("root", "i", "j", (F.col("mine") != F.col("i")).cast("int").alias("side"), "node", "n", "low")
     dealt = dealt.join(texts, "node").select("root", "i", "j", "side", "node", "n", "low", "text")
     least = least_matches(similarity)
     ddl = "a long, b long, texts long, rows long"
