@@ -23,6 +23,8 @@ import struct
 import numpy as np
 
 MAGIC, BLOCK, PERCENTILE = b"SWPF1\0", 128, 90
+#: Ids packed or unpacked at a time, whole blocks of them: unpacking takes 50 to 100 bytes for each.
+RANGE = 1 << 18
 HEAD = struct.Struct("<6sHQQII")
 
 
@@ -31,25 +33,18 @@ def widths_of(top: np.ndarray) -> np.ndarray:
     return np.where(top > 0, np.floor(np.log2(np.maximum(top, 1).astype(np.float64))).astype(np.int64) + 1, 0)
 
 
-def encode(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
-    ids = np.ascontiguousarray(ids, np.uint32)
-    nb = -(-len(ids) // BLOCK)
-    full = np.empty(nb * BLOCK, np.uint32)
-    full[: len(ids)] = ids
-    if len(ids) % BLOCK:
-        full[len(ids) :] = ids[(nb - 1) * BLOCK]
-    rows = full.reshape(nb, BLOCK)
-    base = rows.min(1) if nb else np.empty(0, np.uint32)
+def blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of each block, base, width, number of exceptions, payload) of ids that fill whole blocks."""
+    rows = ids.reshape(-1, BLOCK)
+    base = rows.min(1)
     diff = rows - base[:, None]
     rank = min(BLOCK - 1, BLOCK * percentile // 100)
-    width = widths_of(np.partition(diff, rank, 1)[:, rank]) if nb else np.empty(0, np.int64)
+    width = widths_of(np.partition(diff, rank, 1)[:, rank])
     over = diff.astype(np.int64) >> width[:, None] > 0
     n_over = over.sum(1)
     sizes = BLOCK * width // 8 + 5 * n_over
-    start = np.zeros(nb + 1, np.uint64)
-    np.cumsum(sizes, out=start[1:], dtype=np.uint64)
-    payload = np.empty(int(start[-1]), np.uint8)
-    begin = start[:-1].astype(np.int64)
+    payload = np.empty(int(sizes.sum()), np.uint8)
+    begin = np.cumsum(sizes) - sizes
     for w in np.unique(width):
         of = np.flatnonzero(width == w)
         if w:
@@ -63,10 +58,26 @@ def encode(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, perce
     payload[tail[block] + nth] = at
     values = np.ascontiguousarray(diff[block, at], "<u4").view(np.uint8).reshape(-1, 4)
     payload[(tail + n_over)[block][:, None] + 4 * nth[:, None] + np.arange(4)] = values
+    return sizes, base, width, n_over, payload
+
+
+def encode(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
+    """A shard's bytes; ``RANGE`` ids are packed at a time."""
+    ids = np.ascontiguousarray(ids, np.uint32)
+    nb = -(-len(ids) // BLOCK)
+    parts = []
+    for at in range(0, len(ids), RANGE):
+        some = ids[at : at + RANGE]
+        if fill := -len(some) % BLOCK:
+            some = np.concatenate([some, np.full(fill, some[len(some) - len(some) % BLOCK], np.uint32)])
+        parts.append(blocks(some, percentile))
+    sizes, base, width, n_over = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(4))
+    start = np.zeros(nb + 1, np.uint64)
+    np.cumsum(sizes, out=start[1:], dtype=np.uint64)
     return b"".join([
         HEAD.pack(MAGIC, 1, len(doc_ids), len(ids), BLOCK, nb),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(), np.asarray(counts, "<u4").tobytes(),
-        start.astype("<u8").tobytes(), base.astype("<u4").tobytes(), width.astype(np.uint8).tobytes(), n_over.astype(np.uint8).tobytes(), payload.tobytes(),
+        start.astype("<u8").tobytes(), base.astype("<u4").tobytes(), width.astype(np.uint8).tobytes(), n_over.astype(np.uint8).tobytes(), *(p[4].tobytes() for p in parts),
     ])
 
 
@@ -93,6 +104,14 @@ class Shard:
         if len(self.payload) != (self.start[-1] if nb else 0):
             raise ValueError("the shard is cut short")
 
+    def ranges(self, a: int = 0, b: int | None = None):
+        """The ids from a to b, ``RANGE`` at a time."""
+        b = self.n if b is None else min(b, self.n)
+        while a < b:
+            to = min(b, (a // RANGE + 1) * RANGE)
+            yield self.ids(a, to)
+            a = to
+
     def ids(self, a: int = 0, b: int | None = None) -> np.ndarray:
         b = self.n if b is None else min(b, self.n)
         if a >= b:

@@ -27,8 +27,8 @@ from .common import arrow_schema, get, id_text, materialise, put, rows_batch, sl
 from .ragged import Recent, at, spread, words_of
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-#: Ids in a shard; distinct words that a worker keeps.
-SHARD_IDS, TABLE_MOST = 4_000_000, 1_000_000
+#: Ids in a shard; distinct words that a worker keeps; shards that a task reads back.
+SHARD_IDS, TABLE_MOST, SHARDS_READ = 4_000_000, 1_000_000, 16
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?]*)")
 
@@ -143,7 +143,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             yield shard()
 
     dealt = rows.repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
-    shards = materialise(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    shards = materialise(dealt, "token-manifest", run, MANIFEST)
     # Ids before each shard: within its partition, then over partitions, which are far fewer than shards' documents.
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,6 +151,21 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     return shards.withColumn("in_part", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(before, "part").select("part", "seq", "path", "n_docs", "n_ids", (F.col("in_part") + F.col("before")).alias("start"))
 
 
+def checksums(shard: pfor.Shard, ends: np.ndarray) -> np.ndarray:
+    """crc32 of each document's ids; a document may reach over several ranges of ids."""
+    crc, k, at, stop = np.zeros(len(ends), np.int64), 0, 0, ends.tolist()
+    for ids in shard.ranges():
+        data, base = memoryview(np.ascontiguousarray(ids, "<u4").tobytes()), at
+        to = base + len(ids)
+        while at < to:
+            while stop[k] <= at:
+                k += 1
+            cut = min(to, stop[k])
+            crc[k] = zlib.crc32(data[4 * (at - base) : 4 * (cut - base)], int(crc[k]))
+            at = cut
+    return crc
+
+
 def read_files(manifest: DataFrame, parts: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
     schema = arrow_schema(READ)
@@ -160,13 +175,13 @@ def read_files(manifest: DataFrame, parts: int) -> DataFrame:
             for path, start in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True):
                 shard = pfor.Shard(get(path))
                 ends = np.cumsum(shard.counts, dtype=np.int64)
-                ids = shard.ids().astype("<u4", copy=False)
-                crc = [zlib.crc32(ids[e - c : e].tobytes()) for e, c in zip(ends.tolist(), shard.counts.tolist(), strict=True)]
-                yield rows_batch(schema, [shard.doc_ids, start + ends - shard.counts, shard.counts.astype(np.int64), crc])
+                yield rows_batch(schema, [shard.doc_ids, start + ends - shard.counts, shard.counts.astype(np.int64), checksums(shard, ends)])
 
     return manifest.select("path", "start").repartition(parts, "path").mapInArrow(run, READ)
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_files(table(spark, sf_dir, "documents"), work_dir(spark, "token-files"))
-    return read_files(manifest, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A task reads some shards one after another: each is unpacked in ranges, so that only time is at stake.
+    tasks = max(spark.sparkContext.defaultParallelism, manifest.count() // SHARDS_READ)
+    return read_files(manifest, min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
