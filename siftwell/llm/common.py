@@ -11,9 +11,11 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftwell import prepare
 
@@ -22,6 +24,8 @@ _made: list[tuple[SparkSession, str]] = []
 #: so that a worker doesn't hold the largest size it ever had.  Pieces up to 16 MB stay for the next array: numpy's temporaries
 #: would else be mapped, cleared and unmapped each time.
 RECORDS, RECORDS_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a row group of files that workers write.
+GROUP_BYTES = 8 << 20
 BYTES, BYTES_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
 
@@ -71,11 +75,70 @@ def _sweep() -> None:
             return
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    path = work_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def write_parts(df: DataFrame, path: str, run=None, ddl: str | None = None) -> set[str]:
+    """Write rows as Parquet below ``path``; with ``run``, a function on Arrow batches, what it makes of them, by the schema ``ddl``.
+
+    The Python workers write the files themselves, in the task that has the rows: one worker a task also with ``run``, and the JVM starts no
+    process for a file's mode.  Result: the names of the files of the tasks that count, one a task.
+    """
+    arrow = to_arrow_schema(T._parse_datatype_string(ddl) if ddl else df.schema)
+
+    def write(batches):
+        name, held, size = f"part-{uuid.uuid4().hex}.parquet", [], 0
+        out = None
+        for b in run(batches) if run else batches:
+            if b.num_rows:
+                held.append(b.cast(arrow) if b.schema != arrow else b)
+                size += b.nbytes
+            if size >= GROUP_BYTES:
+                out = out or Parts(f"{path}/{name}", arrow)
+                out.add(held)
+                held, size = [], 0
+        if held:
+            out = out or Parts(f"{path}/{name}", arrow)
+            out.add(held)
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"name": [name] if out else []}, pa.schema([("name", pa.string())]))
+
+    return {r[0] for r in df.mapInArrow(write, "name string").collect()}
+
+
+def materialise(df: DataFrame, label: str, run=None, ddl: str | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder, as ``write_parts``, and read back.
+
+    A file that no finished task returned, as a lost executor leaves it, goes before the folder is read.
+    """
+    spark, path = lean(df.sparkSession), work_dir(df.sparkSession, label)
+    schema = T._parse_datatype_string(ddl) if ddl else df.schema
+    names = write_parts(df, path, run, ddl)
+    fs, folder = filesystem(path)
+    fs.create_dir(folder, recursive=True)
+    while True:
+        for f in fs.get_file_info(pafs.FileSelector(folder)):
+            if f.base_name not in names:
+                fs.delete_file(f.path)
+        back = spark.read.schema(schema).parquet(path)
+        if {f.rsplit("/", 1)[-1] for f in back.inputFiles()} == names:
+            return back
+
+
+class Parts:
+    """A Parquet file in the making, seen under its name when it is whole."""
+
+    def __init__(self, uri: str, schema: pa.Schema):
+        self.fs, self.path = filesystem(uri)
+        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+        # Spark takes files that begin with an underscore for no data.
+        self.part = f"{os.path.dirname(self.path)}/_{os.path.basename(self.path)}"
+        self.writer = pq.ParquetWriter(self.part, schema, filesystem=self.fs, compression="zstd")
+
+    def add(self, batches: list[pa.RecordBatch]) -> None:
+        self.writer.write_table(pa.Table.from_batches(batches))
+
+    def close(self) -> None:
+        self.writer.close()
+        self.fs.move(self.part, self.path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -239,7 +239,7 @@ def verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, similarity:
             yield rows_batch(schema, out)
 
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, ddl), "links")
+    return materialise(dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j"), "links", run, ddl)
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -90,7 +90,7 @@ def segments(docs: DataFrame, folder: str, size: int = SEGMENT) -> DataFrame:
         if texts:
             yield write()
 
-    return materialise(id_text(docs).mapInArrow(run, MANIFEST), "segments")
+    return materialise(id_text(docs), "segments", run, MANIFEST)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:

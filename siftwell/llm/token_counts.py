@@ -20,7 +20,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table, work_dir
+from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table, work_dir, write_parts
 from .pieces import chunk_table, model_path
 
 LIMIT = 4096
@@ -58,7 +58,7 @@ def token_counts(docs: DataFrame, cache: str, path: str | None = None, limit: in
         for b in slices(batches):
             yield rows_batch(schema, [b.column(0), tab.count(strings_of(b))])
 
-    missing.mapInArrow(run, STORED).write.mode("append").parquet(folder)
+    write_parts(missing, folder, run, STORED)
     n = F.col("n_tokens")
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
