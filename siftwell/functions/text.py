@@ -151,9 +151,70 @@ def fingerprint(c: Column, salt: str = "") -> Column:
 def card_issuer(c: Column) -> Column:
     """Brand by prefix and length; null if none."""
     d, n = digits(c), F.length(digits(c))
-    two, four = F.substring(d, 1, 2).cast("int"), F.substring(d, 1, 4).cast("int")
+    head = lambda k: F.substring(d, 1, k).try_cast("int")
+    long = n.between(16, 19)
     return (
-        F.when(d.rlike("^4") & n.isin(13, 16, 19), "Visa").when((two.between(51, 55) | four.between(2221, 2720)) & (n == 16), "Mastercard")
-        .when(two.isin(34, 37) & (n == 15), "American Express").when((F.substring(d, 1, 4) == "6011") & n.between(16, 19) | (two == 65) & n.between(16, 19), "Discover")
-        .when(four.between(3528, 3589) & n.between(16, 19), "JCB").when(two.isin(36, 38, 39) & n.between(14, 19), "Diners Club").when((two == 62) & n.between(16, 19), "UnionPay")
+        F.when((n == 13) & (head(1) == 4), "Visa").when((n == 14) & (head(3).between(300, 305) | (head(4) == 3095) | head(2).isin(36, 38, 39)), "Diners")
+        .when((n == 15) & head(2).isin(34, 37), "Amex").when(long & (head(1) == 4), "Visa").when(long & (head(2).between(51, 55) | head(4).between(2221, 2720)), "Mastercard")
+        .when(long & ((head(4) == 6011) | (head(2) == 65) | head(3).between(644, 649) | head(6).between(622126, 622925)), "Discover").when(long & head(4).between(3528, 3589), "JCB")
+        .when(long & ((head(3) == 508) | head(2).isin(60, 81, 82)), "RuPay").when(long & (head(2) == 62), "UnionPay").when(long & ((head(2) == 50) | head(2).between(56, 69)), "Maestro")
     )
+
+
+def _chars(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def isin(c: Column) -> Column:
+    """Luhn over the characters, letters as 10 to 35."""
+    return luhn_sum(F.array_join(F.transform(_chars(F.upper(c)), lambda x: F.instr(F.lit(ALPHABET_36), x) - 1), "")) % 10 == 0
+
+
+def eu_vat(c: Column) -> Column:
+    """Germany, the Netherlands and Italy by their check digits; others are not known."""
+    body = F.substring(c, 3, 20)
+    step = lambda a, x: F.when((x + a) % 10 == 0, 20).otherwise((x + a) % 10 * 2) % 11
+    german = (11 - F.aggregate(F.slice(digit_array(body), 1, 8), F.lit(10), step)) % 10
+    return (
+        F.when(c.rlike("^DE[0-9]{9}$"), german == F.substring(body, 9, 1).try_cast("int"))
+        .when(c.rlike("^NL[0-9]{9}B[0-9]{2}$"), weighted_sum(body, [9, 8, 7, 6, 5, 4, 3, 2]) % 11 == F.substring(body, 9, 1).try_cast("int"))
+        .when(c.rlike("^IT[0-9]{11}$"), luhn_sum(body) % 10 == 0).otherwise(False)
+    )
+
+
+BASE_62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def github_checksum(c: Column) -> Column:
+    """valid, invalid or unknown: the last six characters are the CRC-32 of the 30 before them, to base 62."""
+    n = F.crc32(F.substring(c, 5, 30).cast("binary"))
+    place = F.array(*(F.lit(62**k) for k in range(5, -1, -1)))
+    want = F.array_join(F.transform(place, lambda p: F.substring(F.lit(BASE_62), (F.floor(n / p) % 62).cast("int") + 1, F.lit(1))), "")
+    return F.when(~c.rlike("^gh[pousr]_[A-Za-z0-9]{36}$"), "unknown").when(want == F.substring(c, 35, 6), "valid").otherwise("invalid")
+
+
+def aws_account(c: Column) -> Column:
+    """The account of a key id: bits 2 to 41 of its base-32 body; null if it has none."""
+    bits = F.aggregate(F.slice(_chars(F.substring(c, 5, 16)), 1, 10), F.lit(0).cast("long"), lambda a, x: a * 32 + F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), x) - 1)
+    account = F.shiftright(F.shiftright(bits, 2).bitwiseAND(F.lit(0x7FFFFFFFFF80)), 7)
+    return F.when(c.rlike("^[A-Z]{4}[A-Z2-7]{16}$") & account.between(1, 999_999_999_999), F.lpad(account.cast("string"), 12, "0"))
+
+
+def looks_random(c: Column, least: float = 3.6) -> Column:
+    kinds = F.size(F.array_distinct(_chars(c)))
+    return (F.length(c) >= 16) & (kinds > 1) & (kinds >= F.least(F.lit(10.0), F.length(c) / 3)) & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (entropy(c) >= least)
+
+
+def is_benign(c: Column) -> Column:
+    """A UUID, a digest, one unit over and over, a run up or down, or a time since 1970."""
+    codes = F.transform(_chars(c), F.ascii)
+    steps = F.array_distinct(F.zip_with(F.slice(codes, 2, 10_000), codes, lambda b, a: b - a))
+    run = (F.length(c) >= 5) & F.transform(F.filter(steps, lambda x: x.isNotNull()), F.abs).isin([F.array(F.lit(1))])
+    d, unit = digits(c).try_cast("decimal(38,0)"), F.when(F.length(digits(c)) == 13, F.lit(1000).cast("long")).when(F.length(digits(c)) == 16, F.lit(1_000_000).cast("long"))
+    time = d.between(F.lit(946_684_800) * unit + 1, F.lit(4_102_444_800) * unit - 1)
+    shapes = c.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$") | c.rlike("(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{128})$") | c.rlike(r"^(.{1,4})\1+$")
+    return shapes | run | F.coalesce(time, F.lit(False))
+
+
+def is_code_identifier(c: Column) -> Column:
+    return c.rlike(r"[.(){}\[\]<>;]") | c.rlike("^(?:[a-z]+(?:[A-Z][a-z]+)+[0-9]{0,2}|[A-Z][a-z]+(?:[A-Z][a-z]+)+[0-9]{0,2}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)$")

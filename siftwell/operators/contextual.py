@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from siftwell.functions import text as fn
-from siftwell.operators.rule import Near, Rule
+import re
+
+from siftwell.functions import checks
+from siftwell.operators.rule import CAPITALS, NINE_DIGITS, Near, Place, Rule
 
 #: Amounts of money, and what else settles whether a phrase matters.
 MONEY = r"(?i)(?:[$£€₹¥]\s?[0-9,.]+|\b[0-9,.]+\s?(?:k|m|bn|mn|cr|crore|lakh|lakhs|million|billion)\b)"
@@ -20,6 +22,16 @@ def _phrase(id_: str, severity: str, confidence: str, pattern: str, literals: tu
     return Rule(id_, "context", severity, confidence, pattern, literals, advisory=True, sample=sample, **more)
 
 
+#: Words after "password is" that are no password.
+NO_PASSWORD = frozenset("is the a an to for and reset change manager policy protected field less hash hashing expired incorrect invalid required strength rule rules here above below attached shared same new old your my our their".split())
+
+
+def _password(value: str, at: Place) -> bool:
+    """More than small letters, and neither an example, a template nor code."""
+    plain = value.lower() in NO_PASSWORD or value[0] in "<{[@" or re.fullmatch("[a-z]+", value)
+    return not plain and not checks.is_benign(value, placeholder=True) and not checks.is_code_identifier(value)
+
+
 #: Shapes of credentials and identifiers that need a check or a word beside them.
 CREDENTIALS = [
     Rule("gcp_service_account", "cloud", "critical", "certain", r'"type"\s*:\s*"service_account"', ("service_account",), sample='"type": "service_account"'),
@@ -27,26 +39,27 @@ CREDENTIALS = [
     Rule("jfrog_token", "source", "critical", "certain", r"\bcmVmdGtuOjAxO[A-Za-z0-9+/=]{20,}\b", ("cmvmdgtuojaxo",), sample="cmVmdGtuOjAxO{h40}"),
     Rule("openai_key", "ai", "critical", "certain", r"\bsk-(?:proj-|svcacct-|admin-)?[A-Za-z0-9_-]{32,}\b", ("sk-",), refuse="^sk-(?:ant|or)-", sample="sk-proj-{h48}"),
     Rule("anthropic_key", "ai", "critical", "certain", r"\bsk-ant-(?:api|admin)[0-9]{2}-[A-Za-z0-9_-]{24,}\b", ("sk-ant-",), sample="sk-ant-api03-{h32}"),
-    Rule("discord_bot_token", "communications", "high", "likely", r"\b[MNO][A-Za-z0-9_-]{23,25}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,38}\b", (".",), sample="M{h24}.abcdef.{h32}"),
-    Rule("okta_token", "data", "critical", "likely", r"\b(00[A-Za-z0-9_-]{40})\b[^A-Za-z0-9_-]*(?:okta|OKTA)", ("okta",), group=1, sample="00{h40} okta"),
+    Rule("discord_bot_token", "comms", "high", "likely", r"\b[MNO][A-Za-z0-9_-]{23,25}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,38}\b", (".",), shape=("[A-Za-z0-9_-]{24}",), sample="M{h24}.abcdef.{h32}"),
+    Rule("okta_token", "platform", "critical", "likely", r"\b(00[A-Za-z0-9_-]{40})\b[^A-Za-z0-9_-]*(?:okta|OKTA)", ("okta",), group=1, sample="00{h40} okta"),
     Rule("db_connection_string", "generic", "critical", "certain", r"\b(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|rediss|amqps?|mssql|clickhouse|cassandra|neo4j|snowflake)://[^\s:/@]+:[^\s@]+@[^\s/?#]+(?:/[^\s?#]*)?(?:\?[^\s#]*)?", ("://",), refuse=r"(?i):(?:password|pass|pwd|secret|xxx+|\*+|<[^>]*>|\$\{[^}]*\})@", sample="postgres://app:{h12}@db.internal:5432/main"),
 ]
 IDENTIFIERS = [
-    Rule("gstin", "india", "medium", "certain", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b", (), validate=fn.gstin, sample="27AAPFU0939F1ZV"),
-    Rule("upi_vpa", "india", "medium", "certain", r"\b[a-zA-Z0-9._-]{2,64}@[a-zA-Z]{2,32}\b", ("@",), validate=fn.upi_vpa, sample="u{h8}@ybl"),
-    Rule("indian_passport", "india", "high", "possible", r"\b[A-PR-WY][0-9]{7}\b", (), near=(Near("(?i)passport", 40, 40),), sample="passport K1234567"),
-    Rule("voter_id", "india", "medium", "possible", r"\b[A-Z]{3}[0-9]{7}\b", (), near=(Near("(?i)(?:voter|epic|election)", 40, 40),), sample="voter card ABC1234567"),
-    Rule("indian_dl", "india", "medium", "likely", r"\b[A-Z]{2}[0-9]{2}[ -]?[0-9]{4}[0-9]{7}\b", (), validate=fn.indian_licence, sample="MH12 20110012345"),
-    Rule("phone_india", "india", "low", "likely", r"\b[6-9][0-9]{4}[ -]?[0-9]{5}\b", (), validate=fn.indian_mobile, near=(Near("91[ -]$", 3, 0), Near("^[0-9]{5}[ -]", 0, 11), Near(PHONE_WORDS, 48, 34)), sample="mobile 9812345670"),
-    Rule("canada_sin", "global", "critical", "likely", r"\b[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{3}\b", (), validate=fn.sin, near=(Near(r"(?i)(?:\bsin\b|social insurance)", 40, 20),), sample="SIN 130 692 544"),
-    Rule("uk_nino", "global", "critical", "likely", r"\b[A-CEGHJ-PR-TW-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b", (), refuse="^(?:.O|BG|GB|NK|KN|TN|NT|ZZ)", sample="AB 12 34 56 C"),
-    Rule("brazil_cnpj", "global", "medium", "certain", r"\b[0-9]{2}\.?[0-9]{3}\.?[0-9]{3}/?[0-9]{4}-?[0-9]{2}\b", (), validate=fn.cnpj, sample="11.222.333/0001-81"),
-    Rule("australia_abn", "global", "low", "certain", r"\b[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", (), validate=fn.abn, near=(Near("(?i)abn", 30, 10),), sample="ABN 51 824 753 556"),
-    Rule("australia_tfn", "global", "critical", "likely", r"\b[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", (), validate=fn.tfn, near=(Near(r"(?i)(?:\btfn\b|tax file)", 30, 10),), sample="TFN 123 456 782"),
-    Rule("imei", "global", "medium", "likely", r"\b[0-9]{15}\b", (), validate=fn.imei, near=(Near("(?i)imei", 30, 10),), sample="IMEI 490154203237518"),
+    Rule("gstin", "india", "medium", "certain", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b", (), check=lambda v, _: checks.gstin(v), shape=(CAPITALS,), sample="27AAPFU0939F1ZV"),
+    Rule("upi_vpa", "india", "medium", "certain", r"\b[a-zA-Z0-9._-]{2,64}@[a-zA-Z]{2,32}\b", ("@",), check=lambda v, _: checks.upi_vpa(v), sample="u{h8}@ybl"),
+    Rule("indian_passport", "india", "high", "possible", r"\b[A-PR-WY][0-9]{7}\b", (), near=(Near("(?i)passport", 40, 40),), shape=("[0-9]{7}",), sample="passport K1234567"),
+    Rule("voter_id", "india", "medium", "possible", r"\b[A-Z]{3}[0-9]{7}\b", (), near=(Near("(?i)(?:voter|epic|election)", 40, 40),), shape=(CAPITALS, "[0-9]{7}"), sample="voter card ABC1234567"),
+    Rule("indian_dl", "india", "medium", "likely", r"\b[A-Z]{2}[0-9]{2}[ -]?[0-9]{4}[0-9]{7}\b", (), check=lambda v, _: checks.indian_licence(v), shape=(CAPITALS, NINE_DIGITS), sample="MH12 20110012345"),
+    Rule("phone_india", "india", "low", "likely", r"\b[6-9][0-9]{4}[ -]?[0-9]{5}\b", (), check=lambda v, _: not checks.is_benign(v, hex_digest=False), near=(Near("91[ -]$", 3, 0), Near("^[0-9]{5}[ -]", 0, 11), Near(PHONE_WORDS, 48, 34)), shape=(NINE_DIGITS,), sample="mobile 9812345670"),
+    Rule("canada_sin", "global", "critical", "likely", r"\b[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{3}\b", (), check=lambda v, _: checks.sin(v), near=(Near(r"(?i)(?:\bsin\b|social insurance)", 40, 20),), shape=(NINE_DIGITS,), sample="SIN 130 692 544"),
+    Rule("uk_nino", "global", "critical", "likely", r"\b[A-CEGHJ-PR-TW-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b", (), refuse="^(?:.O|BG|GB|NK|KN|TN|NT|ZZ)", shape=(CAPITALS,), sample="AB 12 34 56 C"),
+    Rule("brazil_cnpj", "global", "medium", "certain", r"\b[0-9]{2}\.?[0-9]{3}\.?[0-9]{3}/?[0-9]{4}-?[0-9]{2}\b", (), check=lambda v, _: checks.cnpj(v), shape=(NINE_DIGITS,), sample="11.222.333/0001-81"),
+    Rule("australia_abn", "global", "low", "certain", r"\b[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", (), check=lambda v, _: checks.abn(v), near=(Near("(?i)abn", 30, 10),), shape=(NINE_DIGITS,), sample="ABN 51 824 753 556"),
+    Rule("australia_tfn", "global", "critical", "likely", r"\b[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", (), check=lambda v, _: checks.tfn(v), near=(Near(r"(?i)(?:\btfn\b|tax file)", 30, 10),), shape=(NINE_DIGITS,), sample="TFN 123 456 782"),
+    Rule("imei", "global", "medium", "likely", r"\b[0-9]{15}\b", (), check=lambda v, _: checks.imei(v), near=(Near("(?i)imei", 30, 10),), shape=(NINE_DIGITS,), sample="IMEI 490154203237518"),
 ]
 #: Phrases, with the words that must occur in a text for it to be searched.
 PHRASES = [
+    Rule("credential_in_prose", "context", "critical", "likely", r"""(?i)\b(?:pass(?:word|code)?|pwd|login|log ?in|credentials?|PIN)\s*(?:is|are|=|:)\s*["'`]?([^\s"'`,;]{6,64})["'`]?""", ("password", "passcode", "login is", "log in with", "credentials are", "pin is"), group=1, check=_password, sample="password is Tr0ub4dor&{h4}"),
     _phrase("classification_marking", "high", "certain", r"(?i)\b(?:strictly confidential|company confidential|confidential (?:and proprietary|information)|proprietary and confidential|internal use only|internal only|for internal (?:use|distribution)|do not (?:distribute|forward|share|circulate)|commercially sensitive|restricted[- ]confidential|confidential)\b", ("confidential", "internal", "proprietary", "restricted", "do not"),
             "strictly confidential", near_if="(?i)^(?:confidential|internal use only|internal only|for internal use|for internal distribution)$", near=(Near(r"(?:^|\n)[\s*_#>|-]*$", 24, 0), Near("^(?:CONFIDENTIAL|INTERNAL USE ONLY|INTERNAL ONLY|FOR INTERNAL USE|FOR INTERNAL DISTRIBUTION)", 0, 25))),
     _phrase("legal_privilege", "critical", "certain", r"(?i)\b(?:attorney[- ]client privileged?|privileged and confidential|legally privileged|solicitor[- ]client privilege|attorney work[- ]product|litigation privilege|without prejudice(?: save as to costs)?|subject to contract)\b", ("privileg", "without prejudice", "work product"), "privileged and confidential"),

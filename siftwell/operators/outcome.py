@@ -1,4 +1,4 @@
-"""What findings lead to: exposure score, regulations, redaction."""
+"""What findings lead to: exposure score, regulations, logs."""
 
 from __future__ import annotations
 
@@ -49,36 +49,65 @@ REGIMES = [
 ]
 
 
-def _pick(column: Column, values: dict[str, float]) -> Column:
-    out = F.lit(0.0)
+#: What a table of personal records adds from 25 rows on: such a breach is to be notified.
+BULK_ROWS = 25
+BULK = [("GDPR", "Art. 33"), ("DPDP", "S. 8(6)")]
+
+
+def _pick(column: Column, values: dict[str, float], other: float) -> Column:
+    out = F.lit(other)
     for k, v in values.items():
         out = F.when(column == k, v).otherwise(out)
     return out
 
 
-def exposure(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, score 0 to 100, band): per rule its first finding's weight and trust, growing with the logarithm of its number."""
-    rules = found.groupBy(id_col, "rule_id").agg(F.count("*").alias("n"), F.min_by("severity", "start").alias("severity"), F.min_by("confidence", "start").alias("confidence"))
-    points = _pick(F.col("severity"), WEIGHT) * _pick(F.col("confidence"), TRUST) * (1 + F.least(F.lit(0.6), 0.18 * F.log2(F.col("n").cast("double"))))
-    score = F.round(100 * (1 - F.exp(-F.sum(points) / 45))).cast("long")
-    scored = rules.groupBy(id_col).agg(score.alias("score"))
-    return scored.withColumn("band", F.when(F.col("score") >= 70, "severe").when(F.col("score") >= 40, "elevated").when(F.col("score") >= 15, "low").otherwise("minimal"))
+def exposure(found: DataFrame, id_col: str, tables: DataFrame | None = None) -> DataFrame:
+    """(id, score 0 to 100, band, headline, drivers): per rule its first finding's weight and trust, growing with the logarithm of its number.
+
+    ``tables`` (id, rows, columns: of personal columns) adds the volume of tables.  Drivers are in order of points; the headline names two.
+    """
+    rules = found.groupBy(id_col, "rule_id").agg(
+        F.count("*").alias("n"), F.min("start").alias("first"), F.min_by(F.struct("severity", "confidence", "label"), "start").alias("f")
+    )
+    points = _pick(F.col("f.severity"), WEIGHT, 4.0) * _pick(F.col("f.confidence"), TRUST, 0.7) * (1 + F.least(F.lit(0.6), 0.18 * F.log2(F.col("n").cast("double"))))
+    label = F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit("× "), F.col("f.label"))).otherwise(F.col("f.label"))
+    parts = rules.select(id_col, points.alias("points"), F.col("first").cast("long").alias("place"), label.alias("label"))
+    if tables is not None:
+        breadth = F.least(F.lit(1.5), 1 + 0.12 * (F.col("columns") - 1))
+        volume = F.least(F.lit(72.0), (18 + 20 * F.log10(F.greatest(F.lit(10.0), F.col("rows").cast("double")))) * breadth)
+        named = F.concat(F.format_number("rows", 0), F.lit(" records in a table"))
+        parts = parts.unionByName(tables.select(id_col, volume.alias("points"), F.lit((1 << 62)).alias("place"), named.alias("label")))
+    drivers = F.array_sort(F.collect_list(F.struct((-F.round("points")).cast("long").alias("order"), "place", "label")))
+    scored = parts.groupBy(id_col).agg(F.round(100 * (1 - F.exp(-F.sum("points") / 45))).cast("long").alias("score"), drivers.alias("d"))
+    band = F.when(F.col("score") >= 70, "severe").when(F.col("score") >= 40, "elevated").when(F.col("score") >= 15, "low").otherwise("minimal")
+    top = F.transform(F.slice("d", 1, 2), lambda d: F.lower(d["label"]))
+    headline = F.when(F.size("d") == 1, F.concat(F.lit("Driven by "), top[0], F.lit("."))).otherwise(F.concat(F.lit("Driven mainly by "), F.array_join(top, " and "), F.lit(".")))
+    return scored.select(id_col, "score", band.alias("band"), headline.alias("headline"), F.transform("d", lambda d: F.struct(d["label"].alias("label"), (-d["order"]).alias("points"))).alias("drivers"))
 
 
-def regimes(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, regime, first_start, refs): regulations that the findings concern and their places; the table of rules is a few rows."""
+def regimes(found: DataFrame, id_col: str, tables: DataFrame | None = None) -> DataFrame:
+    """(id, regime, first_start, refs): regulations that the findings concern and their places; the table of rules is a few rows.
+
+    ``tables`` (id, rows) adds the duties that a breach of many records brings; their first_start is null.
+    """
     known = found.sparkSession.createDataFrame(REGIMES, "rule_id string, regime string, ref string")
-    return found.join(F.broadcast(known), "rule_id").groupBy(id_col, "regime").agg(F.min("start").alias("first_start"), F.array_sort(F.collect_set("ref")).alias("refs"))
-
-
-def redact(scanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``redacted``: each value of a finding that isn't advisory becomes <RULE_n>; equal values of a text share n."""
-    real = F.filter("findings", lambda f: ~f["advisory"])
-    firsts = F.array_distinct(F.transform(real, lambda f: F.struct(f["rule_id"].alias("r"), f["match"].alias("m"))))
-    token = lambda f: F.concat(F.lit("<"), F.upper(f["rule_id"]), F.lit("_"), F.array_position(F.filter(firsts, lambda x: x["r"] == f["rule_id"]), F.struct(f["rule_id"].alias("r"), f["match"].alias("m"))).cast("string"), F.lit(">"))
-    text = F.col(text_col)
-    folded = F.aggregate(
-        real, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, f: F.struct(f["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), token(f)).alias("out")),
-    )
-    return scanned.withColumn("_fold", folded).withColumn("redacted", F.concat(F.col("_fold.out"), F.substring(text, F.col("_fold.at") + 1, F.length(text)))).drop("_fold")
+    places = found.join(F.broadcast(known), "rule_id").select(id_col, "regime", "ref", "start")
+    if tables is not None:
+        bulk = F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), F.lit(x).alias("ref")) for r, x in BULK)))
+        many = tables.where(F.col("rows") >= BULK_ROWS).select(id_col, bulk.alias("b"))
+        places = places.unionByName(many.select(id_col, "b.regime", "b.ref", F.lit(None).cast("int").alias("start")))
+    return places.groupBy(id_col, "regime").agg(F.min("start").alias("first_start"), F.array_sort(F.collect_set("ref")).alias("refs"))
+
+
+#: Events that a log of findings keeps.
+LOG_MOST = 120
+
+
+def log_of(events: DataFrame, most: int = LOG_MOST) -> DataFrame:
+    """The newest events (columns ``at`` and others); a report of fixed size, for which each task sends ``most`` rows at most."""
+    return events.orderBy(F.desc("at"), *(F.asc(c) for c in events.columns if c != "at")).limit(most)
+
+
+def breakdown(events: DataFrame, most: int = 4) -> DataFrame:
+    """The rules with most events."""
+    return events.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("fingerprint").alias("secrets")).orderBy(F.desc("n"), "rule_id").limit(most)

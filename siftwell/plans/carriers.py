@@ -15,11 +15,24 @@ def sample_sql(sample: str) -> str:
             n = int(m[1])
             parts.append("substr(concat(" + ", ".join(f"md5(concat(CAST(c_custkey AS STRING), '{k}'))" for k in range(-(-n // 32))) + f"), 1, {n})")
         elif piece:
-            parts.append(f"'{piece}'")
+            parts.append("'" + piece.replace("'", "''") + "'")
     return f"concat({', '.join(parts)})"
 
 
 def carrier_sql(rule: Rule) -> str:
     """Of three customers one has the sample, one the sample with its last digits or letters changed, one with its head cut off."""
-    s = sample_sql(rule.sample)
+    return around(sample_sql(rule.sample))
+
+
+def around(s: str) -> str:
     return f"concat('note for ', c_name, ': ', CASE c_custkey % 3 WHEN 0 THEN {s} WHEN 1 THEN concat(substr({s}, 1, CAST(length({s}) - 1 AS INT)), CAST(c_custkey % 10 AS STRING)) ELSE substr({s}, 3) END, ' (end)')"
+
+
+def prefix_length() -> str:
+    """Characters before what is carried."""
+    return "length(concat('note for ', c_name, ': '))"
+
+
+#: Columns of an export of a nation's customers, as SQL that both engines read.
+EXPORT = ["customer_id,full_name,email,balance"]
+EXPORT_ROW = "concat(CAST(c_custkey AS STRING), ',', c_name, ',u', CAST(c_custkey AS STRING), '@mail.org,', CAST(c_custkey * 7 AS STRING))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from siftwell.functions.text import ALPHABET_36, UPI_HANDLES
 from siftwell.operators.registry import BY_ID, Rule
-from siftwell.plans.carriers import carrier_sql
+from siftwell.plans.carriers import carrier_sql, prefix_length, sample_sql
 
 DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
 
@@ -19,10 +19,12 @@ def luhn(c: str, lengths: str = "BETWEEN 12 AND 19") -> str:
 
 
 def issuer(c: str) -> str:
+    """Whether a network issues such numbers, by the published ranges of prefixes for each length."""
     d = DIGITS.format(c)
-    two, four, n = f"CAST(substr({d}, 1, 2) AS INT)", f"CAST(substr({d}, 1, 4) AS INT)", f"length({d})"
-    return f"""(({d} LIKE '4%' AND {n} IN (13, 16, 19)) OR (({two} BETWEEN 51 AND 55 OR {four} BETWEEN 2221 AND 2720) AND {n} = 16) OR ({two} IN (34, 37) AND {n} = 15)
-      OR (({four} = 6011 OR {two} = 65) AND {n} BETWEEN 16 AND 19) OR ({four} BETWEEN 3528 AND 3589 AND {n} BETWEEN 16 AND 19) OR ({two} IN (36, 38, 39) AND {n} BETWEEN 14 AND 19) OR ({two} = 62 AND {n} BETWEEN 16 AND 19))"""
+    head = lambda n: f"CAST(left({d}, {n}) AS INT)"
+    short = f"""CASE length({d}) WHEN 13 THEN {head(1)} = 4 WHEN 14 THEN {head(3)} BETWEEN 300 AND 305 OR {head(4)} = 3095 OR {head(2)} IN (36, 38, 39) WHEN 15 THEN {head(2)} IN (34, 37)"""
+    ranges = [(1, 4, 4), (2, 51, 55), (4, 2221, 2720), (4, 6011, 6011), (2, 65, 65), (3, 644, 649), (6, 622126, 622925), (4, 3528, 3589), (3, 508, 508), (2, 60, 60), (2, 81, 82), (2, 62, 62), (2, 50, 50), (2, 56, 69)]
+    return f"({short} ELSE length({d}) BETWEEN 16 AND 19 AND ({' OR '.join(f'{head(n)} BETWEEN {x} AND {y}' for n, x, y in ranges)}) END)"
 
 
 def weighted(c: str, weights: list[int]) -> str:
@@ -60,6 +62,8 @@ def cnpj(c: str) -> str:
     return f"(len(list_distinct({_list(c)})) > 1 AND {check(tail, 13)} AND {check([6, *tail], 14)})"
 
 
+#: A number's neighbours: neither digits nor a decimal point with digits.
+WHOLE = "NOT regexp_matches(substr(whole, greatest(p - 4, 0) + 1, least(p, 4)), '[0-9][ .-]?$') AND NOT regexp_matches(substr(whole, p + length(m) + 1, 4), '^(?:[ -]?[0-9]|[.][0-9])')"
 HANDLES = ", ".join(f"'{h}'" for h in UPI_HANDLES)
 VALID = {
     "gstin": gstin,
@@ -69,13 +73,16 @@ VALID = {
     "phone_india": lambda c: f"({c} <> '9876543210' AND {c} <> repeat(left({c}, 1), 10) AND {c} <> repeat(left({c}, 2), 5))",
     "canada_sin": lambda c: f"({luhn(c, '= 9')} AND left({c}, 1) NOT IN ('0', '8'))",
     "imei": lambda c: f"({luhn(c, '= 15')} AND len(list_distinct({_list(c)})) > 1)",
-    "payment_card": lambda c: f"{luhn(c)} AND {issuer(c)}",
+    "payment_card": lambda c: f"{luhn(c)} AND {issuer(c)} AND {WHOLE}",
+    "jwt": lambda c: "TRUE",
+    "bearer_header": lambda c: "TRUE",
+    "high_entropy_assignment": lambda c: "TRUE",
     "us_ssn": lambda c: f"(substr({c}, 1, 3) NOT IN ('000', '666') AND substr({c}, 1, 1) <> '9' AND substr({c}, 5, 2) <> '00' AND substr({c}, 8, 4) <> '0000')",
     "brazil_cpf": cpf,
     "iban": iban,
     "australia_abn": lambda c: f"(({weighted(c, [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19])} - 10) % 89 = 0)",
     "australia_tfn": lambda c: f"({weighted(c, [1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0)",
-    "aadhaar": lambda c: f"({verhoeff(c)} AND len(list_distinct({_list(c)})) > 1)",
+    "aadhaar": lambda c: f"({verhoeff(c)} AND len(list_distinct({_list(c)})) >= 5)",
 }
 
 
@@ -115,10 +122,41 @@ def matches(rule: Rule, source: str, key: str, text: str = "text") -> str:
       WHERE {" AND ".join(tests)}"""
 
 
+def preview(rule_id: str) -> str:
+    return 'substr("match", 1, 64)' if BY_ID[rule_id].advisory else mask(chr(34) + "match" + chr(34))
+
+
+#: What is to be found of rules whose patterns need what this SQL's lack: for the customers of a rest of their key by 3, the place after
+#: the carrier's first words and the value.  The value of rest 1 has its last character replaced by the key's last digit.
+LAST = "CAST(c_custkey % 10 AS STRING)"
+EXPECTED: dict[str, list[tuple[str, int, str]]] = {
+    "aws_secret_access_key": [("c_custkey % 3 = 0", 8, sample_sql("Zq7+Kx/W{h12}GmPwLtYvRsNbJcHdUoQi")), ("c_custkey % 3 = 1", 8, f"concat({sample_sql('Zq7+Kx/W{h12}GmPwLtYvRsNbJcHdUoQ')}, {LAST})")],
+    "unlabelled_secret": [("c_custkey % 3 = 0", 9, sample_sql("Zq7KxB2{h4}GmP2wLt9YvR5sNb8JcH4TdW")), ("c_custkey % 3 = 2", 7, sample_sql("Zq7KxB2{h4}GmP2wLt9YvR5sNb8JcH4TdW"))],
+    "credential_in_prose": [("c_custkey % 3 = 0", 12, sample_sql("Tr0ub4dor&{h4}")), ("c_custkey % 3 = 1", 12, f"concat({sample_sql('Tr0ub4dor&{h3}')}, {LAST})")],
+    "eu_vat": [("c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 10 = 6", 0, "'DE136695976'")],
+    "isin": [("c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 10 = 5", 0, "'US0378331005'")],
+    "person_name": [("c_custkey % 3 < 2", 4, "'Priya Nair'"), ("c_custkey % 3 = 2", 2, "'Priya Nair'")],
+    "postal_address": [("c_custkey % 3 = 0", 1, "'221 Baker Street, Flat 4'"), ("c_custkey % 3 = 1", 1, f"concat('221 Baker Street, Flat 4', {LAST})"), ("c_custkey % 3 = 2", 0, "'21 Baker Street, Flat 4'")],
+}
+
+
 def rule_sql(rule: Rule) -> str:
+    columns = f'c_custkey, start, "match", {preview(rule.id)} AS preview, {fingerprint(chr(34) + "match" + chr(34))} AS fingerprint'
+    if rule.id == "prompt_injection":
+        return f"""SELECT c_custkey, 0::INT AS start, left({carrier_sql(rule)}, 64) AS "match", 'override' AS preview, {fingerprint("'override'")} AS fingerprint FROM customer"""
+    if rule.id in EXPECTED:
+        rows = " UNION ALL ".join(f'SELECT c_custkey, ({prefix_length()} + {at})::INT AS start, {value} AS "match" FROM customer WHERE {where}' for where, at, value in EXPECTED[rule.id])
+        return f"SELECT {columns} FROM ({rows})"
     source = f"(SELECT c_custkey, {carrier_sql(rule)} AS text FROM customer)"
-    return f'SELECT c_custkey, start, "match", {mask(chr(34) + "match" + chr(34))} AS preview, {fingerprint(chr(34) + "match" + chr(34))} AS fingerprint FROM ({matches(rule, source, "c_custkey")})'
+    return f"SELECT {columns} FROM ({matches(rule, source, 'c_custkey')})"
+
+
+#: What the documents hold, said here on its own.
+IN_DOCUMENTS = [
+    Rule("email", "global", "low", "certain", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", refuse="(?i)@(?:example|test|localhost|invalid|domain|email|yourcompany|acme)[.](?:com|org|net|co)$"),
+    Rule("payment_card", "global", "critical", "certain", r"\b(?:[0-9][ -]?){12,18}[0-9]\b"),
+]
 
 
-def found_sql(ids: list[str], source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    return " UNION ALL ".join(matches(BY_ID[i], source, key, text) for i in ids)
+def found_sql(source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    return " UNION ALL ".join(matches(r, source, key, text) for r in IN_DOCUMENTS)

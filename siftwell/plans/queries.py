@@ -9,31 +9,42 @@ from pyspark.sql import functions as F
 
 from siftwell import prepare
 from siftwell.functions import text as fn
-from siftwell.operators import outcome
-from siftwell.operators.registry import RULES, Rule
-from siftwell.operators.scan import Policy, findings, groups, scan, with_lines
+from siftwell.operators import outcome, redaction
+from siftwell.operators.policy import SWITCHES, Policy
+from siftwell.operators.registry import BY_ID, RULES, Rule
+from siftwell.operators.scan import by_severity, findings, groups, scan, summaries
 from siftwell.plans import oracle
-from siftwell.plans.carriers import carrier_sql
+from siftwell.plans.carriers import EXPORT, EXPORT_ROW, carrier_sql, prefix_length
 from siftwell.streaming.alerts import watch, windowed_alerts
 
-#: The SQL has these rules only, and no overlap resolution; the queries have all rules.
-IN_PROSE = ["email", "payment_card"]
-
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def _carriers(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    return _t(spark, sf, "customer").select("c_custkey", F.expr(text).alias("text"))
+
+
 def rule_query(rule: Rule) -> Callable[[SparkSession, str], DataFrame]:
+    """One rule's findings; the rules of prose go together."""
+    prose = {"person_name", "postal_address"}
+    rules = tuple(BY_ID[i] for i in sorted(prose)) if rule.id in prose else (rule,)
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        carriers = _t(spark, sf, "customer").select("c_custkey", F.expr(carrier_sql(rule)).alias("text"))
-        return findings(carriers, "c_custkey", policy=Policy(rules=(rule,))).select("c_custkey", "start", "match", "preview", "fingerprint")
+        policy = Policy.only(*rules, prose=rule.id in prose, injection=rule.id == "prompt_injection")
+        found = findings(_carriers(spark, sf, carrier_sql(rule)), "c_custkey", policy=policy)
+        return found.where(F.col("rule_id") == rule.id).select("c_custkey", "start", "match", "preview", "fingerprint")
 
     return run
 
 
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", "text")
+
+
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return findings(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return findings(_docs(spark, sf), "doc_id")
 
 
 def doc_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +56,13 @@ def findings_by_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdict_per_doc(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "verdict", F.size("findings").cast("long").alias("n"))
+    return scan(_docs(spark, sf)).select("doc_id", "verdict", F.size("findings").cast("long").alias("n"))
+
+
+def scan_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What each text's scan says of itself: findings, tables, faults of rules, what a bound left out."""
+    out = scan(_docs(spark, sf))
+    return out.select("doc_id", F.size("findings").cast("long").alias("n"), F.col("table").isNotNull().alias("is_table"), F.size("errors").cast("long").alias("errors"), F.size("capped").cast("long").alias("capped"), "skipped")
 
 
 def alarm_rate_by_lang(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,12 +74,20 @@ def grouped_findings(spark: SparkSession, sf: str) -> DataFrame:
     return groups(found(spark, sf), "doc_id")
 
 
+def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return by_severity(found(spark, sf), "doc_id")
+
+
+def doc_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries(found(spark, sf), "doc_id")
+
+
 def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return with_lines(found(spark, sf).select("doc_id", "rule_id", "start"), _t(spark, sf, "documents"), "doc_id").select("doc_id", "rule_id", "start", "line")
+    return found(spark, sf).select("doc_id", "rule_id", "start", F.col("line").cast("long").alias("line"))
 
 
 def exposure_score(spark: SparkSession, sf: str) -> DataFrame:
-    return outcome.exposure(found(spark, sf), "doc_id")
+    return outcome.exposure(found(spark, sf), "doc_id").select("doc_id", "score", "band", "headline")
 
 
 def regimes_per_doc(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,9 +99,25 @@ def reused_values(spark: SparkSession, sf: str) -> DataFrame:
     return f.where("docs > 1")
 
 
+def rule_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    return outcome.breakdown(found(spark, sf))
+
+
 def redacted_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = outcome.redact(scan(_t(spark, sf, "documents").select("doc_id", "text")))
-    return docs.where(F.size("findings") > 0).select("doc_id", F.sha2("redacted", 256).alias("digest"))
+    docs = redaction.redact(_docs(spark, sf))
+    return docs.where("changed > 0").select("doc_id", F.col("changed").cast("long").alias("changed"), F.sha2("redacted", 256).alias("digest"))
+
+
+def redacted_rescan(spark: SparkSession, sf: str) -> DataFrame:
+    """Redacted texts, scanned again."""
+    docs = redaction.redact(_docs(spark, sf)).where("changed > 0").select("doc_id", F.col("redacted").alias("text"))
+    return scan(docs).select("doc_id", "verdict", F.size("findings").cast("long").alias("n"))
+
+
+def restored_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with pseudonyms, and back: the digest of the text and that of the original are the same."""
+    docs = redaction.restored(redaction.redact(_docs(spark, sf), style="pseudonym", reversible=True).where("changed > 0"))
+    return docs.select("doc_id", F.sha2("restored", 256).alias("digest"))
 
 
 def rollup_lang_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,6 +129,50 @@ def conversation_values(spark: SparkSession, sf: str) -> DataFrame:
     return watch(_t(spark, sf, "conversations"), Policy()).select("conv_id", "rule_id", "fingerprint")
 
 
+def _exports(spark: SparkSession, sf: str) -> DataFrame:
+    """A text for each nation: the comma-separated export of its customers."""
+    rows = F.array_sort(F.collect_list(F.struct("c_custkey", F.expr(EXPORT_ROW).alias("line"))))
+    text = F.concat_ws("\n", F.lit(EXPORT[0]), F.transform(rows, lambda r: r["line"]))
+    return _t(spark, sf, "customer").groupBy("c_nationkey").agg(text.alias("text"))
+
+
+def export_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scan says of exports: rows, columns, personal columns, and whether all values can be replaced."""
+    out = scan(_exports(spark, sf)).where("table is not null")
+    return out.select("c_nationkey", "verdict", "table.rows", F.array_join("table.kinds", ",").alias("kinds"), "table.severity", "table.layout", "table.personal_values", "table.fully_redactable", F.size("findings").cast("long").alias("n"))
+
+
+def export_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and regimes of exports, with their volume."""
+    out = scan(_exports(spark, sf))
+    found_ = out.select("c_nationkey", F.explode("findings").alias("f")).select("c_nationkey", "f.*")
+    tables = out.where("table is not null").select("c_nationkey", "table.rows", F.size("table.kinds").alias("columns"))
+    score = outcome.exposure(found_, "c_nationkey", tables).select("c_nationkey", "score", "band")
+    names = outcome.regimes(found_, "c_nationkey", tables).groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_set("regime")), ",").alias("regimes"))
+    return score.join(names, "c_nationkey")
+
+
+#: Encodings that both engines have, as SQL of a key's text.
+HIDDEN = {"Base64": "base64(CAST({0} AS BINARY))", "hexadecimal": "lower(hex({0}))"}
+HIDDEN_DUCK = {"Base64": "base64(encode({0}))", "hexadecimal": "lower(hex(encode({0})))"}
+KEY = "concat('key=AKIAABCD2345', substr(translate(upper(md5(CAST(c_custkey AS STRING))), '0189', 'QRST'), 1, 8), ' in use')"
+
+
+def decoded_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys hidden by an encoding, at the encoded run's place."""
+    out = [
+        findings(_carriers(spark, sf, f"concat('note for ', c_name, ': ', {sql.format(KEY)})"), "c_custkey").select("c_custkey", "rule_id", "start", "end", "encoded", "fingerprint")
+        for sql in HIDDEN.values()
+    ]
+    return out[0].unionByName(out[1])
+
+
+def codenames(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _carriers(spark, sf, "concat('about ', CASE WHEN c_custkey % 2 = 0 THEN 'BlueBird' ELSE 'bluebirds' END, ' and ', c_name)")
+    policy = Policy(rules=(), codenames=("bluebird", "ab"), **dict.fromkeys(SWITCHES, False))
+    return findings(texts, "c_custkey", policy=policy).select("c_custkey", "rule_id", "severity", "advisory", "start", "match")
+
+
 def page_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """Values of link and image attributes, where text hides from the eye."""
     pages = _t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?:href|src|alt|title)="([^"]{1,500})"'), F.lit(1))).alias("value"))
@@ -111,26 +196,50 @@ def part_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", F.round(fn.entropy(F.col("p_name")), 6).alias("bits"))
 
 
-FOUND = oracle.found_sql(IN_PROSE)
+FOUND = oracle.found_sql()
+MATCH = chr(34) + "match" + chr(34)
+#: Placeholders numbered by first appearance within text and rule, and the pieces of text between them.
+SPLICED = f"""SELECT doc_id, count(*) AS changed, concat(string_agg(concat(substr(text, before + 1, (start - before)::BIGINT), '<', upper(rule_id), '_', nth, '>'), '' ORDER BY start), substr(any_value(text), (max(start + length(m)) + 1)::BIGINT)) AS redacted
+  FROM (SELECT doc_id, rule_id, start, m, text, nth, coalesce(lag(start + length(m)) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before
+        FROM (SELECT doc_id, rule_id, start, {MATCH} AS m, min(start) OVER (PARTITION BY doc_id, rule_id, {MATCH}) AS first FROM ({FOUND})) f
+        JOIN (SELECT doc_id, rule_id, first, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY first) AS nth FROM (SELECT DISTINCT doc_id, rule_id, min(start) OVER (PARTITION BY doc_id, rule_id, {MATCH}) AS first FROM ({FOUND}))) USING (doc_id, rule_id, first)
+        JOIN documents USING (doc_id)) GROUP BY doc_id"""
+POINTS = "CASE rule_id WHEN 'payment_card' THEN 34.0::DOUBLE ELSE 2.0::DOUBLE END * (1 + least(0.6::DOUBLE, 0.18::DOUBLE * log2(n)))"
+#: An export's rows are personal records: a name by its header, an address by its header; 2 values a row.
+EXPORTED = "SELECT c_nationkey, count(*) AS rows FROM customer GROUP BY c_nationkey HAVING count(*) >= 3"
+GRADE = "CASE WHEN rows >= 100 THEN 'critical' WHEN rows >= 20 THEN 'high' ELSE 'medium' END"
 SQL = {
-    "doc_findings": f'SELECT doc_id, rule_id, start, "match", {oracle.mask(chr(34) + "match" + chr(34))} AS preview, {oracle.fingerprint(chr(34) + "match" + chr(34))} AS fingerprint FROM ({FOUND})',
+    "doc_findings": f"SELECT doc_id, rule_id, start, {MATCH}, {oracle.mask(MATCH)} AS preview, {oracle.fingerprint(MATCH)} AS fingerprint FROM ({FOUND})",
     "findings_by_rule": f"SELECT rule_id, severity, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({FOUND}) GROUP BY ALL",
-    "verdict_per_doc": f"SELECT doc_id, CASE WHEN n IS NULL THEN 'clean' WHEN grave THEN 'block' ELSE 'warn' END AS verdict, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, bool_or(severity IN ('critical', 'high')) AS grave FROM ({FOUND}) GROUP BY doc_id) USING (doc_id)",
-    "alarm_rate_by_lang": f"SELECT lang, count(f.doc_id) AS alarms, count(*) AS docs FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM ({FOUND})) f USING (doc_id) GROUP BY lang",
-    "grouped_findings": f'SELECT doc_id, rule_id, severity, count(*) AS occurrences, min(start) AS first_start, arg_min({oracle.mask(chr(34) + "match" + chr(34))}, start) AS preview FROM ({FOUND}) GROUP BY ALL',
+    "verdict_per_doc": f"SELECT doc_id, CASE WHEN grave THEN 'block' ELSE 'clean' END AS verdict, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, bool_or(rule_id = 'payment_card') AS grave FROM ({FOUND}) GROUP BY doc_id) USING (doc_id)",
+    "scan_report": f"SELECT doc_id, coalesce(n, 0) AS n, FALSE AS is_table, 0::BIGINT AS errors, 0::BIGINT AS capped, 0::BIGINT AS skipped FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({FOUND}) GROUP BY doc_id) USING (doc_id)",
+    "alarm_rate_by_lang": f"SELECT lang, count(f.doc_id) AS alarms, count(*) AS docs FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM ({FOUND}) WHERE rule_id = 'payment_card') f USING (doc_id) GROUP BY lang",
+    "grouped_findings": f"SELECT doc_id, rule_id, severity, count(*) AS occurrences, min(start) AS first_start, arg_min({oracle.mask(MATCH)}, start) AS preview FROM ({FOUND}) GROUP BY ALL",
+    "severity_counts": f"SELECT doc_id, count(*) FILTER (rule_id = 'payment_card') AS critical, 0::BIGINT AS high, 0::BIGINT AS medium, count(*) FILTER (rule_id = 'email') AS low FROM ({FOUND}) GROUP BY doc_id",
+    "doc_summaries": f"SELECT doc_id, string_agg(CASE WHEN n = 1 THEN label ELSE concat(n, '× ', label) END, ', ' ORDER BY first) AS summary FROM (SELECT doc_id, CASE rule_id WHEN 'email' THEN 'Email' ELSE 'Payment card' END AS label, count(*) AS n, min(start) AS first FROM ({FOUND}) GROUP BY ALL) GROUP BY doc_id",
     "line_numbers": f"SELECT doc_id, rule_id, start, 1 + length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) AS line FROM ({FOUND}) JOIN documents USING (doc_id)",
-    "exposure_score": f"""SELECT doc_id, score, CASE WHEN score >= 70 THEN 'severe' WHEN score >= 40 THEN 'elevated' WHEN score >= 15 THEN 'low' ELSE 'minimal' END AS band FROM (
-        SELECT doc_id, round(100 * (1 - exp(-sum(CASE rule_id WHEN 'payment_card' THEN 34.0::DOUBLE ELSE 2.0::DOUBLE END * (1 + least(0.6::DOUBLE, 0.18::DOUBLE * log2(n)))) / 45)))::BIGINT AS score
+    "exposure_score": f"""SELECT doc_id, score, CASE WHEN score >= 70 THEN 'severe' WHEN score >= 40 THEN 'elevated' WHEN score >= 15 THEN 'low' ELSE 'minimal' END AS band, CASE WHEN len(top) = 1 THEN concat('Driven by ', top[1], '.') ELSE concat('Driven mainly by ', top[1], ' and ', top[2], '.') END AS headline FROM (
+        SELECT doc_id, round(100 * (1 - exp(-sum({POINTS}) / 45)))::BIGINT AS score, list(concat(CASE WHEN n > 1 THEN concat(n, '× ') ELSE '' END, CASE rule_id WHEN 'email' THEN 'email' ELSE 'payment card' END) ORDER BY round({POINTS}) DESC) AS top
         FROM (SELECT doc_id, rule_id, count(*) AS n FROM ({FOUND}) GROUP BY ALL) GROUP BY doc_id)""",
-    "regimes_per_doc": f"SELECT doc_id, regime, min(start) AS first_start FROM ({FOUND}) JOIN (VALUES ('payment_card', 'PCI DSS'), ('email', 'GDPR'), ('email', 'DPDP')) v(r, regime) ON r = rule_id GROUP BY ALL",
-    "reused_values": f'SELECT {oracle.fingerprint(chr(34) + "match" + chr(34))} AS fingerprint, rule_id, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM ({FOUND}) GROUP BY ALL HAVING count(DISTINCT doc_id) > 1',
+    "regimes_per_doc": f"SELECT doc_id, regime, min(start) AS first_start FROM ({FOUND}) JOIN (VALUES ('payment_card', 'PCI DSS'), ('payment_card', 'GDPR'), ('email', 'GDPR'), ('email', 'DPDP')) v(r, regime) ON r = rule_id GROUP BY ALL",
+    "reused_values": f"SELECT {oracle.fingerprint(MATCH)} AS fingerprint, rule_id, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM ({FOUND}) GROUP BY ALL HAVING count(DISTINCT doc_id) > 1",
+    "rule_breakdown": f"SELECT rule_id, count(*) AS n, count(DISTINCT {MATCH}) AS secrets FROM ({FOUND}) GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 4",
+    "redacted_docs": f"SELECT doc_id, changed, sha256(redacted) AS digest FROM ({SPLICED})",
+    "redacted_rescan": f"SELECT DISTINCT doc_id, 'clean' AS verdict, 0::BIGINT AS n FROM ({FOUND})",
+    "restored_docs": f"SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM ({FOUND}))",
     "rollup_lang_source": f"SELECT lang, rule_id, count(*) AS n FROM ({FOUND}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, rule_id)",
-    "conversation_values": f'SELECT DISTINCT conv_id, rule_id, {oracle.fingerprint(chr(34) + "match" + chr(34))} AS fingerprint FROM ({oracle.found_sql(IN_PROSE, "conversations", "conv_id")})',
+    "conversation_values": f'SELECT DISTINCT conv_id, rule_id, {oracle.fingerprint(MATCH)} AS fingerprint FROM ({oracle.found_sql("conversations", "conv_id")})',
+    "export_tables": f"SELECT c_nationkey, CASE WHEN rows >= 100 THEN 'block' ELSE 'warn' END AS verdict, rows, 'name,email' AS kinds, {GRADE} AS severity, 'comma-separated' AS layout, 2 * rows AS personal_values, TRUE AS fully_redactable, 2 * rows AS n FROM ({EXPORTED})",
+    "export_exposure": f"""SELECT c_nationkey, score, CASE WHEN score >= 70 THEN 'severe' WHEN score >= 40 THEN 'elevated' WHEN score >= 15 THEN 'low' ELSE 'minimal' END AS band, 'DPDP,GDPR' AS regimes FROM (
+        SELECT c_nationkey, round(100 * (1 - exp(-(2.0::DOUBLE * grown + CASE WHEN rows >= 100 THEN 18.0::DOUBLE ELSE 8.0::DOUBLE END * 0.85::DOUBLE * grown + least(72::DOUBLE, (18 + 20 * log10(greatest(10, rows))) * 1.12::DOUBLE)) / 45)))::BIGINT AS score
+        FROM (SELECT c_nationkey, rows, 1 + least(0.6::DOUBLE, 0.18::DOUBLE * log2(rows)) AS grown FROM ({EXPORTED})))""",
+    "decoded_values": " UNION ALL ".join(f"SELECT c_custkey, 'aws_access_key_id' AS rule_id, ({prefix_length()})::INT AS start, ({prefix_length()} + length({sql.format(KEY)}))::INT AS {chr(34)}end{chr(34)}, '{how}' AS encoded, {oracle.fingerprint(f'substr({KEY}, 5, 20)')} AS fingerprint FROM customer" for how, sql in HIDDEN_DUCK.items()),
+    "codenames": """SELECT c_custkey, 'org_codename' AS rule_id, 'high' AS severity, TRUE AS advisory, 6::INT AS start, 'BlueBird' AS "match" FROM customer WHERE c_custkey % 2 = 0""",
     "page_attributes": """SELECT page_id, count(*) AS n, count(DISTINCT v) AS n_distinct FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src|alt|title)="([^"]{1,500})"', 1)) AS v FROM pages) GROUP BY page_id""",
     "shape_profile": "SELECT doc_id, " + ", ".join(f"coalesce(list_max(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))), 0)::BIGINT AS {n}" for p, n in (("[A-Z]+", "upper_run"), ("[A-Za-z0-9]+", "alnum_run"), ("[A-Za-z0-9+/]+", "base64_run"))) + " FROM documents",
     "rule_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.category}', '{r.severity}', '{r.confidence}', '{r.tier}')" for r in RULES) + ") t(rule_id, category, severity, confidence, tier)",
     "events_windowed_alerts": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events WHERE value >= 90 GROUP BY ALL",
     "part_entropy": "SELECT p_partkey, round(list_sum(list_transform(list_distinct(cs), lambda x: -(len(list_filter(cs, lambda y: y = x)) / len(cs)) * log2(len(list_filter(cs, lambda y: y = x)) / len(cs)))), 6) AS bits FROM (SELECT p_partkey, string_split(p_name, '') AS cs FROM part)",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {"redacted_docs": redacted_docs} | {f"rule_{r.id}": rule_query(r) for r in RULES}
+QUERIES = {name: globals()[name] for name in SQL} | {f"rule_{r.id}": rule_query(r) for r in RULES}
 SQL |= {f"rule_{r.id}": oracle.rule_sql(r) for r in RULES}
