@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftwell import prepare
 from siftwell.operators.policy import Policy
-from siftwell.operators.scan import pieces
+from siftwell.operators.scan import dealt_out, pieces
 from siftwell.operators.scanner import Scanner
 
 
@@ -115,7 +115,7 @@ def redact(df: DataFrame, text_col: str = "text", policy: Policy | None = None,
             yield pa.RecordBatch.from_arrays([*b.columns, *new], schema=arrow)
 
     prepare(df.sparkSession)
-    return kept.mapInArrow(run, schema)
+    return dealt_out(kept).mapInArrow(run, schema)
 
 
 def restored(df: DataFrame, text_col: str = "redacted", table_col: str = "reversal") -> DataFrame:

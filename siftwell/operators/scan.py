@@ -30,8 +30,8 @@ SCANNED = (
     f"table struct<{','.join(x.replace(' ', ': ', 1) for x in TABLE.split(', '))}>, "
     "errors array<struct<rule_id: string,stage: string,message: string>>, capped array<string>, skipped long"
 )
-#: Bytes of text in a batch that is scanned at once.
-BATCH_BYTES = 8 << 20
+#: Bytes of text in a batch that is scanned at once; of a table, for each core, up to which it is dealt out anew.
+BATCH_BYTES, SMALL_BYTES = 8 << 20, 32 << 20
 
 
 def row_of(f: Finding, salt: str) -> dict:
@@ -61,6 +61,15 @@ def pieces(batches, text_col: str) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, step)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A small table over all cores: its one file or few row groups would keep most of them idle.  A larger one stays as it is read, without a shuffle."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(3 * cores) if size <= cores * SMALL_BYTES else df
+
+
 def scan(df: DataFrame, text_col: str = "text", policy: Policy | None = None) -> DataFrame:
     """Adds ``findings`` (in order of place), ``verdict`` (clean, warn, block), ``table``, ``errors``, ``capped`` (rules that a bound of the policy cut short) and ``skipped`` (characters not read).
 
@@ -80,7 +89,7 @@ def scan(df: DataFrame, text_col: str = "text", policy: Policy | None = None) ->
             yield pa.RecordBatch.from_arrays([*b.columns, *new], schema=arrow)
 
     prepare(df.sparkSession)
-    return kept.mapInArrow(run, schema)
+    return dealt_out(kept).mapInArrow(run, schema)
 
 
 def findings(df: DataFrame, id_col: str, text_col: str = "text", policy: Policy | None = None) -> DataFrame:
@@ -98,7 +107,7 @@ def findings(df: DataFrame, id_col: str, text_col: str = "text", policy: Policy
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[n] for _, r in rows], arrow.field(n).type) for n in names)], schema=arrow)
 
     prepare(df.sparkSession)
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, one)
+    return dealt_out(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))).mapInArrow(run, one)
 
 
 def groups(found: DataFrame, id_col: str) -> DataFrame:
