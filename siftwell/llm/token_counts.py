@@ -20,10 +20,12 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table, work_dir, write_parts
+from .common import arrow_schema, id_text, materialise, rows_batch, slices, strings_of, table, tidied, work_dir, write_parts
 from .pieces import chunk_table, model_path
 
 LIMIT = 4096
+#: Copies from which on a digest's count goes to its rows; digests (32 bytes each) that are broadcast at most.
+COPIES, BROADCAST_ROWS = 256, 1_000_000
 STORED = "digest binary, n_tokens long"
 
 
@@ -48,23 +50,33 @@ def token_counts(docs: DataFrame, cache: str, path: str | None = None, limit: in
     spark, path = docs.sparkSession, path or model_path()
     folder = f"{cache.rstrip('/')}/tokenizer={tokenizer_version(path)}"
     text = F.coalesce("text", F.lit(""))
-    keyed = id_text(docs).select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    # A digest's copies meet before the shuffle, so that a text in a third of all rows is one row a task.
-    missing = keyed.select("digest", "text").join(stored_counts(spark, folder), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
-    schema = arrow_schema(STORED)
-
-    def run(batches):
-        tab = chunk_table(path)
-        for b in slices(batches):
-            yield rows_batch(schema, [b.column(0), tab.count(strings_of(b))])
-
-    write_parts(missing, folder, run, STORED)
-    n = F.col("n_tokens")
-    return (
-        keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-        .join(stored_counts(spark, folder), "digest")
-        .select("doc_id", "n_bytes", n, (n > limit).alias("over_limit"))
-    )
+    keyed = id_text(docs).select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    # Digests alone tell what is missing; only texts of missing ones move.
+    digests = materialise(keyed.groupBy("digest").agg(F.count("*").alias("copies")), "digests")
+    missing = materialise(digests.join(stored_counts(spark, folder), "digest", "left_anti").select("digest"), "missing-digests")
+    if n := missing.count():
+        # Nothing is stored yet: all digests are missing, and no join need say so.
+        wanted = keyed if n == digests.count() else keyed.join(F.broadcast(missing) if n <= BROADCAST_ROWS else missing, "digest", "left_semi")
+        # A digest's copies meet before the shuffle, so that a text in a third of all rows is one row a task.
+        texts = wanted.groupBy("digest").agg(F.first("text").alias("text"))
+
+        @tidied(("chunks", path))
+        def run(batches):
+            tab = chunk_table(path)
+            for b in slices(batches):
+                yield rows_batch(arrow_schema(STORED), [b.column(0), tab.count(strings_of(b))])
+
+        write_parts(texts, folder, run, STORED)
+    # Counts of digests with many copies go to the rows; all else meets its count by digest.
+    counts, hot = stored_counts(spark, folder), digests.where(F.col("copies") > COPIES).select("digest")
+    known = hot.join(counts, "digest").select(F.col("digest").alias("hot_digest"), F.col("n_tokens").alias("hot_tokens"))
+    if hot.count() > BROADCAST_ROWS:
+        known = known.limit(0)  # more hot digests than may be sent: rows of each are few beside all rows
+    rows = keyed.select("doc_id", "digest", "n_bytes").join(F.broadcast(known), F.col("digest") == F.col("hot_digest"), "left")
+    key = F.when(F.col("hot_digest").isNull(), F.col("digest")).otherwise(F.unhex(F.md5(F.monotonically_increasing_id().cast("string"))))
+    rows = rows.withColumn("key", key).join(counts.withColumnRenamed("digest", "key"), "key", "left")
+    n_tokens = F.coalesce("hot_tokens", "n_tokens")
+    return rows.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
