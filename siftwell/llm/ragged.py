@@ -7,15 +7,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def words_of(texts: pa.StringArray, line_feed: str) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(code of each word, distinct words, offsets of each text's words); a line feed is replaced first.
+def words_of(texts: pa.StringArray, line_feed: str, arrow: bool = False) -> tuple[np.ndarray, list[str] | pa.StringArray, np.ndarray]:
+    """(code of each word, distinct words as a list or in Arrow's form, offsets of each text's words); a line feed is replaced first.
 
     A text without characters has one word, the empty one.
     """
     cut = pc.split_pattern(pc.replace_substring(texts, "\n", line_feed), " ")
     found = cut.flatten().dictionary_encode()
     offsets = cut.offsets.to_numpy().astype(np.int64)
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False).tolist(), offsets - offsets[0]
+    words = found.dictionary if arrow else found.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return found.indices.to_numpy().astype(np.int64), words, offsets - offsets[0]
 
 
 def spread(values: list[bytes], codes: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:

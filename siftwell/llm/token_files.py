@@ -12,25 +12,25 @@ come first.  An empty table gives no shards and an empty result.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import arrow_schema, get, id_text, materialise, put, rows_batch, slices, strings_of, table, work_dir
+from .common import arrow_schema, get, id_text, kept, materialise, put, rows_batch, slices, strings_of, table, tidied, work_dir
 from .ragged import Recent, at, spread, words_of
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids in a shard; distinct words that a worker keeps; shards that a task reads back.
 SHARD_IDS, TABLE_MOST, SHARDS_READ = 4_000_000, 1_000_000, 16
-LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?]*)")
+#: Letters, and the punctuation after them, of a run that is nothing else.
+PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,!?]*)$"
 
 
 class WordTable:
@@ -44,11 +44,8 @@ class WordTable:
     """
 
     def __init__(self, path: str, most: int = TABLE_MOST):
-        import gc
         import os
 
-        gc.disable()  # walking the table costs more than all else, and it holds no cycles
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,39 +55,39 @@ class WordTable:
         self.signs = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def library(self, words: list[str]) -> list[bytes]:
-        """Ids of words.  What is only letters is one word to the splitter and goes to its model at once, as the signs that stand for its bytes."""
-        plain = [LETTERS(w) is not None for w in words]
+    def library(self, words: list[str], plain: list[bool]) -> list[bytes]:
+        """Ids of words.  What is plain letters is one word to the splitter and goes to its model at once, as the signs that stand for its bytes."""
         rest = iter(self.tok.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
         model, signs, kind = self.tok.model.tokenize, self.signs, "H" if self.kind.itemsize == 2 else "I"
         return [array(kind, [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(signs))] if p else next(rest).ids).tobytes() for w, p in zip(words, plain, strict=True)]
 
-    def values(self, runs: list[str]) -> list[bytes]:
-        """Ids of each run, after the missing words are learnt."""
-        match = PLAIN.fullmatch
-        parts = [(m[1].lower(), m[2]) if (m := match(run)) else (run, "") for run in runs]
-        asked = {w for p in parts for w in p}
-        missing = self.words.missing(list(asked))
-        self.words.new.update(zip(missing, self.library(missing), strict=True))
-        ids = self.words.new.__getitem__
-        return [ids(a) + ids(b) if b else ids(a) for a, b in parts]
+    def values(self, words: list[str], plain: list[bool]) -> list[bytes]:
+        """Ids of each word, after the missing ones are learnt."""
+        missing = set(self.words.missing(words))
+        if missing:
+            new, kinds = zip(*((w, p) for w, p in zip(words, plain, strict=True) if w in missing), strict=True)
+            self.words.new.update(zip(new, self.library(new, kinds), strict=True))
+        return list(map(self.words.new.__getitem__, words))
 
     def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id after it; their offsets)."""
-        codes, runs, offsets = words_of(texts, " ")
-        values = [*self.values(runs), np.array([end_id], self.kind).tobytes()]
-        codes = np.insert(codes, offsets[1:], len(runs))
-        ids, ends = spread(values, codes, self.kind)
-        return ids, at(ends, offsets + np.arange(len(offsets)))
-
-
-_tables: dict[str, WordTable] = {}
+        codes, runs, offsets = words_of(texts, " ", arrow=True)
+        cut = pc.extract_regex(runs, PLAIN)
+        plain, mark = cut.is_valid(), pc.fill_null(pc.struct_field(cut, 1), "").dictionary_encode()
+        word = pc.if_else(plain, pc.utf8_lower(pc.struct_field(cut, 0)), runs).dictionary_encode()
+        # What isn't plain may be spelt like a word that is, but never the other way round: a plain word is letters only.
+        words, marks = word.dictionary.to_pylist(), mark.dictionary.to_pylist()
+        letters = pc.match_substring_regex(word.dictionary, "^[a-zß-öø-ÿ]+$").to_pylist()
+        values = [*self.values(words, letters), *self.values(marks, [False] * len(marks)), np.array([end_id], self.kind).tobytes()]
+        ahead, behind = word.indices.to_numpy()[codes], len(words) + mark.indices.to_numpy()[codes].astype(np.int64)
+        pairs = np.empty(2 * len(codes), np.int64)
+        pairs[::2], pairs[1::2] = ahead, behind
+        ids, ends = spread(values, np.insert(pairs, 2 * offsets[1:], len(values) - 1), self.kind)
+        return ids, at(ends, 2 * offsets + np.arange(len(offsets)))
 
 
 def word_table(path: str) -> WordTable:
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
+    return kept(("words", path), lambda: WordTable(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -115,6 +112,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     parts = int(max(1, min(1 << 20, max(total // (32 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     schema = arrow_schema(MANIFEST)
 
+    @tidied(("words", path))
     def run(batches):
         from pyspark import TaskContext
 
@@ -170,6 +168,7 @@ def read_files(manifest: DataFrame, parts: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
     schema = arrow_schema(READ)
 
+    @tidied()
     def run(batches):
         for b in batches:
             for path, start in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True):
