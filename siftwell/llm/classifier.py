@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table
+from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table, tidied
 from .ragged import Recent, words_of
 
 #: Rated rows that are used at most; buckets of features (a power of two); documents a feature needs in the sample.
@@ -126,17 +126,20 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, grades: np.ndarray, steps: int
 
 def rated(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, offsets, grades) of at most ``sample`` rated documents; ``ratings`` has doc_id and grade."""
-    some = ratings.dropna().select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("long").alias("grade"))
+    some = ratings.dropna().select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("long").alias("grade")).distinct()
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)  # so few that a broadcast is safe
     ddl = "grade long, buckets binary"
     schema = arrow_schema(ddl)
 
+    @tidied()
     def run(batches):
         for b in slices(batches):
             got, offsets = features(strings_of(b))
             yield rows_batch(schema, [b.column(b.schema.get_field_index("grade")), [got[x:y].astype("<i4").tobytes() for x, y in zip(offsets, offsets[1:], strict=False)]])
 
-    rows = id_text(docs).join(F.broadcast(some), "doc_id").select("text", "grade").mapInArrow(run, ddl).limit(2 * sample).collect()
+    # One text for each rating, also where an id is repeated, so that there are ``sample`` rows at most.
+    texts = id_text(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = texts.select("text", "grade").mapInArrow(run, ddl).collect()
     lists = [np.frombuffer(r[1], "<i4") for r in rows]
     return np.concatenate([*lists, np.empty(0, "<i4")]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), np.array([r[0] for r in rows], np.int64)
 
@@ -152,6 +155,7 @@ def classify(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, least: f
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds, model.grades) if model else None)  # BUCKETS floats, whatever the input
     schema = arrow_schema(OUT)
 
+    @tidied()
     def run(batches):
         seen, own = Recent(1 << 20), Model(*shared.value) if shared.value else None
         for b in slices(batches, most_bytes=8 << 20):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -26,7 +28,7 @@ _made: list[tuple[SparkSession, str]] = []
 RECORDS, RECORDS_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of a row group of files that workers write.
 GROUP_BYTES = 8 << 20
-BYTES, BYTES_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BYTES, BYTES_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
 
 
@@ -41,6 +43,54 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_kept: dict = {}  # in a worker: the one table that outlives a task
+
+
+def kept(key: tuple, make):
+    """The worker's table of that key, made at need; it depends on the key only.  A worker keeps one table."""
+    if key not in _kept:
+        forget(key)
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget(but: tuple | None = None) -> None:
+    """Drop the worker's table, unless it is that one, and let freed memory go back to the system."""
+    if _kept and but not in _kept:
+        _kept.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such function
+        pass
+
+
+def tidied(keeps: tuple | None = None):
+    """For a function on Arrow batches: a table of other operators goes first, and memory that it frees doesn't stay with the worker.
+
+    With ``keeps``, the key of a table, Python's collector rests meanwhile: walking the table costs more than all else, and it holds no cycles.
+    """
+
+    def wrap(run):
+        def inner(batches, **more):
+            forget(keeps)
+            if keeps:
+                gc.disable()
+            try:
+                yield from run(batches, **more)
+            finally:
+                gc.enable()
+                trim()
+
+        return inner
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's reader touches the path."""
     return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -227,6 +277,7 @@ def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """
     lean(docs.sparkSession)
 
+    @tidied()
     def run(batches):
         judge = keep()
         for b in slices(batches, text_col, 8 << 20):

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, filter_rows, id_text, rows_batch, slices, strings_of, table
+from .common import arrow_schema, filter_rows, id_text, rows_batch, slices, strings_of, table, tidied
 from .ragged import words_of
 
 K1, B = 1.2, 0.75
@@ -267,6 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for index in indexes(benchmark, size=size):
         shared = docs.sparkSession.sparkContext.broadcast(index)  # of at most ``size`` items
 
+        @tidied()
         def run(batches, shared=shared):
             own = shared.value
             for b in slices(batches, most_bytes=8 << 20):

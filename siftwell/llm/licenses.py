@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table
+from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table, tidied
 from .ragged import words_of
 
 THRESHOLD = 0.8
@@ -161,6 +161,7 @@ OUT = "doc_id long, license string, dice double, n_licenses long, licenses strin
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     schema = arrow_schema(OUT)
 
+    @tidied()
     def run(batches):
         known = Templates(templates, threshold)
         rank = {}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, free_name, id_text, materialise, rows_batch, slices, strings_of, table
+from .common import arrow_schema, free_name, id_text, materialise, rows_batch, slices, strings_of, table, tidied
 from .components import components
 from .ragged import Recent
 from .shingles import SHORT, SIMILARITY, Union, band_keys, least_matches, shingles, signatures, survivors
@@ -55,6 +55,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     ddl = "doc_id long, digest binary, low binary, keys binary, size long"
     schema = arrow_schema(ddl)
 
+    @tidied()
     def run(batches):
         known = Recent(RECENT)
         for b in slices(batches, most_bytes=2 << 20):
@@ -120,6 +121,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     ddl = "key long, node long"
     schema = arrow_schema(ddl)
 
+    @tidied()
     def bands(batches):
         for b in batches:
             keys = fixed(b.column(1), np.int64, len(b.column(1)[0].as_py()) // 8) if b.num_rows else np.empty((0, 1), np.int64)
@@ -134,6 +136,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     out = "a long, b long"
     out_schema = arrow_schema(out)
 
+    @tidied()
     def prune(batches):
         for rows, begin, end in units(batches, 6):
             size = np.diff(np.append(begin, end))
@@ -214,6 +217,7 @@ def verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, similarity:
     ddl = "a long, b long, texts long, rows long"
     schema = arrow_schema(ddl)
 
+    @tidied()
     def run(batches):
         known = Recent(RECENT)
         for rows, begin, end in units(batches, 8):

@@ -21,13 +21,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_schema, id_text, rows_batch, slices, strings_of, table
+from .common import arrow_schema, id_text, kept, rows_batch, slices, strings_of, table, tidied
 from .ragged import Recent, at, spread, words_of
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Distinct chunks that a worker keeps, about; those not seen for longest go.
-TABLE_MOST = 1_000_000
+TABLE_MOST = 500_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -71,13 +71,10 @@ class ChunkTable:
     """Ids of each distinct chunk, found once."""
 
     def __init__(self, path: str, most: int = TABLE_MOST):
-        import gc
-
         import sentencepiece
 
-        gc.disable()  # walking the table costs more than all else, and it holds no cycles
-
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.most = most
         self.ids, self.n = Recent(most), Recent(most)  # ids in decimal, a comma after each; their number
         self.back: dict[str, str] = {}  # decoded chunks, where they differ from the chunk
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
@@ -100,6 +97,8 @@ class ChunkTable:
                 known.new.update((c, len(x)) for c, x in zip(new, ids, strict=True))
             else:
                 known.new.update((c, "".join([f"{i}," for i in x]).encode()) for c, x in zip(new, ids, strict=True))
+                if len(self.back) > self.most:
+                    self.back = {c: d for c, d in self.back.items() if c in known.new or c in known.old}
                 self.back.update((c, d) for c, d in zip(new, self.sp.decode(ids, num_threads=1), strict=True) if c != d)
         return list(map(known.new.__getitem__, chunks))
 
@@ -135,15 +134,8 @@ class ChunkTable:
         return out
 
 
-_tables: dict[str, ChunkTable] = {}
-
-
 def chunk_table(path: str) -> ChunkTable:
-    """The worker's own table; it outlives a task, as it depends on the model only."""
-    if path not in _tables:
-        _tables.clear()
-        _tables[path] = ChunkTable(path)
-    return _tables[path]
+    return kept(("chunks", path), lambda: ChunkTable(path))
 
 
 OUT = "doc_id long, ids string, n_tokens long, decoded string"
@@ -154,6 +146,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids joined by commas, n_tokens, decoded text) of each whole text."""
     path, schema = path or model_path(), arrow_schema(OUT)
 
+    @tidied(("chunks", path))
     def run(batches):
         tab = chunk_table(path)
         for b in slices(batches, most_bytes=8 << 20):
@@ -168,6 +161,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path, schema = path or model_path(), arrow_schema(DIGESTS)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
+    @tidied(("chunks", path))
     def run(batches):
         tab = chunk_table(path)
         for b in slices(batches, most_bytes=8 << 20):

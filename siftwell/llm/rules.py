@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, filter_rows, id_text, rows_batch, slices, table, texts_of
+from .common import arrow_schema, filter_rows, id_text, rows_batch, slices, table, texts_of, tidied
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 #: Documents by which the rules' costs and rejections are estimated.
@@ -142,6 +142,7 @@ def order_rules(docs: DataFrame, rules: list[Rule] = RULES, sample: int = SAMPLE
     ddl = "name string, cost double, rejected double"
     schema = arrow_schema(ddl)
 
+    @tidied()
     def run(batches):
         seen: list[Doc] = []
         for b in slices(batches):
@@ -164,6 +165,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule] = RULES, sample: int = SAMP
     ordered, _ = order_rules(docs, rules, sample)
     schema = arrow_schema(OUT)
 
+    @tidied()
     def run(batches):
         for b in slices(batches):
             rows = [Doc(t) for t in texts_of(b)]

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, free_name, get, id_text, materialise, put, rows_batch, table, work_dir
+from .common import arrow_schema, free_name, get, id_text, materialise, put, rows_batch, table, tidied, work_dir
 from .shingles import mix
 from .suffixes import deep_shallow
 
@@ -70,6 +70,7 @@ def segments(docs: DataFrame, folder: str, size: int = SEGMENT) -> DataFrame:
     """Write the segments; their manifest."""
     schema = arrow_schema(MANIFEST)
 
+    @tidied()
     def run(batches):
         ids, texts, n = [], [], 0
 
@@ -202,6 +203,7 @@ def shared_anchors(manifest: DataFrame, buckets: int, parts: int, hot: int) -> D
     """(path, bucket, zero, codes) of each segment and bucket: 0 in one document, 1 shared, 2 hot."""
     shift, schema, back = np.uint64(64 - buckets.bit_length() + 1), arrow_schema(CODES), arrow_schema(BACK)
 
+    @tidied()
     def send(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
@@ -213,6 +215,7 @@ def shared_anchors(manifest: DataFrame, buckets: int, parts: int, hot: int) -> D
                 data = [pack(low[begin[k] : begin[k + 1]].astype("<u4"), np.minimum(n[begin[k] : begin[k + 1]], 65535).astype("<u2")) for k in some]
                 yield rows_batch(schema, [[-1, *some], [0] * (len(some) + 1), [path] * (len(some) + 1), [b"", *data]])  # -1: so that no segment is without a row
 
+    @tidied()
     def count(batches):
         for rows in grouped(batches):
             if rows[0][0] < 0:
@@ -251,6 +254,7 @@ def contexts(codes: DataFrame, buckets: int, parts: int) -> DataFrame:
     """(bucket, zero, path, runs) with the bytes and the smallest doc_id of each context."""
     schema = arrow_schema(RUNS)
 
+    @tidied()
     def run(batches):
         for rows in grouped(batches):
             seg = Segment(rows[0][0])
@@ -274,6 +278,7 @@ def repeats(runs: DataFrame, parts: int) -> DataFrame:
     """(path, bucket, zero, bits): for each window of each context, whether a document smaller than the context's smallest has it."""
     schema = arrow_schema(BACK)
 
+    @tidied()
     def run(batches):
         for rows in grouped(batches):
             if rows[0][0] < 0:
@@ -337,6 +342,7 @@ def decide(back: DataFrame, buckets: int, parts: int, texts: bool = False, chara
     ddl = (TEXT if characters else KEPT) if texts else OUT
     schema = arrow_schema(ddl)
 
+    @tidied()
     def run(batches):
         for rows in grouped(batches):
             seg = Segment(rows[0][0])
@@ -374,7 +380,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, segment: int = SEGMENT, h
     total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = int(max(2 * least, min(100_000, total >> 24)))
-    buckets = 1 << max(4, min(20, int(total >> 23).bit_length()))  # about 8 MB of text for each
+    buckets = 1 << max(4, min(20, max(int(total >> 23).bit_length(), least.bit_length())))  # 8 MB of text or less for each, and one for each partition
     codes = shared_anchors(manifest, buckets, parts, hot)
     back = repeats(contexts(codes, 2 * buckets, parts), parts)
     return decide(back, 2 * buckets, parts, texts, characters)
