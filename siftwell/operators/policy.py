@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
+from siftwell.operators.namemodel import NameModel
 from siftwell.operators.registry import RULES
 from siftwell.operators.rule import SEVERITIES, Rule
 
@@ -20,7 +21,7 @@ MODES = ("off", "warn", "block")
 class Policy:
     """``most`` matches of a rule, ``total`` findings before the next rule, and ``longest`` characters read (seven tenths from the head, the
     rest from the tail) bound what one text may cost; without them, as by default, all is read and found.  What a bound leaves out is
-    reported with the text.
+    reported with the text.  ``name_model`` judges words by their letters, ``known_names`` are names in scripts without capitals.
     """
 
     block: frozenset[str] = frozenset({"critical"})
@@ -38,6 +39,8 @@ class Policy:
     total: int | None = None
     longest: int | None = None
     most_decoded: int | None = None
+    name_model: NameModel | None = None
+    known_names: frozenset[str] | None = None
     rules: tuple[Rule, ...] = field(default_factory=lambda: tuple(RULES))
 
     def active(self) -> list[Rule]:

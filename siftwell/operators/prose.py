@@ -6,6 +6,8 @@ import math
 import re
 from typing import NamedTuple
 
+from siftwell.operators.namemodel import NameModel
+
 UPPER, LETTER = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽΑ-ΩА-ЯЁԱ-Ֆ", r"[^\W\d_]"
 CAPITAL = rf"[{UPPER}](?:{LETTER}|['’-](?={LETTER}))+"
 RUN = re.compile(rf"\b{CAPITAL}(?:[ -]{CAPITAL}){{0,9}}")
@@ -70,6 +72,8 @@ def _in_blob(text: str, start: int, end: int) -> bool:
 
 def _runs(run: re.Match) -> list[list[tuple[int, str]]]:
     """Up to four neighbouring tokens each, parted at words that are no names, without headings' nouns at the ends."""
+    if " " not in run[0] and "-" not in run[0]:
+        return [] if run[0] in NEVER else [[(run.start(), run[0])]]
     out, now = [], []
     for m in TOKEN.finditer(run[0]):
         if m[0] in NEVER or len(now) == 4:
@@ -93,11 +97,20 @@ def _matching_email(text: str, head: str, start: int, end: int) -> bool:
     return len(head) >= 3 and "@" in line and re.search(f"(?i){re.escape(head)}[a-z0-9._%-]*@", line) is not None
 
 
-def _score(text: str, tokens: list[tuple[int, str]], emails: bool) -> tuple[float, list[str]]:
+def _prior(tokens: list[tuple[int, str]], model: NameModel | None) -> tuple[float, bool]:
+    """(log odds, whether it is a name at first sight): by the model, or by the list of given names."""
+    known = any(t in GIVEN for _, t in tokens)
+    if model is None or known:
+        return KNOWN if known else UNKNOWN, known
+    best = min(max(model.score(t) for _, t in tokens), 1 - 1e-6)
+    return math.log(max(best, 1e-6) / (1 - best)), best >= model.threshold
+
+
+def _score(text: str, tokens: list[tuple[int, str]], emails: bool, model: NameModel | None) -> tuple[float, list[str]]:
     """(likelihood, what speaks for it); 0 where nothing can make it a name."""
     start, end = tokens[0][0], tokens[-1][0] + len(tokens[-1][1])
     before, after = text[max(0, start - 40) : start], text[end : end + 40]
-    known, single = any(t in GIVEN for _, t in tokens), len(tokens) == 1
+    (prior, known), single = _prior(tokens, model), len(tokens) == 1
     words, said = before.split(), []
     if words and words[-1].strip(".,:").rpartition("(")[2].lower() in CUES:
         if HONORIFIC.search(before):
@@ -117,30 +130,86 @@ def _score(text: str, tokens: list[tuple[int, str]], emails: bool) -> tuple[floa
     elif single and PLACE_BEFORE.search(before):
         against.append("place before")
     said += ["possessive"] * bool(re.match(r"['’]s\b", after))
-    z = (KNOWN if known else UNKNOWN) + sum(EVIDENCE[s] for s in said) - sum(AGAINST[s] for s in against) + EVIDENCE["further name"] * max(0, len(tokens) - 2)
+    z = prior + sum(EVIDENCE[s] for s in said) - sum(AGAINST[s] for s in against) + EVIDENCE["further name"] * max(0, len(tokens) - 2)
     return 1 / (1 + math.exp(-z)), said
 
 
-def names(text: str, claimed: list[tuple[int, int]] = ()) -> list[Span]:
-    """Names that are likely enough, and not part of a claimed span.
+def names(text: str, claimed: list[tuple[int, int]] = (), model: NameModel | None = None, uncased: frozenset[str] | None = None) -> list[Span]:
+    """Names that are likely enough, and not part of a claimed span; ``uncased`` are names known in scripts without capitals.
 
-    Without a given name, a title or a job's name, one word over and over, or words that the text also has in small letters, are no name.
+    Without a given name (or a model's word), a title or a job's name, one word over and over, or words that the text also has in small
+    letters, are no name.
     """
     taken, out, small, emails = sorted(claimed), [], None, "@" in text
     for run in RUN.finditer(text):
         for tokens in _runs(run):
-            score, said = _score(text, tokens, emails)
+            score, said = _score(text, tokens, emails, model)
             start, end = tokens[0][0], tokens[-1][0] + len(tokens[-1][1])
             if score < LEAST_SCORE or any(a <= start and end <= b for a, b in taken) or _in_blob(text, start, end):
                 continue
+            if len(tokens) == 1 and HEADING.fullmatch(tokens[0][1]):
+                continue
             if not any(t in GIVEN for _, t in tokens) and "honorific" not in said:
                 small = set(re.findall(rf"\b[^\W\d_{UPPER}]{LETTER}+", text)) if small is None else small
                 if all(t.lower() in small for _, t in tokens) or len({t for _, t in tokens}) < len(tokens):
                     continue
             out.append(Span(start, end, text[start:end], score, tuple(said)))
+    if not text.isascii():
+        for s in uncased_names(text, UNCASED if uncased is None else uncased):
+            if not any(s.start < k.end and k.start < s.end for k in out) and not any(a <= s.start and s.end <= b for a, b in taken):
+                out.append(s)
+        out.sort(key=lambda s: s.start)
     return out
 
 
+#: Common names in scripts without capitals, by which names there are found; a longer list is a parameter.
+UNCASED = frozenset(
+    "محمد أحمد علي فاطمة حسن حسين عمر خالد مريم يوسف דוד משה שרה יוסף רחל אברהם राम सीता राहुल प्रिया अमित सुनीता शर्मा वर्मा सिंह कुमार गुप्ता পটেল রহমান হাসান முருகன் குமார் 김민준 이서연 박지훈 최수빈"
+    " 王伟 李娜 张伟 王芳 刘洋 陈静 佐藤 鈴木 高橋 田中 渡辺 山本 สมชาย สมหญิง ประเสริฐ".split()
+)
+#: Scripts with spaces between words (Arabic, Hebrew, Devanagari to Telugu, Hangul) and without (Thai, kana, Han).
+SPACED = re.compile("[\u0590-\u05ff\u0600-\u06ff\u0900-\u0c7f\uac00-\ud7af\u1100-\u11ff\u200c\u200d]+")
+DENSE = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
+LONGEST_DENSE, LONGEST_RUN = 14, 80
+
+
+def _told(text: str, start: int, end: int) -> list[str]:
+    before, after = text[max(0, start - 40) : start], text[end : end + 40]
+    if HONORIFIC.search(before):
+        return ["honorific"]
+    return ["introduced"] * bool(INTRODUCED.search(before) or ACTS.match(after) or JOB.match(after))
+
+
+def uncased_names(text: str, known: frozenset[str]) -> list[Span]:
+    """Known names in scripts without capitals.
+
+    Between spaces a word that is one counts, and neighbours are one span.  Within a run without spaces the longest one at each place does, if
+    what stands around speaks of a person.
+    """
+    out: list[Span] = []
+    open_ = None
+    for m in SPACED.finditer(text):
+        if len(m[0]) < 2 or m[0] not in known:
+            open_ = None
+            continue
+        if open_ is not None and not text[out[open_].end : m.start()].strip():
+            first = out[open_]
+            out[open_] = Span(first.start, m.end(), text[first.start : m.end()], 0.97, ("known name", *_told(text, first.start, m.end()), "full name"))
+            continue
+        told = _told(text, *m.span())
+        open_ = len(out)
+        out.append(Span(*m.span(), m[0], 0.95 if told else 0.88, ("known name", *told)))
+    for m in DENSE.finditer(text):
+        k, run = 0, m[0]
+        while 2 <= len(run) <= LONGEST_RUN and k < len(run) - 1:
+            size = next((n for n in range(min(LONGEST_DENSE, len(run) - k), 1, -1) if run[k : k + n] in known), 0)
+            start = m.start() + k
+            if size and (told := _told(text, start, start + size)):
+                out.append(Span(start, start + size, run[k : k + size], 0.8, ("known name", *told)))
+            k += size or 1
+    return sorted(out, key=lambda s: s.start)
+
+
 #: Words of streets and of parts of houses, and forms of post codes.
 STREET = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Pl|Terrace|Way|Close|Crescent|Parade|Square|Sq|Highway|Hwy|Parkway|Pkwy|Circle|Cir|Trail|Marg|Nagar|Colony|Vihar|Puram|Layout|Cross|Main|Sector|Enclave|Extension|Chowk|Gali|Pura|Bagh|Garden|Gardens|Park|Estate|Township|Society|Complex|Heights|Residency|Apartments|Towers"
 UNIT = "Flat|Apt|Apartment|Suite|Unit|Plot|House|Door|Room|Block|Tower|Wing|Floor|Shop|Villa|Bungalow"

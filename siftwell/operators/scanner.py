@@ -57,8 +57,8 @@ class Compiled:
         self.near = [(n, ready(n.pattern)) for n in rule.near]
         self.never = (rule.never, ready(rule.never.pattern)) if rule.never else None
 
-    def may_match(self, text: str, low: str, shapes: dict[str, bool]) -> bool:
-        if self.rule.literals and not any(x in low for x in self.rule.literals):
+    def may_match(self, text: str, literals: set[str], shapes: dict[str, bool]) -> bool:
+        if self.rule.literals and literals.isdisjoint(self.rule.literals):
             return False
         for key, shape in self.shapes:
             if key not in shapes:
@@ -87,6 +87,26 @@ class Compiled:
                 yield value, Place(text, start, start + len(value), m[0])
 
 
+class Literals:
+    """Which of the rules' literals a text holds: all longer ones in one pass if the automaton's library is there, else each by itself."""
+
+    def __init__(self, literals: set[str]):
+        self.each, self.automaton = sorted(literals), None
+        try:
+            import ahocorasick
+        except ImportError:
+            return
+        long = [x for x in literals if len(x) > 2]
+        if long:
+            self.each, self.automaton = sorted(x for x in literals if len(x) <= 2), ahocorasick.Automaton()
+            for x in long:
+                self.automaton.add_word(x, x)
+            self.automaton.make_automaton()
+
+    def held(self, low: str) -> set[str]:
+        return {x for x in self.each if x in low} | ({x for _, x in self.automaton.iter(low)} if self.automaton else set())
+
+
 def resolve(found: list[Finding]) -> list[Finding]:
     """Gravest, surest, longest, earliest first; what touches a kept one goes; the rest by place."""
     kept: list[Finding] = []
@@ -107,11 +127,11 @@ class Scanner:
         self.policy = policy = policy or Policy()
         active = policy.active()
         self.compiled = [Compiled(r) for r in active if not r.synthetic]
+        self.literals = Literals({x for c in self.compiled for x in c.rule.literals})
         self.cell_rules = [c for c in self.compiled if not c.rule.advisory and c.rule.id != "org_codename"]
         self.synthetic = {r.id: r for r in active if r.synthetic}
         self.by_id = {r.id: r for r in policy.rules}
         self.inner: Scanner | None = None
-        self._cells: dict[str, list[str]] = {}
 
     def scan(self, text: str | None) -> Result:
         if not text:
@@ -153,8 +173,9 @@ class Scanner:
     def _patterns(self, text: str, low: str, errors: list, capped: list[str]) -> list[Finding]:
         raw: list[Finding] = []
         shapes: dict[str, bool] = {}
+        literals = self.literals.held(low)
         for c in self.compiled:
-            if not c.may_match(text, low, shapes):
+            if not c.may_match(text, literals, shapes):
                 continue
             if self.policy.total is not None and len(raw) >= self.policy.total:
                 capped.append(c.rule.id)
@@ -192,7 +213,7 @@ class Scanner:
         places = prose.addresses(text)
         out = [Finding(address, a.start, a.end, a.text, address.severity, "likely" if a.score >= 3 else "possible", ", ".join(a.evidence)) for a in places]
         claimed = [(f.start, f.end) for f in raw] + [(a.start, a.end) for a in places]
-        out += [Finding(name, n.start, n.end, n.text, name.severity, "likely" if n.score >= 0.95 else "possible", ", ".join(n.evidence) or None) for n in prose.names(text, claimed)]
+        out += [Finding(name, n.start, n.end, n.text, name.severity, "likely" if n.score >= 0.95 else "possible", ", ".join(n.evidence) or None) for n in prose.names(text, claimed, self.policy.name_model, self.policy.known_names)]
         room = None if self.policy.total is None else max(0, self.policy.total - len(raw))
         if room is not None and len(out) > room:
             capped.append("ner")

@@ -221,3 +221,26 @@ def test_injection():
 
 def test_catalogue():
     assert len(RULES) == len(BY_ID) == 102 and {r.tier for r in RULES} == {"context", "personal", "dangerous"}
+
+
+def test_names_without_capitals():
+    found = lambda t: [(s.text, round(s.score, 2)) for s in prose.names(t)]
+    assert found("मिले राहुल शर्मा से") == [("राहुल शर्मा", 0.97)] and found("قال محمد اليوم") == [("محمد", 0.88)]
+    assert found("contact 田中") == [("田中", 0.8)] and found("水田中心") == [] and found("日本語の文") == []
+    assert [s.text for s in prose.names("x 가나다 y", uncased=frozenset({"가나다"}))] == ["가나다"]
+
+
+def test_name_model(spark):
+    from siftwell.operators import namemodel
+
+    assert namemodel.fold("Adriána") == "adriana" and namemodel.features("Ann")[:3] == ["2|^a", "2|an", "2|nn"]
+    words = "report system market number simple office garden window bottle yellow planet winter summer bridge pocket kitchen science history network process quarter library machine traffic journey weather village pattern thunder blanket capture feature gesture mixture texture venture culture measure pleasure treasure running walking talking reading writing cooking singing dancing playing working nation station motion action section mention version mission passion fashion careful hopeful useful painful darkness kindness weakness illness sadness movement payment moment comment segment quickly slowly badly gladly boldly mostly partly firmly".split()
+    rows = [(n, True) for n in sorted(prose.GIVEN)] + [(w.capitalize(), False) for w in words]
+    labelled = spark.createDataFrame([*rows, (None, True), rows[0]], "word string, is_name boolean")
+    model = namemodel.train(labelled.where("word is null or pmod(xxhash64(word), 5) > 0"))
+    rest = labelled.where("pmod(xxhash64(word), 5) = 0").collect()
+    right = sum((model.score(r.word) >= model.threshold) == r.is_name for r in rest) / len(rest)
+    assert len(rest) > 30 and right > 0.8, right
+    text = "later on Marianna Rossi arrived"
+    assert prose.names(text) == [] and [s.text for s in prose.names(text, model=model)] == ["Marianna Rossi"]
+    assert [f.match for f in Scanner(Policy(name_model=model)).scan(text).findings] == ["Marianna Rossi"]
