@@ -175,7 +175,7 @@ def codenames(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """Values of link and image attributes, where text hides from the eye."""
-    pages = _t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?:href|src|alt|title)="([^"]{1,500})"'), F.lit(1))).alias("value"))
+    pages = _t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?:href|src|alt|title|data-[a-z0-9-]+)="([^"]{1,500})"'), F.lit(1))).alias("value"))
     return pages.groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_distinct"))
 
 
@@ -192,6 +192,24 @@ def events_windowed_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_alerts(_t(spark, sf, "events"), 90.0).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
+#: Numbers made from keys, of the length that a check wants.
+NUMBERS = {"card": "concat('4', lpad(CAST(c_custkey * 104729 AS STRING), 15, '0'))", "cpf": "lpad(CAST(c_custkey * 7919 AS STRING), 11, '0')", "cnpj": "lpad(CAST(c_custkey * 104729 AS STRING), 14, '0')", "abn": "lpad(CAST(c_custkey * 7919 AS STRING), 11, '5')",
+           "tfn": "lpad(CAST(c_custkey * 31 AS STRING), 9, '1')", "sin": "lpad(CAST(c_custkey * 31 AS STRING), 9, '1')", "imei": "lpad(CAST(c_custkey * 104729 AS STRING), 15, '4')", "aadhaar": "concat('2', lpad(CAST(c_custkey * 7919 AS STRING), 11, '3'))"}
+
+
+def check_digits(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks as columns, over whole tables."""
+    values = _t(spark, sf, "customer").select("c_custkey", *(F.expr(v).alias(k) for k, v in NUMBERS.items()))
+    checked = {"card": fn.luhn, "cpf": fn.cpf, "cnpj": fn.cnpj, "abn": fn.abn, "tfn": fn.tfn, "sin": fn.sin, "imei": fn.imei, "aadhaar": fn.aadhaar}
+    return values.select("c_custkey", *(check(F.col(k)).alias(f"{k}_valid") for k, check in checked.items()), fn.card_issuer(F.col("card")).alias("issuer"))
+
+
+def event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest events that a log of fixed size keeps."""
+    events = _t(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_id", "event_type")
+    return outcome.log_of(events)
+
+
 def part_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", F.round(fn.entropy(F.col("p_name")), 6).alias("bits"))
 
@@ -235,10 +253,12 @@ SQL = {
         FROM (SELECT c_nationkey, rows, 1 + least(0.6::DOUBLE, 0.18::DOUBLE * log2(rows)) AS grown FROM ({EXPORTED})))""",
     "decoded_values": " UNION ALL ".join(f"SELECT c_custkey, 'aws_access_key_id' AS rule_id, ({prefix_length()})::INT AS start, ({prefix_length()} + length({sql.format(KEY)}))::INT AS {chr(34)}end{chr(34)}, '{how}' AS encoded, {oracle.fingerprint(f'substr({KEY}, 5, 20)')} AS fingerprint FROM customer" for how, sql in HIDDEN_DUCK.items()),
     "codenames": """SELECT c_custkey, 'org_codename' AS rule_id, 'high' AS severity, TRUE AS advisory, 6::INT AS start, 'BlueBird' AS "match" FROM customer WHERE c_custkey % 2 = 0""",
-    "page_attributes": """SELECT page_id, count(*) AS n, count(DISTINCT v) AS n_distinct FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src|alt|title)="([^"]{1,500})"', 1)) AS v FROM pages) GROUP BY page_id""",
+    "page_attributes": """SELECT page_id, count(*) AS n, count(DISTINCT v) AS n_distinct FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src|alt|title|data-[a-z0-9-]+)="([^"]{1,500})"', 1)) AS v FROM pages) GROUP BY page_id""",
     "shape_profile": "SELECT doc_id, " + ", ".join(f"coalesce(list_max(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))), 0)::BIGINT AS {n}" for p, n in (("[A-Z]+", "upper_run"), ("[A-Za-z0-9]+", "alnum_run"), ("[A-Za-z0-9+/]+", "base64_run"))) + " FROM documents",
     "rule_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.category}', '{r.severity}', '{r.confidence}', '{r.tier}')" for r in RULES) + ") t(rule_id, category, severity, confidence, tier)",
     "events_windowed_alerts": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events WHERE value >= 90 GROUP BY ALL",
+    "check_digits": f"SELECT c_custkey, {oracle.luhn('card')} AS card_valid, {oracle.cpf('cpf')} AS cpf_valid, {oracle.cnpj('cnpj')} AS cnpj_valid, {oracle.VALID['australia_abn']('abn')} AS abn_valid, {oracle.VALID['australia_tfn']('tfn')} AS tfn_valid, {oracle.VALID['canada_sin']('sin')} AS sin_valid, {oracle.VALID['imei']('imei')} AS imei_valid, ({oracle.verhoeff('aadhaar')} AND len(list_distinct(string_split(aadhaar, ''))) > 1) AS aadhaar_valid, 'Visa' AS issuer FROM (SELECT c_custkey, {', '.join(f'{v} AS {k}' for k, v in NUMBERS.items())} FROM customer)",
+    "event_log": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS \"at\", event_id, event_type FROM events ORDER BY ts DESC, event_id, event_type LIMIT 120",
     "part_entropy": "SELECT p_partkey, round(list_sum(list_transform(list_distinct(cs), lambda x: -(len(list_filter(cs, lambda y: y = x)) / len(cs)) * log2(len(list_filter(cs, lambda y: y = x)) / len(cs)))), 6) AS bits FROM (SELECT p_partkey, string_split(p_name, '') AS cs FROM part)",
 }
 QUERIES = {name: globals()[name] for name in SQL} | {f"rule_{r.id}": rule_query(r) for r in RULES}
