@@ -270,6 +270,21 @@ def default_parallelism(df: DataFrame) -> int:
 __all__ = ["F", "T", "arrow_schema", "default_parallelism", "filesystem", "free_name", "get", "id_text", "materialise", "put", "rows_batch", "slices", "strings_of", "table", "texts_of", "work_dir"]
 
 
+#: Bytes of a file that is worth one of its own.
+FILE_BYTES = 128 << 20
+
+
+def few_files(result: DataFrame, source: DataFrame) -> DataFrame:
+    """The result in partitions of ``FILE_BYTES`` of its source or two a core, whichever are more, for writing without small files.
+
+    Every file costs the one who writes it a handful of calls and, on a local disk, processes.  Large tables are read in partitions of that
+    size, and stay as they are.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return result.coalesce(max(2 * cores, min(1 << 20, -(-size // FILE_BYTES))))
+
+
 def filter_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """Rows for whose texts ``keep()(strings)`` gives true, with all their columns.
 
