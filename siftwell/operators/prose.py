@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import math
 import re
 from typing import NamedTuple
@@ -23,9 +24,8 @@ Manuel Marco Maria Marie Mario Mark Martin Mary Matthew Meera Mei Michael Michel
 Rachel Rahul Raj Rajesh Ravi Rebecca Richard Robert Rohan Rosa Ryan Samantha Samuel Sandra Sanjay Sara Sarah Scott Sergei Sofia Sophie Stefan Stephen Steven Sunita Suresh Susan Tanya Thomas Timothy Vikram Vincent Walter Wei William Yuki Yusuf Zoe
 """.split())
 #: Capitalised words that are no persons, and nouns of headings, which are cut off a run's ends.
-NEVER = frozenset("""
-January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday
-Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Mon Tue Tues Wed Thu Thur Thurs Fri Sat Sun Today Tomorrow Yesterday
+NEVER = frozenset([*calendar.month_name, *calendar.day_name, *calendar.month_abbr, *calendar.day_abbr]) | frozenset("""
+Sept Tues Thur Thurs Today Tomorrow Yesterday
 The An And Or But If Then Else When While For In On At To From With Without By Of As Is Are Was Were Be Been This That These Those There Here It Its We Our You Your They Their He She His Her My Me Us Them Not No Yes
 Please Thanks Thank Regards Best Hi Hello Dear Hey Good Morning Afternoon Evening Night Azure Google Microsoft Amazon Apple Meta Slack Notion Figma Linear Stripe React Node Python Java Ruby Rust Docker Kubernetes Linux Windows Android Chrome Firefox Safari Edge
 Inc Ltd Pvt Plc Corp Corporation Company Limited Group Holdings Ventures Partners Capital North South East West Central Street Road Avenue Lane Drive Boulevard Block Sector Phase Floor Suite Unit

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import time
+from importlib.resources import files
+from importlib.util import find_spec
+from pathlib import Path
 
 from siftwell.functions import checks
 from siftwell.operators import contextual
@@ -122,14 +125,17 @@ def _unlabelled(value: str, at: Place) -> bool:
     return checks.stands_as_value(at.text, at.start, at.end)
 
 
-#: Countries of securities, and codes kept for issues of no one country.
-ISIN_COUNTRIES = frozenset("""
-AD AE AF AG AI AL AM AO AQ AR AS AT AU AW AX AZ BA BB BD BE BF BG BH BI BJ BL BM BN BO BQ BR BS BT BV BW BY BZ CA CC CD CF CG CH CI CK CL CM CN CO CR CU CV CW CX CY CZ
-DE DJ DK DM DO DZ EC EE EG EH ER ES ET FI FJ FK FM FO FR GA GB GD GE GF GG GH GI GL GM GN GP GQ GR GS GT GU GW GY HK HM HN HR HT HU ID IE IL IM IN IO IQ IR IS IT
-JE JM JO JP KE KG KH KI KM KN KP KR KW KY KZ LA LB LC LI LK LR LS LT LU LV LY MA MC MD ME MF MG MH MK ML MM MN MO MP MQ MR MS MT MU MV MW MX MY MZ
-NA NC NE NF NG NI NL NO NP NR NU NZ OM PA PE PF PG PH PK PL PM PN PR PS PT PW PY QA RE RO RS RU RW SA SB SC SD SE SG SH SI SJ SK SL SM SN SO SR SS ST SV SX SY SZ
-TC TD TF TG TH TJ TK TL TM TN TO TR TT TV TW TZ UA UG UM US UY UZ VA VC VE VG VI VN VU WF WS YE YT ZA ZM ZW XS XA XB XC XD XF XK EU QM QS
-""".split())
+def countries() -> frozenset[str]:
+    """Two-letter codes of ISO 3166, from the time zone data that Python or the system has."""
+    places = [files("tzdata") / "zoneinfo" / "iso3166.tab"] if find_spec("tzdata") else []
+    for place in (*places, Path("/usr/share/zoneinfo/iso3166.tab")):
+        if place.is_file():
+            return frozenset(line.split("\t")[0] for line in place.read_text("utf-8").splitlines() if line and not line.startswith("#"))
+    raise RuntimeError("install tzdata: the codes of countries come from its table")
+
+
+#: Countries of securities; fixed values: codes kept for issues of no one country.
+ISIN_COUNTRIES = countries() | frozenset("XS XA XB XC XD XF XK EU QM QS".split())
 
 
 def _isin(value: str, at: Place) -> bool:
