@@ -20,8 +20,8 @@ Aaron Abdul Adam Aditi Aditya Ahmed Aisha Alan Albert Alejandro Alex Alexander A
 Barbara Ben Benjamin Brian Carlos Carol Catherine Charles Charlotte Chen Chris Christine Christopher Claire Daniel David Deepak Diana Diego Divya Edward Elena Elizabeth Emily Emma Eric Ethan Eva
 Fatima Fernando Francesca Francisco Frank Gabriel Gary George Giulia Grace Hannah Hans Harry Hassan Heather Helen Henry Hiroshi Ian Ibrahim Ingrid Isabel Isabella Ivan
 Jack Jacob James Jane Jason Javier Jean Jennifer Jessica Joan John Jonathan Jose Joseph Joshua Juan Julia Julie Karan Karen Kate Kavita Kenji Kevin Kiran Klaus Laura Lauren Leo Liam Linda Lisa Luca Lucas Lucy Luis
-Manuel Marco Maria Marie Mario Mark Martin Mary Matthew Meera Mei Michael Michelle Miguel Mohammed Mohan Monica Nancy Natalie Neha Nicholas Nikhil Nina Noah Oliver Olivia Omar Oscar Pablo Patricia Patrick Paul Pedro Peter Philip Pierre Pooja Priya
-Rachel Rahul Raj Rajesh Ravi Rebecca Richard Robert Rohan Rosa Ryan Samantha Samuel Sandra Sanjay Sara Sarah Scott Sergei Sofia Sophie Stefan Stephen Steven Sunita Suresh Susan Tanya Thomas Timothy Vikram Vincent Walter Wei William Yuki Yusuf Zoe
+Manuel Marco Marcus Maria Marie Mario Mark Martin Mary Matthew Meera Mei Michael Michelle Miguel Mohammed Mohan Monica Nancy Natalie Neha Nicholas Nikhil Nina Noah Oliver Olivia Omar Oscar Pablo Patricia Patrick Paul Pedro Peter Philip Pierre Pooja Priya
+Rachel Rahul Raj Rajesh Ravi Rebecca Richard Robert Rohan Rosa Ryan Samantha Samuel Sandra Sanjay Sara Sarah Scott Sergei Sofia Sophie Stefan Stephen Steven Sunita Suresh Susan Tanya Thomas Timothy Victoria Vikram Vincent Walter Wei William Yuki Yusuf Zoe
 """.split())
 #: Capitalised words that are no persons, and nouns of headings, which are cut off a run's ends.
 NEVER = frozenset([*calendar.month_name, *calendar.day_name, *calendar.month_abbr, *calendar.day_abbr]) | frozenset("""
