@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwell.llm import classifier, common, decontamination, licenses, ngram_join, pfor, pieces, rules, suffix_dedup, suffixes, token_counts, token_files, url_filters
+from siftwell.llm import classifier, common, components, decontamination, licenses, ngram_join, pfor, pieces, rules, suffix_dedup, suffixes, token_counts, token_files, url_filters
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -285,3 +285,18 @@ def test_clashing_names_and_repeats(spark):
     twice = spark.createDataFrame([("allow", "x.org", "/"), ("block", "x.org", "/")], "action string, host string, path string")
     assert [r.verdict for r in url_filters.judge_urls(spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string"), twice).collect()] == ["block"]
     assert rules.quality_rules(odd).count() == suffix_dedup.suffix_dedup(odd).count() == 5
+
+
+def test_components_with_and_without_broadcast(spark, monkeypatch):
+    r = random.Random(31)
+    edges = [(0, k) for k in range(1, 200)] + [(300 + r.randrange(60), 300 + r.randrange(60)) for _ in range(50)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    group: dict[int, int] = {}
+    for a, b in edges:
+        x, y = sorted((group.setdefault(a, a), group.setdefault(b, b)))
+        group = {k: x if g == y else g for k, g in group.items()}
+    linked = {k for a, b in edges if a != b for k in (a, b)}
+    for most in (200_000, 0):
+        monkeypatch.setattr(components, "BROADCAST_EDGES", most)
+        got = dict(map(tuple, components.components(df).collect()))
+        assert got == {k: min(j for j in group if group[j] == group[k]) for k in linked}
