@@ -19,13 +19,14 @@ def sample_sql(sample: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def carrier_sql(rule: Rule) -> str:
-    """Of three customers one has the sample, one the sample with its last digits or letters changed, one with its head cut off."""
-    return around(sample_sql(rule.sample))
+def body_sql(rule: Rule) -> str:
+    """Of three customers one has the sample, one the sample with its last character replaced by the key's last digit, one with its head cut off."""
+    s = sample_sql(rule.sample)
+    return f"CASE c_custkey % 3 WHEN 0 THEN {s} WHEN 1 THEN concat(substr({s}, 1, CAST(length({s}) - 1 AS INT)), CAST(c_custkey % 10 AS STRING)) ELSE substr({s}, 3) END"
 
 
-def around(s: str) -> str:
-    return f"concat('note for ', c_name, ': ', CASE c_custkey % 3 WHEN 0 THEN {s} WHEN 1 THEN concat(substr({s}, 1, CAST(length({s}) - 1 AS INT)), CAST(c_custkey % 10 AS STRING)) ELSE substr({s}, 3) END, ' (end)')"
+def carrier_sql(rule: Rule) -> str:
+    return f"concat('note for ', c_name, ': ', {body_sql(rule)}, ' (end)')"
 
 
 def prefix_length() -> str:

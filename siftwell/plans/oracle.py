@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from siftwell.functions.text import ALPHABET_36, UPI_HANDLES
 from siftwell.operators.registry import BY_ID, Rule
-from siftwell.plans.carriers import carrier_sql, prefix_length, sample_sql
+from siftwell.plans.carriers import body_sql, carrier_sql, prefix_length
 
 DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
 
@@ -36,12 +35,6 @@ def cpf(c: str) -> str:
     return f"(length({DIGITS.format(c)}) = 11 AND len(list_distinct({_list(c)})) > 1 AND {check(9)} AND {check(10)})"
 
 
-def iban(c: str) -> str:
-    turned = f"string_split(concat(substr({c}, 5), substr({c}, 1, 4)), '')"
-    text = f"array_to_string(list_transform({turned}, lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE CAST(ascii(x) - 55 AS VARCHAR) END), '')"
-    return f"(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({text}, ''), lambda x: CAST(x AS BIGINT))), lambda a, x: (a * 10 + x) % 97) = 1)"
-
-
 def verhoeff(c: str) -> str:
     from siftwell.functions.text import VERHOEFF_D, VERHOEFF_P
 
@@ -49,13 +42,6 @@ def verhoeff(c: str) -> str:
     return f"(list_reduce(list_prepend(0, {step}), lambda a, x: {VERHOEFF_D}[a + 1][x + 1]) = 0)"
 
 
-def gstin(c: str) -> str:
-    code = lambda x: f"(instr('{ALPHABET_36}', {x}) - 1)"
-    state = f"CAST(substr({c}, 1, 2) AS INT)"
-    parts = f"list_transform(string_split(substr({c}, 1, 14), ''), lambda x, i: ({code('x')} * (2 - i % 2)) // 36 + ({code('x')} * (2 - i % 2)) % 36)"
-    return f"(({state} BETWEEN 1 AND 38 OR {state} IN (97, 99)) AND (list_sum({parts}) + {code(f'substr({c}, 15, 1)')}) % 36 = 0)"
-
-
 def cnpj(c: str) -> str:
     d, tail = DIGITS.format(c), [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
     check = lambda w, at: f"(CASE WHEN {weighted(c, w)} % 11 < 2 THEN 0 ELSE 11 - {weighted(c, w)} % 11 END) = CAST(substr({d}, {at}, 1) AS INT)"
@@ -64,25 +50,12 @@ def cnpj(c: str) -> str:
 
 #: A number's neighbours: neither digits nor a decimal point with digits.
 WHOLE = "NOT regexp_matches(substr(whole, greatest(p - 4, 0) + 1, least(p, 4)), '[0-9][ .-]?$') AND NOT regexp_matches(substr(whole, p + length(m) + 1, 4), '^(?:[ -]?[0-9]|[.][0-9])')"
-HANDLES = ", ".join(f"'{h}'" for h in UPI_HANDLES)
 VALID = {
-    "gstin": gstin,
-    "brazil_cnpj": cnpj,
-    "upi_vpa": lambda c: f"(lower(split_part({c}, '@', 2)) IN ({HANDLES}))",
-    "indian_dl": lambda c: f"(CAST(substr(replace(replace({c}, ' ', ''), '-', ''), 5, 4) AS INT) BETWEEN 1950 AND year(current_date))",
-    "phone_india": lambda c: f"({c} <> '9876543210' AND {c} <> repeat(left({c}, 1), 10) AND {c} <> repeat(left({c}, 2), 5))",
     "canada_sin": lambda c: f"({luhn(c, '= 9')} AND left({c}, 1) NOT IN ('0', '8'))",
     "imei": lambda c: f"({luhn(c, '= 15')} AND len(list_distinct({_list(c)})) > 1)",
     "payment_card": lambda c: f"{luhn(c)} AND {issuer(c)} AND {WHOLE}",
-    "jwt": lambda c: "TRUE",
-    "bearer_header": lambda c: "TRUE",
-    "high_entropy_assignment": lambda c: "TRUE",
-    "us_ssn": lambda c: f"(substr({c}, 1, 3) NOT IN ('000', '666') AND substr({c}, 1, 1) <> '9' AND substr({c}, 5, 2) <> '00' AND substr({c}, 8, 4) <> '0000')",
-    "brazil_cpf": cpf,
-    "iban": iban,
     "australia_abn": lambda c: f"(({weighted(c, [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19])} - 10) % 89 = 0)",
     "australia_tfn": lambda c: f"({weighted(c, [1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0)",
-    "aadhaar": lambda c: f"({verhoeff(c)} AND len(list_distinct({_list(c)})) >= 5)",
 }
 
 
@@ -103,22 +76,11 @@ def quoted(pattern: str) -> str:
 def matches(rule: Rule, source: str, key: str, text: str = "text") -> str:
     """SELECT of key, rule_id, severity, confidence, start, match of one rule."""
     pattern = quoted(rule.pattern)
-    low = " OR ".join(f"contains(lower({text}), '{x}')" for x in rule.literals) or "TRUE"
-    near = lambda n: f"regexp_matches(substr(whole, greatest(p - {n.before}, 0) + 1, least(p, {n.before}) + {n.after}), '{quoted(n.pattern)}')"
-    tests = ["m <> ''"]
-    if rule.id in VALID:
-        tests.append(VALID[rule.id]("m"))
-    if rule.refuse:
-        tests.append(f"NOT regexp_matches(m, '{quoted(rule.refuse)}')")
-    if rule.near:
-        tests.append("(" + " OR ".join([f"NOT regexp_matches(m, '{quoted(rule.near_if)}')"] * bool(rule.near_if) + [near(n) for n in rule.near]) + ")")
-    if rule.never:
-        tests.append(f"NOT (regexp_matches(m, '{quoted(rule.never_if)}') AND {near(rule.never)})")
-    value = f"regexp_extract(f, '{pattern}', {rule.group})"
+    tests = ["m <> ''", *([VALID[rule.id]("m")] if rule.id in VALID else []), *([f"NOT regexp_matches(m, '{quoted(rule.refuse)}')"] if rule.refuse else [])]
     return f"""SELECT {key}, '{rule.id}' AS rule_id, '{rule.severity}' AS severity, '{rule.confidence}' AS confidence, p::INT AS start, m AS "match"
-      FROM (SELECT {key}, whole, m, (s + instr(f, m) - 1)::BIGINT AS p FROM (SELECT {key}, whole, f, s, {value} AS m FROM (
+      FROM (SELECT {key}, whole, f AS m, s::BIGINT AS p FROM (
         SELECT {key}, whole, unnest(fs) AS f, unnest(list_transform(range(1, len(fs) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(fs[1:i - 1], lambda g: length(g))), 0))) AS s
-        FROM (SELECT {key}, {text} AS whole, regexp_extract_all({text}, '{pattern}') AS fs, string_split_regex({text}, '{pattern}') AS gs FROM {source} WHERE {low}))))
+        FROM (SELECT {key}, {text} AS whole, regexp_extract_all({text}, '{pattern}') AS fs, string_split_regex({text}, '{pattern}') AS gs FROM {source})))
       WHERE {" AND ".join(tests)}"""
 
 
@@ -126,29 +88,51 @@ def preview(rule_id: str) -> str:
     return 'substr("match", 1, 64)' if BY_ID[rule_id].advisory else mask(chr(34) + "match" + chr(34))
 
 
-#: What is to be found of rules whose patterns need what this SQL's lack: for the customers of a rest of their key by 3, the place after
-#: the carrier's first words and the value.  The value of rest 1 has its last character replaced by the key's last digit.
+#: What is to be found in the carriers, said without the rules' patterns.  A value is the whole sample but for the characters before and
+#: after it; with its last character replaced it still counts where that digit is one of these (a check digit, or any), and with its head
+#: cut off it counts only for the rules that say so.
+ANY = "0123456789"
+BESIDE = {
+    "bearer_header": (22, 0), "aws_secret_access_key": (8, 0), "high_entropy_assignment": (8, 0), "unlabelled_secret": (9, 1), "cloudflare_token": (0, 11), "okta_token": (0, 5), "indian_passport": (9, 0),
+    "voter_id": (11, 0), "phone_india": (7, 0), "canada_sin": (4, 0), "australia_abn": (4, 0), "australia_tfn": (4, 0), "imei": (5, 0), "credential_in_prose": (12, 0), "financial_disclosure": (0, 8),
+    "compensation_data": (0, 8), "health_information": (0, 4), "unannounced_transaction": (0, 9), "internal_pricing": (0, 3),
+}
+LAST_DIGIT = {
+    "aws_access_key_id": "234567", "payment_card": "1", "iban": "2", "brazil_cpf": "5", "eu_vat": "6", "isin": "5", "aadhaar": "4", "canada_sin": "4", "brazil_cnpj": "1", "australia_abn": "6",
+    "australia_tfn": "2", "imei": "8",
+}
+ENDS_IN_WORDS = """
+google_oauth_client private_key_block unlabelled_secret email pan_india gcp_service_account cloudflare_token okta_token gstin upi_vpa uk_nino classification_marking legal_privilege deal_material mnpi
+unreleased_information security_incident negotiation_position trade_secret workforce_action legal_hold customer_list
+""".split()
+CUT = {"google_oauth_client": 0, "email": 0, "upi_vpa": 0, "unlabelled_secret": 7}
+#: The padding of this key is its last character; a digit there is not part of it.
+PADDED = ("azure_storage_key",)
 LAST = "CAST(c_custkey % 10 AS STRING)"
-EXPECTED: dict[str, list[tuple[str, int, str]]] = {
-    "aws_secret_access_key": [("c_custkey % 3 = 0", 8, sample_sql("Zq7+Kx/W{h12}GmPwLtYvRsNbJcHdUoQi")), ("c_custkey % 3 = 1", 8, f"concat({sample_sql('Zq7+Kx/W{h12}GmPwLtYvRsNbJcHdUoQ')}, {LAST})")],
-    "unlabelled_secret": [("c_custkey % 3 = 0", 9, sample_sql("Zq7KxB2{h4}GmP2wLt9YvR5sNb8JcH4TdW")), ("c_custkey % 3 = 2", 7, sample_sql("Zq7KxB2{h4}GmP2wLt9YvR5sNb8JcH4TdW"))],
-    "credential_in_prose": [("c_custkey % 3 = 0", 12, sample_sql("Tr0ub4dor&{h4}")), ("c_custkey % 3 = 1", 12, f"concat({sample_sql('Tr0ub4dor&{h3}')}, {LAST})")],
-    "eu_vat": [("c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 10 = 6", 0, "'DE136695976'")],
-    "isin": [("c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 10 = 5", 0, "'US0378331005'")],
+PROSE = {
     "person_name": [("c_custkey % 3 < 2", 4, "'Priya Nair'"), ("c_custkey % 3 = 2", 2, "'Priya Nair'")],
     "postal_address": [("c_custkey % 3 = 0", 1, "'221 Baker Street, Flat 4'"), ("c_custkey % 3 = 1", 1, f"concat('221 Baker Street, Flat 4', {LAST})"), ("c_custkey % 3 = 2", 0, "'21 Baker Street, Flat 4'")],
 }
 
 
+def expected(rule: Rule) -> list[tuple[str, int, str]]:
+    """(which customers, characters before the value, value) of a rule's carriers."""
+    before, after = BESIDE.get(rule.id, (0, 0))
+    part = lambda a, b: f"substr({body_sql(rule)}, {a + 1}, CAST(length({body_sql(rule)}) - {a + b} AS INT))"
+    out = [("c_custkey % 3 = 0", before, part(before, after))]
+    if last := LAST_DIGIT.get(rule.id, "" if rule.id in ENDS_IN_WORDS else ANY):
+        out.append((f"c_custkey % 3 = 1 AND {LAST} IN ({', '.join(map(repr, last))})", before, part(before, after + (rule.id in PADDED))))
+    if rule.id in CUT:
+        out.append(("c_custkey % 3 = 2", CUT[rule.id], part(CUT[rule.id], after)))
+    return out
+
+
 def rule_sql(rule: Rule) -> str:
     columns = f'c_custkey, start, "match", {preview(rule.id)} AS preview, {fingerprint(chr(34) + "match" + chr(34))} AS fingerprint'
     if rule.id == "prompt_injection":
         return f"""SELECT c_custkey, 0::INT AS start, left({carrier_sql(rule)}, 64) AS "match", 'override' AS preview, {fingerprint("'override'")} AS fingerprint FROM customer"""
-    if rule.id in EXPECTED:
-        rows = " UNION ALL ".join(f'SELECT c_custkey, ({prefix_length()} + {at})::INT AS start, {value} AS "match" FROM customer WHERE {where}' for where, at, value in EXPECTED[rule.id])
-        return f"SELECT {columns} FROM ({rows})"
-    source = f"(SELECT c_custkey, {carrier_sql(rule)} AS text FROM customer)"
-    return f"SELECT {columns} FROM ({matches(rule, source, 'c_custkey')})"
+    rows = " UNION ALL ".join(f'SELECT c_custkey, ({prefix_length()} + {at})::INT AS start, {value} AS "match" FROM customer WHERE {where}' for where, at, value in PROSE.get(rule.id) or expected(rule))
+    return f"SELECT {columns} FROM ({rows})"
 
 
 #: What the documents hold, said here on its own.
