@@ -73,13 +73,14 @@ def _in_blob(text: str, start: int, end: int) -> bool:
 def _runs(run: re.Match) -> list[list[tuple[int, str]]]:
     """Up to four neighbouring tokens each, parted at words that are no names, without headings' nouns at the ends."""
     if " " not in run[0] and "-" not in run[0]:
-        return [] if run[0] in NEVER else [[(run.start(), run[0])]]
+        return [] if run[0] in NEVER or run[0].isupper() else [[(run.start(), run[0])]]
     out, now = [], []
     for m in TOKEN.finditer(run[0]):
-        if m[0] in NEVER or len(now) == 4:
+        no_name = m[0] in NEVER or m[0].isupper()  # capitals throughout say nothing
+        if no_name or len(now) == 4:
             out.append(now)
             now = []
-        if m[0] not in NEVER:
+        if not no_name:
             now.append((run.start() + m.start(), m[0]))
     out.append(now)
     for tokens in out:

@@ -196,6 +196,7 @@ def test_prose():
     assert found("Please contact Priya Nair today. Dr. Venkataraman agreed.") == ["Priya Nair", "Venkataraman"]
     assert found("Master Services Agreement with Rahul Verma, CEO") == ["Rahul Verma"]
     assert found("All Hands, Public Holiday, Settings. The Austin region. Sydney office") == []
+    assert found("HELLO TO THE ANOR SHHEED. Dr. BROWN") == []
     assert found("x" * 30 + "JohnSmith" + "y" * 30) == []
     (a,) = prose.addresses("sent to\nFlat 3B, 14 Koregaon Park Road, Pune 411001\nthanks")
     assert a.text == "Flat 3B, 14 Koregaon Park Road, Pune 411001" and a.score >= 3
