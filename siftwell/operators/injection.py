@@ -19,7 +19,7 @@ EXFILTRATION = re.compile(
 )
 TOOL = re.compile(r"\b(?:call|invoke|execute|run)\s+(?:the\s+)?(?:tool|function|command|shell|bash)\b.{0,40}\b(?:curl|wget|fetch|http|eval|exec)\b", re.IGNORECASE | re.ASCII)
 IMAGE = re.compile(r"!\[[^\]]*\]\(\s*https?://[^)\s]*\{[^}]*\}[^)]*\)")
-HIDDEN_CSS = re.compile(r"<[^>]+style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|opacity\s*:\s*0|color\s*:\s*(?:#fff(?:fff)?|white|transparent))[^\"']*[\"']", re.IGNORECASE)
+HIDDEN_CSS = re.compile(r"<[^<>]+style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|opacity\s*:\s*0|color\s*:\s*(?:#fff(?:fff)?|white|transparent))[^\"']*[\"']", re.IGNORECASE)
 COMMENT = re.compile(r"<!--[\s\S]{0,4000}?-->")
 #: Characters without a width (joiners of scripts and emoji are not among them), tags, overrides of direction, and
 #: scripts written without spaces, where U+200B parts words.

@@ -49,6 +49,7 @@ SENTENCE = re.compile(r"[.!?:;\n•\-*]\s*$")
 KNOWN, UNKNOWN, LEAST_SCORE = math.log(0.85 / 0.15), math.log(0.3 / 0.7), 0.72
 EVIDENCE = {"honorific": 3.4, "introduced": 1.9, "acts": 1.2, "job title": 1.6, "full name": 1.5, "further name": 0.4, "possessive": 0.9, "matching email": 1.4}
 AGAINST = {"sentence-initial": 2.2, "alone": 1.9, "place after": 4.6, "place before": 2.6}
+STRETCH = 64
 STRONG = {"honorific", "introduced", "full name", "job title"}
 
 
@@ -91,11 +92,38 @@ def _runs(run: re.Match) -> list[list[tuple[int, str]]]:
     return [tokens for tokens in out if tokens]
 
 
-def _matching_email(text: str, head: str, start: int, end: int) -> bool:
-    """Whether the line has an address that begins with the first letters of the name."""
-    stop = text.find("\n", end)
-    line = text[text.rfind("\n", 0, start) + 1 : len(text) if stop < 0 else stop]
-    return len(head) >= 3 and "@" in line and re.search(f"(?i){re.escape(head)}[a-z0-9._%-]*@", line) is not None
+class Emails:
+    """First letters of names that the addresses of a line could be made from, found once a line."""
+
+    def __init__(self, text: str):
+        self.text, self.line, self.heads = text, (0, -1), set()
+
+    def match(self, head: str, start: int, end: int) -> bool:
+        """Whether the line has an address with these letters, and nothing but an address's characters between them and the @."""
+        if not self.line[0] <= start < self.line[1]:
+            stop = self.text.find("\n", end)
+            self.line = self.text.rfind("\n", 0, start) + 1, len(self.text) + 1 if stop < 0 else stop
+            self.heads = set()
+            for local in re.findall(r"([^\s@]{1,64})@", self.text[self.line[0] : self.line[1]].lower()):
+                plain = len(local) - len(re.search("[a-z0-9._%-]*$", local)[0])
+                self.heads |= {local[k : k + n] for n in (3, 4) for k in range(max(0, plain - n), len(local) - n + 1)}
+        return len(head) >= 3 and head in self.heads
+
+
+class Claimed:
+    """Spans that belong to something already found, looked up by the stretch of text where they lie."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.by: dict[int, list[tuple[int, int]]] = {}
+        for a, b in spans:
+            for k in range(a // STRETCH, max(a, b - 1) // STRETCH + 1):
+                self.by.setdefault(k, []).append((a, b))
+
+    def holds(self, start: int, end: int) -> bool:
+        return any(a <= start and end <= b for a, b in self.by.get(start // STRETCH, ()))
+
+    def touches(self, start: int, end: int) -> bool:
+        return any(a < end and start < b for k in range(start // STRETCH, (end - 1) // STRETCH + 1) for a, b in self.by.get(k, ()))
 
 
 def _prior(tokens: list[tuple[int, str]], model: NameModel | None) -> tuple[float, bool]:
@@ -107,7 +135,7 @@ def _prior(tokens: list[tuple[int, str]], model: NameModel | None) -> tuple[floa
     return math.log(max(best, 1e-6) / (1 - best)), best >= model.threshold
 
 
-def _score(text: str, tokens: list[tuple[int, str]], emails: bool, model: NameModel | None) -> tuple[float, list[str]]:
+def _score(text: str, tokens: list[tuple[int, str]], emails: Emails | None, model: NameModel | None) -> tuple[float, list[str]]:
     """(likelihood, what speaks for it); 0 where nothing can make it a name."""
     start, end = tokens[0][0], tokens[-1][0] + len(tokens[-1][1])
     before, after = text[max(0, start - 40) : start], text[end : end + 40]
@@ -119,7 +147,7 @@ def _score(text: str, tokens: list[tuple[int, str]], emails: bool, model: NameMo
         elif INTRODUCED.search(before):
             said.append("introduced")
     said += ["job title"] * bool(JOB.match(after))
-    said += ["matching email"] * (emails and _matching_email(text, tokens[0][1].lower()[:4], start, end))
+    said += ["matching email"] * (emails is not None and emails.match(tokens[0][1].lower()[:4], start, end))
     if not known and not said:
         return 0.0, said  # neither two capitals nor a verb make a name of any word
     said += ["acts"] * bool(ACTS.match(after)) + ["full name"] * (not single)
@@ -141,12 +169,12 @@ def names(text: str, claimed: list[tuple[int, int]] = (), model: NameModel | Non
     Without a given name (or a model's word), a title or a job's name, one word over and over, or words that the text also has in small
     letters, are no name.
     """
-    taken, out, small, emails = sorted(claimed), [], None, "@" in text
+    taken, out, small, emails = Claimed(claimed), [], None, Emails(text) if "@" in text else None
     for run in RUN.finditer(text):
         for tokens in _runs(run):
             score, said = _score(text, tokens, emails, model)
             start, end = tokens[0][0], tokens[-1][0] + len(tokens[-1][1])
-            if score < LEAST_SCORE or any(a <= start and end <= b for a, b in taken) or _in_blob(text, start, end):
+            if score < LEAST_SCORE or taken.holds(start, end) or _in_blob(text, start, end):
                 continue
             if len(tokens) == 1 and HEADING.fullmatch(tokens[0][1]):
                 continue
@@ -156,9 +184,8 @@ def names(text: str, claimed: list[tuple[int, int]] = (), model: NameModel | Non
                     continue
             out.append(Span(start, end, text[start:end], score, tuple(said)))
     if not text.isascii():
-        for s in uncased_names(text, UNCASED if uncased is None else uncased):
-            if not any(s.start < k.end and k.start < s.end for k in out) and not any(a <= s.start and s.end <= b for a, b in taken):
-                out.append(s)
+        found = Claimed([(s.start, s.end) for s in out])
+        out += [s for s in uncased_names(text, UNCASED if uncased is None else uncased) if not found.touches(s.start, s.end) and not taken.holds(s.start, s.end)]
         out.sort(key=lambda s: s.start)
     return out
 

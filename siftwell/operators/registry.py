@@ -196,7 +196,7 @@ RULES: list[Rule] = [
     Rule("aws_secret_access_key", "cloud", "critical", "likely", r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])", (), check=_aws_secret, shape=(LONG_RUN, "[A-Za-z0-9+/=]{40}"), sample="secret: Zq7+Kx/W{h12}GmPwLtYvRsNbJcHdUoQi"),
     Rule("high_entropy_assignment", "generic", "medium", "possible", r"""(?i)(?:secret|passwd|password|pwd|token|api[_-]?key|apikey|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key)["']?\s*[:=]\s*["']?([A-Za-z0-9_\-/+=.]{16,})["']?""", ("secret", "passw", "pwd", "token", "key"), group=1, check=_assigned, sample="token = {h8}GhJkLmNpQrStUvWxYz"),
     Rule("unlabelled_secret", "generic", "medium", "possible", r"(?<![A-Za-z0-9_\-/+.])[A-Za-z0-9_\-+/]{32,128}={0,2}(?![A-Za-z0-9_\-/+.])", (), check=_unlabelled, shape=(LONG_RUN, "[A-Za-z0-9_+/-]{32}"), sample="\nvalue = Zq7KxB2{h4}GmP2wLt9YvR5sNb8JcH4TdW\n"),
-    Rule("email", "global", "low", "certain", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", ("@",), refuse=r"(?i)@(?:example|test|localhost|invalid|domain|email|yourcompany|acme)\.(?:com|org|net|co)$", sample="u{h8}@mail.org"),
+    Rule("email", "global", "low", "certain", r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", ("@",), refuse=r"(?i)@(?:example|test|localhost|invalid|domain|email|yourcompany|acme)\.(?:com|org|net|co)$", sample="u{h8}@mail.org"),
     Rule("us_ssn", "global", "critical", "likely", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("-",), check=lambda v, _: checks.ssn(v), shape=(NINE_DIGITS,), sample="219-09-9999"),
     Rule("payment_card", "global", "critical", "certain", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", (), check=_card, shape=(NINE_DIGITS,), sample="4111 1111 1111 1111", enrich=lambda v, _: {"note": checks.card_issuer(v)}),
     Rule("iban", "global", "high", "certain", IBAN, (), check=lambda v, _: checks.iban(v, LENGTH_OF), shape=(CAPITALS, "[A-Z]{2}[0-9]{2}"), sample="GB82WEST12345698765432"),

@@ -245,3 +245,16 @@ def test_name_model(spark):
     text = "later on Marianna Rossi arrived"
     assert prose.names(text) == [] and [s.text for s in prose.names(text, model=model)] == ["Marianna Rossi"]
     assert [f.match for f in Scanner(Policy(name_model=model)).scan(text).findings] == ["Marianna Rossi"]
+
+
+@pytest.mark.parametrize("text", [
+    "a.b+c-" * 60_000 + " x@mail.org", "<" * 200_000 + " style x@y", "Zq7KxB2a9f0GmP2wLt9YvR5sNb8JcH4TdW " * 8_000, "Anna Maria " * 30_000 + "x@mail.org", "u1@mail.org Anna, " * 10_000,
+    "1 " * 200_000, "7" * 300_000, "-----BEGIN X\n" * 20_000, ("eyJ" + "a" * 20 + "-") * 10_000, "QUJD" * 100_000 + "+" + "ab+" * 60_000 + "@", "name,email\n" + "\n".join(f"Anna{k},u{k}@mail.org" for k in range(15_000)),
+    "ABCD1234EF " * 30_000, "token = " * 40_000, "%41" * 100_000, "\\x41" * 80_000, "Aa-" * 100_000, "\u200b" * 100_000, "password is " * 30_000,
+])
+def test_time_grows_with_the_text_only(text):
+    import time
+
+    began = time.process_time()
+    SCANNER.scan(text)
+    assert time.process_time() - began < 15, len(text)
