@@ -114,24 +114,25 @@ EXTRACTED = "kind string, status string, text string, unread array<string>, meta
 def read_files(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
     """(path, length, kind, status, text, unread, meta, pages) of a folder's files, whatever folder below it they are in.
 
-    Folders and endings that hold no text are left out.  Files larger than ``largest`` are named (kind ``large``), not read: their bytes never
-    reach a worker.  Findings of a text: ``scan`` of the result.
+    Folders and endings that hold no text are left out.  Files larger than ``largest`` are named (kind ``large``), not read.  Findings of a text: ``scan`` of the result.
     """
     files = prepare(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     inside = F.col("path").rlike(rf"/(?:{'|'.join(map(re.escape, SKIPPED_FOLDERS))})/") | F.lower("path").rlike(rf"\.(?:{'|'.join(SKIPPED_ENDINGS)})$")
-    files = files.where(~inside).select("path", "length", F.when(F.col("length") <= largest, F.col("content")).alias("content"))
+    files = files.where(~inside)
+    # The reader knows a file's length before it opens it: large ones are told by a scan that leaves the content out.
+    large = files.where(F.col("length") > largest).select("path", "length", F.lit("large").alias("kind"), F.lit("opaque").alias("status"))
+    files = files.where(F.col("length") <= largest).select("path", "length", "content")
     schema = T.StructType([*files.schema.fields[:2], *T._parse_datatype_string(EXTRACTED).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                content = b.column(2)[k].as_py()
-                e = extract(content) if content is not None else Extract("large", "opaque", "", [], {})
+                e = extract(b.column(2)[k].as_py())
                 values = [e.kind, e.status, e.text if e.status != "opaque" or e.text else None, e.unread, list(e.meta.items()), e.pages]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in (0, 1)), *(pa.array([v], arrow.field(2 + n).type) for n, v in enumerate(values))], schema=arrow)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema).unionByName(large, allowMissingColumns=True)
 
 
 def stripped_images(spark: SparkSession, path: str) -> DataFrame:
