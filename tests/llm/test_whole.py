@@ -300,3 +300,20 @@ def test_components_with_and_without_broadcast(spark, monkeypatch):
         monkeypatch.setattr(components, "BROADCAST_EDGES", most)
         got = dict(map(tuple, components.components(df).collect()))
         assert got == {k: min(j for j in group if group[j] == group[k]) for k in linked}
+
+
+def test_items_in_very_long_texts(spark):
+    r = random.Random(41)
+    words = lambda n: " ".join(f"l{r.randrange(50_000)}" for _ in range(n))
+    item = words(30)
+    docs = spark.createDataFrame([(1, f"{words(80_000)} {item} {words(80_000)}"), (2, words(160_000)), (3, item * 1), (4, f"{words(50)} {item} {item} {words(50)}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, words(25))], "item_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()) == [(1, 7), (3, 7), (4, 7)]
+
+
+def test_equal_ratings_and_equal_scores(spark):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "bad things there") for k in range(40)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(k, 2 if k % 2 else 0) for k in range(20)] + [(1, 2), (1, 2)], "doc_id long, grade int")
+    got = {r.doc_id: r for r in classifier.classify(docs, ratings).collect()}
+    assert len({(r.expected_grade, r.kept) for k, r in got.items() if k % 2}) == 1 and got[1].kept and not got[0].kept
+    assert got[39].expected_grade == got[1].expected_grade > got[0].expected_grade
