@@ -34,6 +34,9 @@ def prefix_length() -> str:
     return "length(concat('note for ', c_name, ': '))"
 
 
-#: Columns of an export of a nation's customers, as SQL that both engines read.
-EXPORT = ["customer_id,full_name,email,balance"]
+#: Exports of 5, 25 and 220 customers of each 250, so that none grows with the table; header and row as SQL that both engines read.
+EXPORT_ID = "CAST(floor(c_custkey / 250) AS BIGINT) * 3 + CASE WHEN c_custkey % 250 < 5 THEN 0 WHEN c_custkey % 250 < 30 THEN 1 ELSE 2 END"
+EXPORT = "customer_id,full_name,email,balance"
 EXPORT_ROW = "concat(CAST(c_custkey AS STRING), ',', c_name, ',u', CAST(c_custkey AS STRING), '@mail.org,', CAST(c_custkey * 7 AS STRING))"
+#: Files of 100 customers.
+FILE_ID = "CAST(floor(c_custkey / 100) AS BIGINT)"

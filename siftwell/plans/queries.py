@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,10 @@ from siftwell.operators.policy import SWITCHES, Policy
 from siftwell.operators.registry import BY_ID, RULES, Rule
 from siftwell.operators.scan import by_severity, findings, groups, scan, summaries
 from siftwell.plans import oracle
-from siftwell.plans.carriers import EXPORT, EXPORT_ROW, carrier_sql, prefix_length
+from siftwell.plans.carriers import EXPORT, EXPORT_ID, EXPORT_ROW, FILE_ID, carrier_sql, prefix_length
+from siftwell.plans.samples import MAKERS
+from siftwell.sources import images
+from siftwell.sources.files import extracted
 from siftwell.streaming.alerts import watch, windowed_alerts
 
 
@@ -130,26 +134,60 @@ def conversation_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _exports(spark: SparkSession, sf: str) -> DataFrame:
-    """A text for each nation: the comma-separated export of its customers."""
+    """Comma-separated exports of a few customers each."""
     rows = F.array_sort(F.collect_list(F.struct("c_custkey", F.expr(EXPORT_ROW).alias("line"))))
-    text = F.concat_ws("\n", F.lit(EXPORT[0]), F.transform(rows, lambda r: r["line"]))
-    return _t(spark, sf, "customer").groupBy("c_nationkey").agg(text.alias("text"))
+    text = F.concat_ws("\n", F.lit(EXPORT), F.transform(rows, lambda r: r["line"]))
+    return _t(spark, sf, "customer").groupBy(F.expr(EXPORT_ID).alias("export_id")).agg(text.alias("text"))
 
 
 def export_tables(spark: SparkSession, sf: str) -> DataFrame:
     """What the scan says of exports: rows, columns, personal columns, and whether all values can be replaced."""
     out = scan(_exports(spark, sf)).where("table is not null")
-    return out.select("c_nationkey", "verdict", "table.rows", F.array_join("table.kinds", ",").alias("kinds"), "table.severity", "table.layout", "table.personal_values", "table.fully_redactable", F.size("findings").cast("long").alias("n"))
+    return out.select("export_id", "verdict", "table.rows", F.array_join("table.kinds", ",").alias("kinds"), "table.severity", "table.layout", "table.personal_values", "table.fully_redactable", F.size("findings").cast("long").alias("n"))
 
 
 def export_exposure(spark: SparkSession, sf: str) -> DataFrame:
     """Score and regimes of exports, with their volume."""
-    out = scan(_exports(spark, sf))
-    found_ = out.select("c_nationkey", F.explode("findings").alias("f")).select("c_nationkey", "f.*")
-    tables = out.where("table is not null").select("c_nationkey", "table.rows", F.size("table.kinds").alias("columns"))
-    score = outcome.exposure(found_, "c_nationkey", tables).select("c_nationkey", "score", "band")
-    names = outcome.regimes(found_, "c_nationkey", tables).groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_set("regime")), ",").alias("regimes"))
-    return score.join(names, "c_nationkey")
+    out = scan(_exports(spark, sf)).where("table is not null")
+    found_ = out.select("export_id", F.explode("findings").alias("f")).select("export_id", "f.*")
+    tables = out.select("export_id", "table.rows", F.size("table.kinds").alias("columns"))
+    score = outcome.exposure(found_, "export_id", tables).select("export_id", "score", "band")
+    names = outcome.regimes(found_, "export_id", tables).groupBy("export_id").agg(F.array_join(F.array_sort(F.collect_set("regime")), ",").alias("regimes"))
+    return score.join(names, "export_id")
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of each kind, with a line for each of a hundred customers."""
+    line = F.concat_ws(" ", F.col("c_custkey").cast("string"), F.col("c_name"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@mail.org")))
+    lines = _t(spark, sf, "customer").groupBy(F.expr(FILE_ID).alias("file_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+
+    def run(batches):
+        for b in batches:
+            for file_id, made in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names = list(MAKERS)
+                yield pa.RecordBatch.from_pydict({"file_id": [file_id] * len(names), "made": names, "content": [MAKERS[n](made) for n in names]}, pa.schema([("file_id", pa.int64()), ("made", pa.string()), ("content", pa.binary())]))
+
+    return lines.mapInArrow(run, "file_id long, made string, content binary")
+
+
+def extracted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind, status and text of files of eight kinds."""
+    return extracted(_files(spark, sf)).select("file_id", "made", "kind", "status", F.sha2("text", 256).alias("digest"))
+
+
+def findings_in_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses of e-mail in the files' texts."""
+    texts = extracted(_files(spark, sf)).withColumn("file", F.concat_ws("/", F.col("file_id").cast("string"), "made"))
+    found_ = findings(texts, "file", policy=Policy(tables=False)).where("rule_id = 'email'")
+    return found_.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("match").alias("n_distinct"))
+
+
+def stripped_pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """Images without their texts: nothing is left to read, and the file is shorter by what went."""
+    strip_ = F.pandas_udf(lambda s: s.map(lambda b: images.strip(bytes(b))), "binary")
+    pictures = _files(spark, sf).where("made = 'png'").select("file_id", F.length("content").alias("before"), strip_("content").alias("content"))
+    left = pictures.withColumn("after", F.length("content"))
+    return extracted(left).select("file_id", (F.col("before") - F.col("after")).cast("long").alias("gone"), "status", F.size("meta").cast("long").alias("n_meta"))
 
 
 #: Encodings that both engines have, as SQL of a key's text.
@@ -224,7 +262,9 @@ SPLICED = f"""SELECT doc_id, count(*) AS changed, concat(string_agg(concat(subst
         JOIN documents USING (doc_id)) GROUP BY doc_id"""
 POINTS = "CASE rule_id WHEN 'payment_card' THEN 34.0::DOUBLE ELSE 2.0::DOUBLE END * (1 + least(0.6::DOUBLE, 0.18::DOUBLE * log2(n)))"
 #: An export's rows are personal records: a name by its header, an address by its header; 2 values a row.
-EXPORTED = "SELECT c_nationkey, count(*) AS rows FROM customer GROUP BY c_nationkey HAVING count(*) >= 3"
+EXPORTED = f"SELECT {EXPORT_ID} AS export_id, count(*) AS rows FROM customer GROUP BY export_id HAVING count(*) >= 3"
+#: The lines of a file.
+LINES = f"SELECT {FILE_ID} AS file_id, list(concat(c_custkey, ' ', c_name, ' u', c_custkey, '@mail.org') ORDER BY c_custkey) AS lines FROM customer GROUP BY ALL"
 GRADE = "CASE WHEN rows >= 100 THEN 'critical' WHEN rows >= 20 THEN 'high' ELSE 'medium' END"
 SQL = {
     "doc_findings": f"SELECT doc_id, rule_id, start, {MATCH}, {oracle.mask(MATCH)} AS preview, {oracle.fingerprint(MATCH)} AS fingerprint FROM ({FOUND})",
@@ -247,10 +287,14 @@ SQL = {
     "restored_docs": f"SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM ({FOUND}))",
     "rollup_lang_source": f"SELECT lang, rule_id, count(*) AS n FROM ({FOUND}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, rule_id)",
     "conversation_values": f'SELECT DISTINCT conv_id, rule_id, {oracle.fingerprint(MATCH)} AS fingerprint FROM ({oracle.found_sql("conversations", "conv_id")})',
-    "export_tables": f"SELECT c_nationkey, CASE WHEN rows >= 100 THEN 'block' ELSE 'warn' END AS verdict, rows, 'name,email' AS kinds, {GRADE} AS severity, 'comma-separated' AS layout, 2 * rows AS personal_values, TRUE AS fully_redactable, 2 * rows AS n FROM ({EXPORTED})",
-    "export_exposure": f"""SELECT c_nationkey, score, CASE WHEN score >= 70 THEN 'severe' WHEN score >= 40 THEN 'elevated' WHEN score >= 15 THEN 'low' ELSE 'minimal' END AS band, 'DPDP,GDPR' AS regimes FROM (
-        SELECT c_nationkey, round(100 * (1 - exp(-(2.0::DOUBLE * grown + CASE WHEN rows >= 100 THEN 18.0::DOUBLE ELSE 8.0::DOUBLE END * 0.85::DOUBLE * grown + least(72::DOUBLE, (18 + 20 * log10(greatest(10, rows))) * 1.12::DOUBLE)) / 45)))::BIGINT AS score
-        FROM (SELECT c_nationkey, rows, 1 + least(0.6::DOUBLE, 0.18::DOUBLE * log2(rows)) AS grown FROM ({EXPORTED})))""",
+    "export_tables": f"SELECT export_id, CASE WHEN rows >= 100 THEN 'block' ELSE 'warn' END AS verdict, rows, 'name,email' AS kinds, {GRADE} AS severity, 'comma-separated' AS layout, 2 * rows AS personal_values, TRUE AS fully_redactable, 2 * rows AS n FROM ({EXPORTED})",
+    "export_exposure": f"""SELECT export_id, score, CASE WHEN score >= 70 THEN 'severe' WHEN score >= 40 THEN 'elevated' WHEN score >= 15 THEN 'low' ELSE 'minimal' END AS band, 'DPDP,GDPR' AS regimes FROM (
+        SELECT export_id, round(100 * (1 - exp(-(2.0::DOUBLE * grown + CASE WHEN rows >= 100 THEN 18.0::DOUBLE ELSE 8.0::DOUBLE END * 0.85::DOUBLE * grown + least(72::DOUBLE, (18 + 20 * log10(greatest(10, rows))) * 1.12::DOUBLE)) / 45)))::BIGINT AS score
+        FROM (SELECT export_id, rows, 1 + least(0.6::DOUBLE, 0.18::DOUBLE * log2(rows)) AS grown FROM ({EXPORTED})))""",
+    "extracted_files": f"""SELECT file_id, made, made AS kind, CASE WHEN made = 'png' THEN 'metadata' ELSE 'readable' END AS status, sha256(CASE made WHEN 'png' THEN concat('author: ', lines[1])
+        WHEN 'xlsx' THEN replace(array_to_string(lines, chr(10)), ' ', ',') ELSE array_to_string(lines, chr(10)) END) AS digest FROM ({LINES}) CROSS JOIN (VALUES {', '.join(f"('{k}')" for k in MAKERS)}) m(made)""",
+    "findings_in_files": f"""SELECT concat(file_id, '/', made) AS file, CASE WHEN made = 'png' THEN 1 ELSE len(lines) END AS n, CASE WHEN made = 'png' THEN 1 ELSE len(lines) END AS n_distinct FROM ({LINES}) CROSS JOIN (VALUES {', '.join(f"('{k}')" for k in MAKERS)}) m(made)""",
+    "stripped_pictures": f"SELECT file_id, (12 + 7 + length(lines[1]))::BIGINT AS gone, 'opaque' AS status, 0::BIGINT AS n_meta FROM ({LINES})",
     "decoded_values": " UNION ALL ".join(f"SELECT c_custkey, 'aws_access_key_id' AS rule_id, ({prefix_length()})::INT AS start, ({prefix_length()} + length({sql.format(KEY)}))::INT AS {chr(34)}end{chr(34)}, '{how}' AS encoded, {oracle.fingerprint(f'substr({KEY}, 5, 20)')} AS fingerprint FROM customer" for how, sql in HIDDEN_DUCK.items()),
     "codenames": """SELECT c_custkey, 'org_codename' AS rule_id, 'high' AS severity, TRUE AS advisory, 6::INT AS start, 'BlueBird' AS "match" FROM customer WHERE c_custkey % 2 = 0""",
     "page_attributes": """SELECT page_id, count(*) AS n, count(DISTINCT v) AS n_distinct FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src|alt|title|data-[a-z0-9-]+)="([^"]{1,500})"', 1)) AS v FROM pages) GROUP BY page_id""",

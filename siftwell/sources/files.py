@@ -111,6 +111,24 @@ def extract(data: bytes) -> Extract:
 EXTRACTED = "kind string, status string, text string, unread array<string>, meta map<string,string>, pages int"
 
 
+def extracted(df: DataFrame, content_col: str = "content") -> DataFrame:
+    """Adds kind, status, text, unread, meta and pages of each row's file, in place of its content; null content is an empty text."""
+    added = T._parse_datatype_string(EXTRACTED)
+    kept = [c for c in df.columns if c != content_col and c not in added.names]
+    schema = T.StructType([*(df.schema[c] for c in kept), *added.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                e = extract(b.column(len(kept))[k].as_py() or b"")
+                values = [e.kind, e.status, e.text if e.status != "opaque" or e.text else None, e.unread, list(e.meta.items()), e.pages]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in range(len(kept))), *(pa.array([v], arrow.field(len(kept) + n).type) for n, v in enumerate(values))], schema=arrow)
+
+    prepare(df.sparkSession)
+    return df.select(*kept, content_col).mapInArrow(run, schema)
+
+
 def read_files(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
     """(path, length, kind, status, text, unread, meta, pages) of a folder's files, whatever folder below it they are in.
 
@@ -121,18 +139,7 @@ def read_files(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFr
     files = files.where(~inside)
     # The reader knows a file's length before it opens it: large ones are told by a scan that leaves the content out.
     large = files.where(F.col("length") > largest).select("path", "length", F.lit("large").alias("kind"), F.lit("opaque").alias("status"))
-    files = files.where(F.col("length") <= largest).select("path", "length", "content")
-    schema = T.StructType([*files.schema.fields[:2], *T._parse_datatype_string(EXTRACTED).fields])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                e = extract(b.column(2)[k].as_py())
-                values = [e.kind, e.status, e.text if e.status != "opaque" or e.text else None, e.unread, list(e.meta.items()), e.pages]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in (0, 1)), *(pa.array([v], arrow.field(2 + n).type) for n, v in enumerate(values))], schema=arrow)
-
-    return files.mapInArrow(run, schema).unionByName(large, allowMissingColumns=True)
+    return extracted(files.where(F.col("length") <= largest).select("path", "length", "content")).unionByName(large, allowMissingColumns=True)
 
 
 def stripped_images(spark: SparkSession, path: str) -> DataFrame:

@@ -82,13 +82,13 @@ def extract_pdf(data: bytes) -> Extract:
     """Text of all pages' streams; a file with an image and hardly any text is a scan, which can't be read."""
     if b"/Encrypt" in data:
         return Extract("pdf", "opaque", "", ["encrypted"], {})
-    left, tables, contents, unread = MOST_TOTAL, {}, [], []
+    left, tables, contents, unread, objects = MOST_TOTAL, {}, [], [], [data]
     for k, m in enumerate(STREAM.finditer(data)):
         if k >= MOST_STREAMS:
             unread.append("further streams")
             break
         head, body = m[1], m[2]
-        if b"/Image" in head or b"/FontFile" in head or b"/ObjStm" in head and b"/FlateDecode" not in head:
+        if b"/Image" in head or b"/FontFile" in head:
             continue
         if b"/FlateDecode" in head or b"/Fl " in head:
             body = inflate(body, min(MOST_STREAM, left))
@@ -99,13 +99,15 @@ def extract_pdf(data: bytes) -> Extract:
             unread.append("a broken or too large stream")
             continue
         left -= len(body)
-        if b"beginbfchar" in body or b"beginbfrange" in body:
+        if b"/ObjStm" in head:
+            objects.append(body)  # objects of the file packed into a stream: pages, information
+        elif b"beginbfchar" in body or b"beginbfrange" in body:
             tables |= unicode_map(body)
         elif b"BT" in body and b"ET" in body:
             contents.append(body)
     text = "\n".join(t for c in contents if (t := content_text(c, tables)))
-    info = {k.decode().lower(): literal(v).decode("latin-1") for k, v in re.findall(rb"/(Title|Author|Subject|Keywords|Creator|Producer)\s*(\((?:\\.|[^\\()])*\))", data)}
-    pages = len(re.findall(rb"/Type\s*/Page\b", data))
+    info = {k.decode().lower(): literal(v).decode("latin-1") for x in objects for k, v in re.findall(rb"/(Title|Author|Subject|Keywords|Creator|Producer)\s*(\((?:\\.|[^\\()])*\))", x)}
+    pages = sum(len(re.findall(rb"/Type\s*/Page\b", x)) for x in objects)
     scanned = b"/Image" in data and len(text) < FEW
     status = "opaque" if scanned or not text else "partial" if unread else "readable"
     return Extract("pdf", status, text, unread + ["pages that are images"] * scanned, info, pages)

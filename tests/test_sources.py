@@ -99,6 +99,9 @@ def test_pdf():
     mapped = pdf_file(b"<004100420043> Tj", b"4 0 obj << /Length 9 >> stream\n" + table + b"\nendstream endobj\n")
     assert files.extract(mapped).text == "Hij"
     assert files.extract(pdf_file(b"() Tj", b"/Image")).status == "opaque" and files.extract(b"%PDF-1.4 /Encrypt").unread == ["encrypted"]
+    packed = zlib.compress(b"5 0 6 20 << /Type /Page >> << /Author (Ann) >>")
+    more = files.extract(pdf_file(more=b"7 0 obj << /Type /ObjStm /Filter /FlateDecode >> stream\n" + packed + b"\nendstream endobj\n"))
+    assert (more.pages, more.meta["author"], more.text) == (2, "Ann", "Hello")
     assert pdf.inflate(zlib.compress(b"x" * 5000), 100) is None and pdf.inflate(b"junk", 100) is None
 
 
