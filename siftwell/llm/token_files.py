@@ -79,11 +79,12 @@ class WordTable:
         words, marks = word.dictionary.to_pylist(), mark.dictionary.to_pylist()
         letters = pc.match_substring_regex(word.dictionary, "^[a-zß-öø-ÿ]+$").to_pylist()
         values = [*self.values(words, letters), *self.values(marks, [False] * len(marks)), np.array([end_id], self.kind).tobytes()]
-        ahead, behind = word.indices.to_numpy()[codes], len(words) + mark.indices.to_numpy()[codes].astype(np.int64)
-        pairs = np.empty(2 * len(codes), np.int64)
-        pairs[::2], pairs[1::2] = ahead, behind
-        ids, ends = spread(values, np.insert(pairs, 2 * offsets[1:], len(values) - 1), self.kind)
-        return ids, at(ends, 2 * offsets + np.arange(len(offsets)))
+        # A run's punctuation goes after its word, where it has any, and the end id after each text.
+        marked = np.flatnonzero(np.array([m != "" for m in marks], bool)[mark.indices.to_numpy()][codes])
+        after = len(words) + mark.indices.to_numpy()[codes[marked]].astype(np.int64)
+        place, value = np.concatenate([marked + 1, offsets[1:]]), np.concatenate([after, np.full(len(offsets) - 1, len(values) - 1)])
+        ids, ends = spread(values, np.insert(word.indices.to_numpy()[codes].astype(np.int64), place, value), self.kind)
+        return ids, at(ends, offsets + np.searchsorted(marked, offsets) + np.arange(len(offsets)))
 
 
 def word_table(path: str) -> WordTable:
