@@ -148,9 +148,10 @@ def _score(text: str, tokens: list[tuple[int, str]], emails: Emails | None, mode
             said.append("introduced")
     said += ["job title"] * bool(JOB.match(after))
     said += ["matching email"] * (emails is not None and emails.match(tokens[0][1].lower()[:4], start, end))
-    if not known and not said:
-        return 0.0, said  # neither two capitals nor a verb make a name of any word
-    said += ["acts"] * bool(ACTS.match(after)) + ["full name"] * (not single)
+    acts = ACTS.match(after) is not None
+    if not known and not said and (single or not acts):
+        return 0.0, said  # neither two capitals nor a verb alone make a name of any word
+    said += ["acts"] * acts + ["full name"] * (not single)
     opens = start == 0 or (SENTENCE.search(before[-12:]) and not ABBREVIATED.search(before[-12:]))
     against = ["sentence-initial"] * bool(single and opens and "honorific" not in said)
     against += ["alone"] * (single and not STRONG & set(said))
@@ -166,8 +167,8 @@ def _score(text: str, tokens: list[tuple[int, str]], emails: Emails | None, mode
 def names(text: str, claimed: list[tuple[int, int]] = (), model: NameModel | None = None, uncased: frozenset[str] | None = None) -> list[Span]:
     """Names that are likely enough, and not part of a claimed span; ``uncased`` are names known in scripts without capitals.
 
-    Without a given name (or a model's word), a title or a job's name, one word over and over, or words that the text also has in small
-    letters, are no name.
+    Without a given name (or a model's word), a title or a job's name, one word over and over, words that the text also has in small
+    letters, and what ends like a street, are no name.
     """
     taken, out, small, emails = Claimed(claimed), [], None, Emails(text) if "@" in text else None
     for run in RUN.finditer(text):
@@ -180,7 +181,7 @@ def names(text: str, claimed: list[tuple[int, int]] = (), model: NameModel | Non
                 continue
             if not any(t in GIVEN for _, t in tokens) and "honorific" not in said:
                 small = set(re.findall(rf"\b[^\W\d_{UPPER}]{LETTER}+", text)) if small is None else small
-                if all(t.lower() in small for _, t in tokens) or len({t for _, t in tokens}) < len(tokens):
+                if all(t.lower() in small for _, t in tokens) or len({t for _, t in tokens}) < len(tokens) or STREET_WORD.fullmatch(tokens[-1][1]):
                     continue
             out.append(Span(start, end, text[start:end], score, tuple(said)))
     if not text.isascii():
