@@ -379,7 +379,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False, segment: int = SEGMENT, h
     manifest = segments(docs, work_dir(spark, "segment-files"), segment)
     total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = int(max(2 * least, min(100_000, total >> 24)))
+    parts = int(max(least, min(100_000, total >> 24)))
     buckets = 1 << max(4, min(20, max(int(total >> 23).bit_length(), least.bit_length())))  # 8 MB of text or less for each, and one for each partition
     codes = shared_anchors(manifest, buckets, parts, hot)
     back = repeats(contexts(codes, 2 * buckets, parts), parts)
