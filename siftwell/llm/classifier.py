@@ -87,10 +87,13 @@ def fit(buckets: np.ndarray, offsets: np.ndarray, grades: np.ndarray, steps: int
     n, k = len(y), len(kinds)
     seen = np.bincount(buckets, minlength=BUCKETS)
     used = np.flatnonzero(seen >= LEAST_DOCS)
-    place = np.full(BUCKETS, len(used), np.int64)
+    # The driver fits: numbers of four bytes, and no copies kept.
+    place = np.full(BUCKETS, len(used), np.int32)
     place[used] = np.arange(len(used))
-    col, row = place[buckets], np.repeat(np.arange(n), np.diff(offsets))
-    row, col = row[col < len(used)], col[col < len(used)]
+    col, row = place[buckets], np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    known = col < len(used)
+    row, col = row[known], col[known]
+    del known
     share = np.bincount(y, minlength=k) / n
     weight = (1 / np.sqrt(share))[y]
     weight /= weight.mean()
@@ -141,7 +144,7 @@ def rated(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> tuple[np
     texts = id_text(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = texts.select("text", "grade").mapInArrow(run, ddl).collect()
     lists = [np.frombuffer(r[1], "<i4") for r in rows]
-    return np.concatenate([*lists, np.empty(0, "<i4")]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), np.array([r[0] for r in rows], np.int64)
+    return np.concatenate([*lists, np.empty(0, "<i4")]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), np.array([r[0] for r in rows], np.int64)
 
 
 OUT = "doc_id long, expected_grade double, p_above_lowest double, p_highest double, kept boolean"
