@@ -64,6 +64,14 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"),
     ("CC-BY-NC-4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"),
     ("CC0-1.0", "to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("Zlib", "this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software. permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "distributed under the boost software license, version 1.0. (see accompanying file license_1_0.txt or copy at https://www.boost.org/license_1_0.txt)"),
+    ("EPL-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("OFL-1.1", "this font software is licensed under the sil open font license, version 1.1"),
+    ("WTFPL", "do what the fuck you want to public license"),
+    ("LGPL-2.1", _GNU.format("lesser general public license", "2.1")),
+    # Identifiers of one word are left out: three bigrams differ by one, and without it two of them reach the threshold for all.
+    *((name, f"spdx-license-identifier: {name.lower()}") for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "BSL-1.0", "EPL-2.0", "OFL-1.1")),
 ]
 
 

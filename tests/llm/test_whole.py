@@ -317,3 +317,12 @@ def test_equal_ratings_and_equal_scores(spark):
     got = {r.doc_id: r for r in classifier.classify(docs, ratings).collect()}
     assert len({(r.expected_grade, r.kept) for k, r in got.items() if k % 2}) == 1 and got[1].kept and not got[0].kept
     assert got[39].expected_grade == got[1].expected_grade > got[0].expected_grade
+
+
+def test_license_identifiers():
+    known = licenses.Templates(licenses.TEMPLATES)
+    names = {n for n, _ in licenses.TEMPLATES}
+    for name in ("Apache-2.0", "GPL-3.0", "LGPL-2.1", "BSD-2-Clause", "CC0-1.0", "EPL-2.0"):
+        assert name in names and known.scan(f"// SPDX-License-Identifier: {name}\nint main() {{}}") == {name: 1.0}
+    assert known.scan("SPDX-License-Identifier: Foo-1.0") == known.scan("SPDX-License-Identifier: MIT") == {} and known.scan("the license identifier of mit") == {}
+    assert known.scan("# SPDX-License-Identifier: GPL-2.0-or-later") == {"GPL-2.0": 1.0}
