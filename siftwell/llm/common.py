@@ -125,12 +125,25 @@ def _sweep() -> None:
             return
 
 
-def write_parts(df: DataFrame, path: str, run=None, ddl: str | None = None) -> set[str]:
+def within_reach(uri: str) -> bool:
+    """Whether workers can open a folder's file system themselves, or only Spark can."""
+    try:
+        filesystem(uri)
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
+def write_parts(df: DataFrame, path: str, run=None, ddl: str | None = None) -> set[str] | None:
     """Write rows as Parquet below ``path``; with ``run``, a function on Arrow batches, what it makes of them, by the schema ``ddl``.
 
     The Python workers write the files themselves, in the task that has the rows: one worker a task also with ``run``, and the JVM starts no
-    process for a file's mode.  Result: the names of the files of the tasks that count, one a task.
+    process for a file's mode.  Result: the names of the files of the tasks that count, one a task.  Where only Spark reaches the
+    folder, it appends the files, and there is no result.
     """
+    if not within_reach(path):
+        (df.mapInArrow(run, ddl) if run else df).write.mode("append").option("compression", "zstd").parquet(path)
+        return None
     arrow = to_arrow_schema(T._parse_datatype_string(ddl) if ddl else df.schema)
 
     def write(batches):
@@ -162,6 +175,8 @@ def materialise(df: DataFrame, label: str, run=None, ddl: str | None = None) ->
     spark, path = lean(df.sparkSession), work_dir(df.sparkSession, label)
     schema = T._parse_datatype_string(ddl) if ddl else df.schema
     names = write_parts(df, path, run, ddl)
+    if names is None:
+        return spark.read.schema(schema).parquet(path)
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
     while True:

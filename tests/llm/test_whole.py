@@ -215,6 +215,14 @@ def test_tables_written_by_workers(spark):
         common.write_parts = old
 
 
+def test_tables_where_only_spark_reaches(spark, monkeypatch):
+    monkeypatch.setattr(common, "within_reach", lambda uri: False)
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(20)], "a long, b string").repartition(3)
+    assert sorted(map(tuple, common.materialise(df, "t").collect())) == sorted(map(tuple, df.collect()))
+    monkeypatch.undo()
+    assert common.within_reach("file:/tmp/x") and not common.within_reach("nofs://host/x")
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Conf:
         def get(self, *_):
