@@ -126,9 +126,13 @@ class Claimed:
         return any(a < end and start < b for k in range(start // STRETCH, (end - 1) // STRETCH + 1) for a, b in self.by.get(k, ()))
 
 
+#: How family names of several languages end, of six letters and more.
+FAMILY = re.compile(r"\w{2,}(?:sen|sson|ov|ova|eva|ski|sky|ska|wicz|enko|shvili|adze|oglu|escu|opoulos|nathan|swamy|murthy|appa|alves|quez|guez|ndez|nguez|mann|stein|ström|strom|quist|qvist|berger|hofer|shima|moto|zawa|yama|gawa)")
+
+
 def _prior(tokens: list[tuple[int, str]], model: NameModel | None) -> tuple[float, bool]:
-    """(log odds, whether it is a name at first sight): by the model, or by the list of given names."""
-    known = any(t in GIVEN for _, t in tokens)
+    """(log odds, whether it is a name at first sight): by the model, or by the list of given names and the end of a family name."""
+    known = any(t in GIVEN for _, t in tokens) or (len(tokens) > 1 and len(tokens[-1][1]) > 5 and FAMILY.fullmatch(tokens[-1][1]) is not None)
     if model is None or known:
         return KNOWN if known else UNKNOWN, known
     best = min(max(model.score(t) for _, t in tokens), 1 - 1e-6)
