@@ -217,4 +217,6 @@ def is_benign(c: Column) -> Column:
 
 
 def is_code_identifier(c: Column) -> Column:
-    return c.rlike(r"[.(){}\[\]<>;]") | c.rlike("^(?:[a-z]+(?:[A-Z][a-z]+)+[0-9]{0,2}|[A-Z][a-z]+(?:[A-Z][a-z]+)+[0-9]{0,2}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)$")
+    words = F.regexp_extract_all(c, F.lit("[A-Z]?[a-z]+"), F.lit(0))
+    whole = (F.size(words) < 5) | (F.length(F.array_join(words, "")) >= 3 * F.size(words))
+    return c.rlike(r"[.(){}\[\]<>;]") | whole & c.rlike("^(?:[a-z]+(?:[A-Z][a-z]+)+[0-9]{0,2}|[A-Z][a-z]+(?:[A-Z][a-z]+)+[0-9]{0,2}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)$")

@@ -100,7 +100,7 @@ def _bearer(value: str, at: Place) -> bool:
 
 
 def _assigned(value: str, at: Place) -> bool:
-    return _bearer(value, at) and checks.looks_random(value, 3.2)
+    return _bearer(value, at) and checks.looks_random(value, 3.2, letters=True)
 
 
 #: Algorithms named before a digest, how public SSH keys begin, and words before values that are no secrets.

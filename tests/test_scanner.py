@@ -258,3 +258,20 @@ def test_time_grows_with_the_text_only(text):
     began = time.process_time()
     SCANNER.scan(text)
     assert time.process_time() - began < 15, len(text)
+
+
+def test_tokens_of_letters_alone():
+    token = "daacecbbGhJkLmNpQrStUvWxYz"
+    found = lambda t: [(f.rule.id, f.match) for f in SCANNER.scan(t).findings]
+    assert found(f"Authorization: Bearer {token}") == [("bearer_header", token)] and found(f"token = {token}") == [("high_entropy_assignment", token)]
+    assert not any(map(found, ("Authorization: Bearer theTokenOfMyOwnUser", "token = getTokenOfTheUserById", "token = TheQuickBrownFoxHasJumped")))
+
+
+def test_tokens_of_letters_alone_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from siftwell.functions import text
+
+    values = ["daacecbbGhJkLmNpQrStUvWxYz", "getIdOf", "theTokenOfMyOwnUser", "A_B", "a.b"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(text.is_code_identifier(F.col("v"))).collect()
+    assert [r[0] for r in got] == [checks.is_code_identifier(v) for v in values] == [False, True, True, True, True]
