@@ -211,7 +211,7 @@ def is_benign(c: Column) -> Column:
     steps = F.array_distinct(F.zip_with(F.slice(codes, 2, 10_000), codes, lambda b, a: b - a))
     run = (F.length(c) >= 5) & F.transform(F.filter(steps, lambda x: x.isNotNull()), F.abs).isin([F.array(F.lit(1))])
     d, unit = digits(c).try_cast("decimal(38,0)"), F.when(F.length(digits(c)) == 13, F.lit(1000).cast("long")).when(F.length(digits(c)) == 16, F.lit(1_000_000).cast("long"))
-    time = d.between(F.lit(946_684_800) * unit + 1, F.lit(4_102_444_800) * unit - 1)
+    time = d.between(F.lit(946_684_800) * unit + 1, F.lit(4_102_444_800) * unit - 1) & ~F.regexp_extract(c, "(?s)[0-9].*[0-9]", 0).rlike("[A-Za-z]")
     shapes = c.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$") | c.rlike("(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{128})$") | c.rlike(r"^(.{1,4})\1+$")
     return shapes | run | F.coalesce(time, F.lit(False))
 

@@ -275,3 +275,22 @@ def test_tokens_of_letters_alone_as_columns(spark):
     values = ["daacecbbGhJkLmNpQrStUvWxYz", "getIdOf", "theTokenOfMyOwnUser", "A_B", "a.b"]
     got = spark.createDataFrame([(v,) for v in values], "v string").select(text.is_code_identifier(F.col("v"))).collect()
     assert [r[0] for r in got] == [checks.is_code_identifier(v) for v in values] == [False, True, True, True, True]
+
+
+def test_passwords_whose_digits_alone_would_be_a_time():
+    assert ids("password=25a0bc4376e17c8019 thshea") == ["credential_in_prose"] and ids("password=1700000000000") == [] and ids("password: at-1700000000000") == []
+
+
+def test_times_with_letters_between_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from siftwell.functions import text
+
+    values = ["25a0bc4376e17c8019", "1700000000000", "at-1700000000000", "1700000000.000"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(text.is_benign(F.col("v"))).collect()
+    assert [r[0] for r in got] == [checks.is_benign(v) for v in values] == [False, True, True, True]
+
+
+def test_prose_that_is_no_address_and_no_name():
+    assert [ids(t) for t in ("reoron, of 64.245.247.29 st. That", "on 24.50.146.129 st eringsh onlyti", "Shst Schberber ist, äzu", "agreed to, Ertz verung")] == [[]] * 4
+    assert ids("at 129 Main St today") == ["postal_address"] and ids("To, Venkataraman") == ids("met Anna Schberber, is here") == ids("to, Ravi") == ["person_name"]
